@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from vacantia import lexicons as L
 from vacantia.functions.text import (
-    any_of, contains_any, count_terms, first_key, has_term, matching_keys, plain_term,
+    any_of, contains_any, count_terms, first_key, has_term, let, matching_keys, plain_term,
 )
 
 
@@ -22,17 +22,21 @@ def _numbers(text: Column, pattern: str, group: int) -> Column:
 
 def implicit_experience(lowered: Column) -> Column:
     """Experience demanded without a duration, unless an optional cue stands within -90/+120 characters."""
+    # The empty look-ahead for the phrase comes first, so the long look-behind runs only where the phrase starts.
     before = "".join(rf"(?<!{c}.{{0,{90 - len(c)}}})" for c in L.EXPERIENCE_OPTIONAL_CUES)
     after = "".join(rf"(?!.{{0,{120 - len(c)}}}{c})" for c in L.EXPERIENCE_OPTIONAL_CUES)
     # The literal guard keeps the look-around expression off texts that cannot match.
     guard = lowered.contains("experience") | lowered.contains("סיון")
     return guard & any_of(
-        lowered.rlike(f"(?sU){before}(?:{pattern}){after}") for pattern in L.EXPERIENCE_IMPLICIT)
+        lowered.rlike(f"(?sU)(?={pattern}){before}(?:{pattern}){after}") for pattern in L.EXPERIENCE_IMPLICIT)
 
 
 def experience_extract(text: Column) -> Column:
     """struct(experience_min, experience_max): phrases for none, ranges, single numbers, implicit, unknown."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return let(F.lower(F.coalesce(text, F.lit(""))), _experience)
+
+
+def _experience(lowered: Column) -> Column:
     low, high = _numbers(lowered, L.EXPERIENCE_RANGE, 1), _numbers(lowered, L.EXPERIENCE_RANGE, 2)
     singles = _numbers(lowered, L.EXPERIENCE_SINGLE, 1)
     pair = lambda a, b: F.struct(a.cast("double").alias("experience_min"), b.cast("double").alias("experience_max"))
@@ -87,7 +91,7 @@ def employment_type(text: Column) -> Column:
 
 def skills_extract(text: Column, table=None) -> Column:
     """Sorted skills with a variant in the text."""
-    return matching_keys(F.lower(text), table or L.SKILLS, has_term)
+    return let(F.lower(text), lambda lowered: matching_keys(lowered, table or L.SKILLS, has_term))
 
 
 def marked_sentences(title: Column, description: Column) -> tuple[Column, Column]:
@@ -115,7 +119,10 @@ def _verdict(*rules: tuple[Column, bool, str], default: str) -> Column:
 
 
 def track_cs(title: Column, description: Column) -> Column:
-    title, text = _title_and_text(title, description)
+    return _judge(title, description, _cs_rules)
+
+
+def _cs_rules(title: Column, text: Column) -> Column:
     software = contains_any(title, L.CS_SOFTWARE_TITLES)
     generic = contains_any(title, L.CS_GENERIC_TITLES)
     return _verdict(
@@ -130,7 +137,10 @@ def track_cs(title: Column, description: Column) -> Column:
 
 
 def track_ee(title: Column, description: Column) -> Column:
-    title, text = _title_and_text(title, description)
+    return _judge(title, description, _ee_rules)
+
+
+def _ee_rules(title: Column, text: Column) -> Column:
     context = count_terms(text, L.EE_CONTEXT)
     return _verdict(
         (contains_any(title, L.EE_STRONG_TITLES), True, "ee_title"),
@@ -141,7 +151,10 @@ def track_ee(title: Column, description: Column) -> Column:
 
 
 def track_iem(title: Column, description: Column) -> Column:
-    title, text = _title_and_text(title, description)
+    return _judge(title, description, _iem_rules)
+
+
+def _iem_rules(title: Column, text: Column) -> Column:
     generic, context = contains_any(title, L.IEM_GENERIC_TITLES), count_terms(text, L.IEM_CONTEXT)
     return _verdict(
         (contains_any(title, L.IEM_SOFTWARE_TITLES), False, "software_role_outside_iem_scope"),
@@ -153,9 +166,11 @@ def track_iem(title: Column, description: Column) -> Column:
     )
 
 
-def _title_and_text(title: Column, description: Column) -> tuple[Column, Column]:
+def _judge(title: Column, description: Column, rules) -> Column:
+    """Apply rules(lower title, lower title and description) with both texts lowered once."""
     title = F.lower(F.coalesce(title, F.lit("")))
-    return title, F.concat(title, F.lit(" "), F.lower(F.coalesce(description, F.lit(""))))
+    text = F.concat(title, F.lit(" "), F.lower(F.coalesce(description, F.lit(""))))
+    return let(F.struct(title.alias("title"), text.alias("text")), lambda t: rules(t["title"], t["text"]))
 
 
 def track_relevance(title: Column, description: Column, track: Column) -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from vacantia import lexicons as L
-from vacantia.functions.text import any_of, contains_any, quoted, squeeze
+from vacantia.functions.text import contains_any, let, quoted, squeeze
 
 # Full-width ASCII, ideographic space and bidi marks, the compatibility forms that occur in postings.
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　‏‎ "
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "    "
 REGION_REGEX = "(?iU)(?:" + "|".join(L.REGION_PATTERNS) + ")"
+CITY_GUARD = "(?i)" + "|".join(quoted(c) for c in (*L.HEBREW_CITIES, *L.ENGLISH_CITIES))
 SPELLINGS = (("Beer Sheva", "Be'er Sheva"), ("Raanana", "Ra'anana"), ("Yoqneam", "Yokneam"))
 
 
@@ -31,16 +32,21 @@ def canonical_name(city: str) -> str:
 
 def canonical_city(text: Column) -> Column:
     """First rule that fires: Hebrew city, English city, a standalone ``IL``, the country; else ''."""
-    compact = squeeze(text)
-    hebrew = [F.when(compact.contains(name), F.lit(city)) for name, city in L.HEBREW_CITIES.items()]
-    english = [
-        F.when(compact.rlike(rf"(?i)(?<![A-Za-z]){quoted(city)}(?![A-Za-z])"), F.lit(f"{canonical_name(city)}, Israel"))
-        for city in L.ENGLISH_CITIES
-    ]
-    country = F.when(
-        compact.rlike("(?<![A-Za-z])IL(?![A-Za-z])") | compact.rlike("(?i)(?<![A-Za-z])Israel(?![A-Za-z])")
-        | compact.contains("ישראל"), F.lit("Israel"))
-    return F.coalesce(*hebrew, *english, country, F.lit(""))
+    def city(compact: Column) -> Column:
+        hebrew = [F.when(compact.contains(name), F.lit(city)) for name, city in L.HEBREW_CITIES.items()]
+        # The case-insensitive literal test is the cheap guard of the border test.
+        english = [
+            F.when(F.lower(compact).contains(name.lower())
+                   & compact.rlike(rf"(?i)(?<![A-Za-z]){quoted(name)}(?![A-Za-z])"), F.lit(f"{canonical_name(name)}, Israel"))
+            for name in L.ENGLISH_CITIES
+        ]
+        country = F.when(
+            compact.rlike("(?<![A-Za-z])IL(?![A-Za-z])") | compact.rlike("(?i)(?<![A-Za-z])Israel(?![A-Za-z])")
+            | compact.contains("ישראל"), F.lit("Israel"))
+        named = F.when(compact.rlike(CITY_GUARD), F.coalesce(*hebrew, *english))
+        return F.coalesce(named, country, F.lit(""))
+
+    return let(squeeze(text), city)
 
 
 def location_tokens(location: Column) -> Column:

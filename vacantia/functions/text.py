@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 from operator import or_
 
@@ -18,7 +18,12 @@ ENTITIES = (
 LINE_KEY_EDGES = " .:–—-"
 INVISIBLE = "[\\u200b-\\u200f\\u202a-\\u202e\\u2060\\ufeff]"
 MARKUP = r"(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>"
-SPACES = r"[\s ]+"
+SPACES = r"[\s\p{Z}\x{85}]+"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -111,39 +116,42 @@ def line_key(line: Column) -> Column:
     return F.btrim(F.lower(line), F.lit(LINE_KEY_EDGES))
 
 
-def clean_lines(text: Column) -> Column:
-    """Readable lines of a posting in first-seen order: no markup, no call-to-action lines, no repeats."""
+def _strip_markup(text: Column) -> Column:
     raw = F.replace(unescape(F.coalesce(text, F.lit(""))), F.lit("\\/"), F.lit("/"))
     for escape, plain in (("\\n", "\n"), ("\\r", "\n"), ("\\t", " ")):
         raw = F.replace(raw, F.lit(escape), F.lit(plain))
     body = drop_elements(raw, ("script", "style", "noscript", "svg", "form", "nav", "footer"))
-    body = unescape(F.regexp_replace(body, MARKUP, "\n"))
-    body = F.regexp_replace(body, INVISIBLE, "")
-    lines = F.transform(F.split(body, "[\\r\\n\\u000b\\u000c\\u0085\\u2028\\u2029]"),
+    return F.regexp_replace(unescape(F.regexp_replace(body, MARKUP, "\n")), INVISIBLE, "")
+
+
+def clean_text(text: Column) -> Column:
+    """Readable lines of a posting in first-seen order: no markup, no call-to-action lines, no repeats."""
+    lines = F.transform(F.split(_strip_markup(text), "[\\r\\n\\u000b\\u000c\\u0085\\u2028\\u2029]"),
                         lambda x: F.btrim(squeeze(x), F.lit(" |")))
     noise = F.array(*[F.lit(t) for t in L.GENERIC_DESCRIPTIONS])
     pairs = F.filter(F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))),
                      lambda p: (p["line"] != "") & ~F.array_contains(noise, p["key"]))
-    return pairs
 
+    def keep_first(rows: Column) -> Column:
+        return let(rows.getField("key"), lambda keys: F.filter(
+            rows, lambda p, i: F.array_position(keys, p["key"]) == i + 1))
 
-def clean_text(text: Column) -> Column:
-    pairs = clean_lines(text)
-    keys = pairs.getField("key")
-    kept = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.array_join(kept.getField("line"), "\n")
+    return F.array_join(let(pairs, keep_first).getField("line"), "\n")
 
 
 def quality_of_clean(clean: Column) -> Column:
     """missing / partial / complete for text that :func:`clean_text` already produced."""
-    compact = squeeze(clean)
-    letters = F.length(F.regexp_replace(compact, r"[^\p{L}]", ""))
-    return (
-        F.when((compact == "") | line_key(compact).isin(*L.GENERIC_DESCRIPTIONS), "missing")
-        .when((F.length(compact) < 40) | compact.rlike("^(?i)[0-9a-f -]{24,}$"), "partial")
-        .when(letters / F.length(compact) < 0.35, "partial")
-        .otherwise("complete")
-    )
+
+    def grade(compact: Column) -> Column:
+        letters = F.length(F.regexp_replace(compact, r"[^\p{L}]", ""))
+        return (
+            F.when((compact == "") | line_key(compact).isin(*L.GENERIC_DESCRIPTIONS), "missing")
+            .when((F.length(compact) < 40) | compact.rlike("^(?i)[0-9a-f -]{24,}$"), "partial")
+            .when(letters / F.length(compact) < 0.35, "partial")
+            .otherwise("complete")
+        )
+
+    return let(squeeze(clean), grade)
 
 
 def text_quality(text: Column) -> Column:
@@ -167,10 +175,12 @@ def memory_norm(text: Column) -> Column:
 
 def question_category(text: Column) -> Column:
     """Category all of whose groups have a term in the question; most groups wins, then table order."""
-    norm = question_norm(text)
     ordered = sorted(L.QUESTION_GROUPS.items(), key=lambda item: -len(item[1]))
-    return F.coalesce(*[
-        F.when(reduce(lambda a, b: a & b, (
-            contains_any(norm, (" ".join(t.split()) for t in group)) for group in groups)), F.lit(key))
-        for key, groups in ordered
-    ])
+
+    def category(norm: Column) -> Column:
+        return F.coalesce(*[
+            F.when(reduce(lambda a, b: a & b, (contains_any(norm, group) for group in groups)), F.lit(key))
+            for key, groups in ordered
+        ])
+
+    return let(question_norm(text), category)

@@ -1,0 +1,6 @@
+"""Registered queries; importing this package fills the registry."""
+
+from vacantia.plans import text_queries  # noqa: F401
+from vacantia.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
