@@ -21,7 +21,8 @@ def parse_posted_at(text: Column) -> Column:
 def age_days(now: Column, then: Column) -> Column:
     """Whole elapsed days, never negative (elapsed time, not calendar days)."""
     seconds = F.unix_timestamp(now) - F.unix_timestamp(then)
-    return F.greatest(F.lit(0), F.floor(seconds / 86400)).cast("int")
+    # greatest() skips nulls, so an unknown time has to stay null explicitly.
+    return F.when(then.isNotNull(), F.greatest(F.lit(0), F.floor(seconds / 86400)).cast("int"))
 
 
 def days_before(now: Column, days: int) -> Column:
