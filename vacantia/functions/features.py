@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from vacantia import lexicons as L
 from vacantia.functions.text import (
-    any_of, contains_any, count_terms, first_key, has_term, let, matching_keys, plain_term,
+    any_of, contains_any, count_terms, first_key, let, matching_keys, matching_keys_by_word, plain_term,
 )
 
 
@@ -91,7 +91,7 @@ def employment_type(text: Column) -> Column:
 
 def skills_extract(text: Column, table=None) -> Column:
     """Sorted skills with a variant in the text."""
-    return let(F.lower(text), lambda lowered: matching_keys(lowered, table or L.SKILLS, has_term))
+    return let(F.lower(text), lambda lowered: matching_keys_by_word(lowered, table or L.SKILLS))
 
 
 def marked_sentences(title: Column, description: Column) -> tuple[Column, Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 from operator import or_
@@ -18,7 +19,8 @@ ENTITIES = (
 LINE_KEY_EDGES = " .:–—-"
 INVISIBLE = "[\\u200b-\\u200f\\u202a-\\u202e\\u2060\\ufeff]"
 MARKUP = r"(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>"
-SPACES = r"[\s\p{Z}\x{85}]+"
+# A lone ordinary blank needs no replacement.
+SPACES = r"[\s\p{Z}\x{85}]{2,}|[\s\p{Z}\x{85}&&[^ ]]"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -78,6 +80,28 @@ def matching_keys(text: Column, table: Mapping[str, Iterable[str]], test=has_ter
     ]))
 
 
+def matching_keys_by_word(text: Column, table: Mapping[str, Iterable[str]]) -> Column:
+    """:func:`matching_keys` with :func:`has_term`, for long texts and large tables.
+
+    The text is split into words once and intersected with the words the table's terms start with; only
+    terms whose first word occurs (or that have no word borders) are searched in the text itself.
+    """
+    words = {term: re.findall(r"\w+", term.lower())[0] for terms in table.values() for term in terms if bordered(term)}
+    vocabulary = F.array(*[F.lit(w) for w in sorted(set(words.values()))])
+
+    def keys(found: Column) -> Column:
+        def occurs(term: str) -> Column:
+            if term not in words:
+                return text.contains(term.lower())
+            first = F.array_contains(found, words[term])
+            return first if words[term] == term.lower() else first & has_term(text, term)
+
+        return F.array_compact(F.array(*[
+            F.when(any_of(occurs(term) for term in terms), F.lit(key)) for key, terms in sorted(table.items())]))
+
+    return let(F.array_intersect(F.split(text, r"[^\p{L}\p{N}_]+"), vocabulary), keys)
+
+
 def plain_term(text: Column, term: str) -> Column:
     return text.contains(term)
 
@@ -98,7 +122,8 @@ def squeeze(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    plain = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    return F.when(text.contains("&"), plain).otherwise(text)
 
 
 def drop_elements(html: Column, names: Iterable[str]) -> Column:
@@ -117,11 +142,20 @@ def line_key(line: Column) -> Column:
 
 
 def _strip_markup(text: Column) -> Column:
-    raw = F.replace(unescape(F.coalesce(text, F.lit(""))), F.lit("\\/"), F.lit("/"))
-    for escape, plain in (("\\n", "\n"), ("\\r", "\n"), ("\\t", " ")):
-        raw = F.replace(raw, F.lit(escape), F.lit(plain))
-    body = drop_elements(raw, ("script", "style", "noscript", "svg", "form", "nav", "footer"))
-    return F.regexp_replace(unescape(F.regexp_replace(body, MARKUP, "\n")), INVISIBLE, "")
+    """Unescaped text without elements that carry no posting text; each step runs only where it can change something."""
+
+    def unslash(raw: Column) -> Column:
+        plain = raw
+        for escape, value in (("\\/", "/"), ("\\n", "\n"), ("\\r", "\n"), ("\\t", " ")):
+            plain = F.replace(plain, F.lit(escape), F.lit(value))
+        return F.when(raw.contains("\\"), plain).otherwise(raw)
+
+    def untag(raw: Column) -> Column:
+        body = drop_elements(raw, ("script", "style", "noscript", "svg", "form", "nav", "footer"))
+        return F.when(raw.contains("<"), F.regexp_replace(body, MARKUP, "\n")).otherwise(raw)
+
+    body = let(let(let(F.coalesce(text, F.lit("")), unescape), unslash), untag)
+    return F.regexp_replace(let(body, unescape), INVISIBLE, "")
 
 
 def clean_text(text: Column) -> Column:
