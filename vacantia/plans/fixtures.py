@@ -185,8 +185,8 @@ FROM @part p
 VIEWS["applications"] = f"""
 SELECT a.o_orderkey AS application_id, a.job_id, {OWNER.format('a.job_id')} AS user_id,
   CASE substring(a.o_orderpriority, 1, 1) WHEN '1' THEN 'queued' WHEN '2' THEN 'applying' WHEN '3' THEN 'submitted'
-    WHEN '4' THEN 'needs_input' ELSE CASE a.o_orderstatus WHEN 'F' THEN 'rejected' WHEN 'O' THEN 'verification_pending'
-    ELSE 'failed' END END AS status,
+    WHEN '4' THEN CASE a.o_orderstatus WHEN 'P' THEN 'verification_pending' ELSE 'needs_input' END
+    ELSE CASE a.o_orderstatus WHEN 'F' THEN 'rejected' WHEN 'O' THEN 'verification_pending' ELSE 'failed' END END AS status,
   CASE a.o_orderstatus WHEN 'F' THEN 'auto' WHEN 'O' THEN 'review' ELSE 'manual' END AS mode,
   CASE WHEN substring(a.o_orderpriority, 1, 1) = '3' AND a.o_orderkey % 3 <> 0
        THEN CAST(a.o_orderdate AS TIMESTAMP) + DAYS(2) END AS submitted_at,
@@ -218,7 +218,7 @@ VIEWS["blockers"] = """
 SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) || '-' || CAST(l.l_partkey AS STRING) || '-'
     || CAST(l.l_suppkey AS STRING) AS blocker_id, l.l_orderkey AS application_id,
   CASE l.l_partkey % 6 WHEN 0 THEN 'question' WHEN 1 THEN 'file_required' WHEN 2 THEN 'submit_not_sent'
-    WHEN 3 THEN 'confirmation_missing' WHEN 4 THEN 'review' ELSE 'captcha' END AS kind,
+    WHEN 4 THEN 'review' ELSE 'confirmation_missing' END AS kind,
   CASE l.l_linestatus WHEN 'O' THEN 'open' ELSE 'resolved' END AS status,
   CAST(l.l_shipdate AS TIMESTAMP) AS created_at,
   CASE l.l_suppkey % 5 WHEN 0 THEN 'Upload File' WHEN 1 THEN 'Academic Transcript' WHEN 2 THEN 'Are you willing to relocate?'
