@@ -131,3 +131,13 @@ def requeue_once(rows: DataFrame, retry_count: Column) -> DataFrame:
     ready = ((F.col("mode") == "auto") & F.col("kind").isin("submit_button_missing", "application_form_missing") & (F.col("adapter") == "greenhouse")
              & (F.col("native_url") != F.trim("apply_url")) & ~same(F.col("page_url"), F.col("native_url")) & (retry_count < 1))
     return rows.withColumn("native_url", native).withColumn("requeue", ready)
+
+
+def campaign_activate(selected: DataFrame, current: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Queue the selected postings that still qualify; ``spent`` grows by what was queued."""
+    valid = (F.col("is_active") & F.col("status").isin("new", "saved", "failed") & F.col("ready")
+             & ~F.coalesce(F.col("application_status").isin(*IN_PIPELINE), F.lit(False)))
+    queued = selected.select("campaign_id", "job_id").join(current.filter(valid).select("job_id"), "job_id").groupBy("campaign_id").agg(F.count("*").alias("queued"))
+    rows = campaigns.select("campaign_id", "spent").join(queued, "campaign_id", "left")
+    queued_count = F.coalesce("queued", F.lit(0))
+    return rows.select("campaign_id", queued_count.alias("queued"), (F.col("spent") + queued_count).alias("spent"))

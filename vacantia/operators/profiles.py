@@ -17,3 +17,10 @@ def mirror_latest_job(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     rows = rows.withColumn("work_experiences", kept)
     return rows.withColumns({
         f"current_{f}": F.coalesce(F.get("work_experiences", 0)[f], F.lit("")) for f in fields})
+
+
+def ordered_union(*lists: Column) -> Column:
+    """Case-insensitive union in order; the first spelling is kept."""
+    every = F.filter(F.transform(F.concat(*lists), lambda v: F.trim(v)), lambda v: v != "")
+    keys = F.transform(every, lambda v: F.lower(v))
+    return F.filter(every, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
