@@ -287,7 +287,7 @@ FROM @pages p
 VIEWS["messages"] = """
 SELECT m.conv_id, m.turn, m.conv_id * 1000 + m.turn AS seq, CASE WHEN m.conv_id % 3 = 1 THEN 7 ELSE m.conv_id % 500 END AS user_id, m.role,
   CASE WHEN m.conv_id % 3 = 0 THEN m.text || ' Thank you for applying to Company ' || CAST(m.conv_id % 15 AS STRING) || ' as Backend Software Engineer'
-       WHEN m.conv_id % 3 = 1 THEN m.text || ' Google: application received for Data Research Analyst'
+       WHEN m.conv_id % 3 = 1 THEN m.text || ' Company news from Google: application received for Engineer, Developer or Analyst'
        ELSE m.text END AS text,
   CASE m.conv_id % 6 WHEN 0 THEN 'Are you willing to relocate?' WHEN 1 THEN 'Have you previously worked for this company?'
     WHEN 2 THEN 'Do you need a background check, or screening?' WHEN 3 THEN 'Please select your Gender / sex'
