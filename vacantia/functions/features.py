@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from vacantia import lexicons as L
 from vacantia.functions.text import (
-    any_of, contains_any, count_terms, first_key, let, matching_keys, matching_keys_by_word, plain_term,
+    contains_any, count_terms, first_key, let, matching_keys, matching_words, sql_text,
 )
 
 
@@ -27,8 +27,8 @@ def implicit_experience(lowered: Column) -> Column:
     after = "".join(rf"(?!.{{0,{120 - len(c)}}}{c})" for c in L.EXPERIENCE_OPTIONAL_CUES)
     # The literal guard keeps the look-around expression off texts that cannot match.
     guard = lowered.contains("experience") | lowered.contains("סיון")
-    return guard & any_of(
-        lowered.rlike(f"(?sU)(?={pattern}){before}(?:{pattern}){after}") for pattern in L.EXPERIENCE_IMPLICIT)
+    phrase = "|".join(L.EXPERIENCE_IMPLICIT)
+    return guard & lowered.rlike(f"(?sU)(?={phrase}){before}(?:{phrase}){after}")
 
 
 def experience_extract(text: Column) -> Column:
@@ -59,25 +59,23 @@ def experience_buckets(low: Column, high: Column) -> Column:
 
 
 def detected_levels(title: Column) -> Column:
-    return matching_keys(F.lower(title), L.SENIORITY_LEVELS, plain_term)
+    return matching_keys(F.lower(title), L.SENIORITY_LEVELS)
 
 
 def seniority_rank(level: Column) -> Column:
-    return reduce(lambda c, item: c.when(level == item[0], item[1]), L.SENIORITY_RANK.items(), F.when(F.lit(False), 0))
+    ranks = F.expr("map(" + ", ".join(f"{sql_text(k)}, {v}" for k, v in L.SENIORITY_RANK.items()) + ")")
+    return F.when(level.isNotNull(), F.try_element_at(ranks, level))
 
 
 def seniority_detect(title: Column) -> Column:
     """Highest level named by the title; a profession such as "project manager" is not a level."""
-    lowered = F.lower(F.coalesce(title, F.lit("")))
-    highest_first = sorted(L.SENIORITY_LEVELS.items(), key=lambda item: -L.SENIORITY_RANK[item[0]])
+    highest_first = dict(sorted(L.SENIORITY_LEVELS.items(), key=lambda item: -L.SENIORITY_RANK[item[0]]))
+    people = {k: v for k, v in highest_first.items() if k != "manager"}
 
-    def rule(level, terms):
-        hit = contains_any(lowered, terms)
-        if level == "manager":
-            hit = hit & ~contains_any(lowered, L.PROFESSION_MANAGERS)
-        return F.when(hit, F.lit(level))
+    def level(t: Column) -> Column:
+        return F.when(contains_any(t, L.PROFESSION_MANAGERS), first_key(t, people)).otherwise(first_key(t, highest_first))
 
-    return F.coalesce(*[rule(level, terms) for level, terms in highest_first])
+    return let(F.lower(F.coalesce(title, F.lit(""))), level)
 
 
 def seniority_of_years(years: Column) -> Column:
@@ -91,7 +89,7 @@ def employment_type(text: Column) -> Column:
 
 def skills_extract(text: Column, table=None) -> Column:
     """Sorted skills with a variant in the text."""
-    return let(F.lower(text), lambda lowered: matching_keys_by_word(lowered, table or L.SKILLS))
+    return matching_words(F.lower(text), table or L.SKILLS)
 
 
 def marked_sentences(title: Column, description: Column) -> tuple[Column, Column]:
@@ -104,10 +102,14 @@ def marked_sentences(title: Column, description: Column) -> tuple[Column, Column
 
 
 def role_families(title: Column, track: Column) -> Column:
+    """Sorted families of the track whose terms occur in the title."""
+    tables = F.expr("map(" + ", ".join(
+        f"{sql_text(t)}, array(" + ", ".join(
+            f"named_struct('key', {sql_text(k)}, 'terms', array({', '.join(sql_text(x) for x in terms)}))" for k, terms in sorted(table.items())) + ")"
+        for t, table in L.ROLE_FAMILIES.items()) + ")")
     lowered = F.lower(F.coalesce(title, F.lit("")))
-    return reduce(lambda c, item: c.when(track == item[0], matching_keys(lowered, item[1], plain_term)),
-                  L.ROLE_FAMILIES.items(), F.when(F.lit(False), F.array().cast("array<string>"))
-                  ).otherwise(F.array().cast("array<string>"))
+    found = let(lowered, lambda t: F.filter(F.try_element_at(tables, track), lambda row: F.exists(row["terms"], lambda term: F.contains(t, term))))
+    return F.coalesce(found.getField("key"), F.array().cast("array<string>"))
 
 
 def _verdict(*rules: tuple[Column, bool, str], default: str) -> Column:

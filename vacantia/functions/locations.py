@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from vacantia import lexicons as L
-from vacantia.functions.text import contains_any, let, quoted, squeeze
+from vacantia.functions.text import let, matching_keys, quoted, sql_text, squeeze
 
 # Full-width ASCII, ideographic space and bidi marks, the compatibility forms that occur in postings.
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　‏‎ "
@@ -32,19 +32,20 @@ def canonical_name(city: str) -> str:
 
 def canonical_city(text: Column) -> Column:
     """First rule that fires: Hebrew city, English city, a standalone ``IL``, the country; else ''."""
+    hebrew = F.expr("array(" + ", ".join(f"named_struct('name', {sql_text(k)}, 'city', {sql_text(v)})" for k, v in L.HEBREW_CITIES.items()) + ")")
+    english = F.expr("array(" + ", ".join(
+        f"named_struct('name', {sql_text(c.lower())}, 'pattern', {sql_text(f'(?i)(?<![A-Za-z]){quoted(c)}(?![A-Za-z])')}, 'city', {sql_text(canonical_name(c) + ', Israel')})"
+        for c in L.ENGLISH_CITIES) + ")")
+
     def city(compact: Column) -> Column:
-        hebrew = [F.when(compact.contains(name), F.lit(city)) for name, city in L.HEBREW_CITIES.items()]
-        # The case-insensitive literal test is the cheap guard of the border test.
-        english = [
-            F.when(F.lower(compact).contains(name.lower())
-                   & compact.rlike(rf"(?i)(?<![A-Za-z]){quoted(name)}(?![A-Za-z])"), F.lit(f"{canonical_name(name)}, Israel"))
-            for name in L.ENGLISH_CITIES
-        ]
+        in_hebrew = F.get(F.filter(hebrew, lambda e: F.contains(compact, e["name"])), 0)["city"]
+        # The literal test on lower-case text is the cheap guard of the border test.
+        in_english = let(F.lower(compact), lambda low: F.get(
+            F.filter(english, lambda e: F.contains(low, e["name"]) & F.regexp_like(compact, e["pattern"])), 0)["city"])
         country = F.when(
             compact.rlike("(?<![A-Za-z])IL(?![A-Za-z])") | compact.rlike("(?i)(?<![A-Za-z])Israel(?![A-Za-z])")
             | compact.contains("ישראל"), F.lit("Israel"))
-        named = F.when(compact.rlike(CITY_GUARD), F.coalesce(*hebrew, *english))
-        return F.coalesce(named, country, F.lit(""))
+        return F.coalesce(F.when(compact.rlike(CITY_GUARD), F.coalesce(in_hebrew, in_english)), country, F.lit(""))
 
     return let(squeeze(text), city)
 
@@ -52,9 +53,9 @@ def canonical_city(text: Column) -> Column:
 def location_tokens(location: Column) -> Column:
     """The text itself plus the canonical places it names."""
     lowered = F.trim(F.lower(F.coalesce(location, F.lit(""))))
-    named = [F.when(contains_any(lowered, aliases), F.lit(place)) for place, aliases in L.LOCATION_ALIASES.items()]
-    region = F.when((lowered != "") & in_region(location), F.lit("israel"))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(F.when(lowered != "", lowered), *named, region))))
+    named = matching_keys(lowered, L.LOCATION_ALIASES)
+    own = F.when(lowered == "", F.array().cast("array<string>")).when(in_region(location), F.array(lowered, F.lit("israel"))).otherwise(F.array(lowered))
+    return F.array_sort(F.array_union(own, named))
 
 
 def locations_match(job_tokens: Column, preferred_tokens: Column) -> Column:

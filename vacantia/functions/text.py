@@ -32,14 +32,33 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def term_array(terms: Iterable[str]) -> Column:
+    """The terms as one constant array.
+
+    Term tables enter expressions as constants and are searched with higher-order functions: one small
+    expression per table instead of one per term keeps plans short and quick to build.
+    """
+    return F.expr("array(" + ", ".join(sql_text(t) for t in terms) + ")")
+
+
+def term_table(table: Mapping[str, Iterable[str]]) -> Column:
+    """A term table as a constant ``array<struct<key, terms>>`` in table order."""
+    rows = (f"named_struct('key', {sql_text(k)}, 'terms', array({', '.join(sql_text(t) for t in terms)}))" for k, terms in table.items())
+    return F.expr("array(" + ", ".join(rows) + ")")
+
+
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
     """True when any literal term occurs in ``text`` (plain substring search)."""
-    return any_of(text.contains(term) for term in terms)
+    return let(text, lambda t: F.exists(term_array(terms), lambda term: F.contains(t, term)))
 
 
 def count_terms(text: Column, terms: Iterable[str]) -> Column:
     """Number of distinct terms of the table that occur in ``text``."""
-    return reduce(lambda a, b: a + b, (text.contains(t).cast("int") for t in terms), F.lit(0))
+    return let(text, lambda t: F.size(F.filter(term_array(terms), lambda term: F.contains(t, term))))
 
 
 def bordered(term: str) -> bool:
@@ -51,19 +70,6 @@ def quoted(term: str) -> str:
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in term)
 
 
-def has_term(text: Column, term: str) -> Column:
-    """Occurrence of ``term`` in lower-case text, not inside a longer word.
-
-    The borders apply only when both ends of the term are alphanumeric.  The cheap literal
-    search runs first, so the regular expression is evaluated on few rows.
-    """
-    term = term.lower()
-    found = text.contains(term)
-    if bordered(term):
-        found = found & text.rlike(rf"(?<![\p{{L}}\p{{N}}_]){quoted(term)}(?![\p{{L}}\p{{N}}_])")
-    return found
-
-
 def has_term_column(text: Column, term: Column) -> Column:
     """:func:`has_term` for a term held in a column (user word lists)."""
     edge = r"[\p{L}\p{N}_]"
@@ -73,42 +79,48 @@ def has_term_column(text: Column, term: Column) -> Column:
     return text.contains(term) & (~both_ends | F.regexp_like(text, pattern))
 
 
-def matching_keys(text: Column, table: Mapping[str, Iterable[str]], test=has_term) -> Column:
-    """Sorted array of the table's keys that have a term in ``text``."""
-    return F.array_compact(F.array(*[
-        F.when(any_of(test(text, term) for term in terms), F.lit(key)) for key, terms in sorted(table.items())
-    ]))
+def matching_keys(text: Column, table: Mapping[str, Iterable[str]]) -> Column:
+    """Sorted array of the table's keys that have a term in ``text`` (plain substring search)."""
+    rows = term_table(dict(sorted(table.items())))
+    return let(text, lambda t: F.filter(rows, lambda row: F.exists(row["terms"], lambda term: F.contains(t, term)))).getField("key")
 
 
-def matching_keys_by_word(text: Column, table: Mapping[str, Iterable[str]]) -> Column:
-    """:func:`matching_keys` with :func:`has_term`, for long texts and large tables.
+def first_key(text: Column, table: Mapping[str, Iterable[str]]) -> Column:
+    """First key (table order) with a term in ``text``, or null."""
+    found = let(text, lambda t: F.filter(term_table(table), lambda row: F.exists(row["terms"], lambda term: F.contains(t, term))))
+    return F.get(found, 0)["key"]
 
-    The text is split into words once and intersected with the words the table's terms start with; only
-    terms whose first word occurs (or that have no word borders) are searched in the text itself.
-    """
-    words = {term: re.findall(r"\w+", term.lower())[0] for terms in table.values() for term in terms if bordered(term)}
-    vocabulary = F.array(*[F.lit(w) for w in sorted(set(words.values()))])
 
-    def keys(found: Column) -> Column:
-        def occurs(term: str) -> Column:
-            if term not in words:
-                return text.contains(term.lower())
-            first = F.array_contains(found, words[term])
-            return first if words[term] == term.lower() else first & has_term(text, term)
+def matching_words(text: Column, table: Mapping[str, Iterable[str]]) -> Column:
+    """Sorted array of the keys that have a term in the lower-case ``text``, not inside a longer word.
+
+    Borders apply only when both ends of a term are alphanumeric.  The text is split into words once and
+    intersected with the words the terms start with; only terms whose first word occurs (or that have no
+    borders) are searched in the text itself, and the border test runs only where the term was found.
+    """
 
-        return F.array_compact(F.array(*[
-            F.when(any_of(occurs(term) for term in terms), F.lit(key)) for key, terms in sorted(table.items())]))
+    def variant(term: str) -> str:
+        term = term.lower()
+        word = re.findall(r"\w+", term)[0] if bordered(term) else None
+        pattern = rf"(?<![\p{{L}}\p{{N}}_]){quoted(term)}(?![\p{{L}}\p{{N}}_])"
+        return (f"named_struct('term', {sql_text(term)}, 'word', {sql_text(word) if word else 'cast(null as string)'}, "
+                f"'whole', {str(word == term).lower()}, 'pattern', {sql_text(pattern)})")
 
-    return let(F.array_intersect(F.split(text, r"[^\p{L}\p{N}_]+"), vocabulary), keys)
+    rows = F.expr("array(" + ", ".join(
+        f"named_struct('key', {sql_text(k)}, 'variants', array({', '.join(variant(t) for t in terms)}))" for k, terms in sorted(table.items())) + ")")
+    vocabulary = term_array(sorted({re.findall(r"\w+", t.lower())[0] for terms in table.values() for t in terms if bordered(t)}))
 
+    def keys(pair: Column) -> Column:
+        t, words = pair["text"], pair["words"]
 
-def plain_term(text: Column, term: str) -> Column:
-    return text.contains(term)
+        def occurs(v: Column) -> Column:
+            return (F.when(v["word"].isNull(), F.contains(t, v["term"])).when(~F.array_contains(words, v["word"]), False).when(v["whole"], True)
+                    .otherwise(F.contains(t, v["term"]) & F.regexp_like(t, v["pattern"])))
 
+        return F.filter(rows, lambda row: F.exists(row["variants"], occurs)).getField("key")
 
-def first_key(text: Column, table: Mapping[str, Iterable[str]]) -> Column:
-    """First key (table order) with a term in ``text``, or null."""
-    return F.coalesce(*[F.when(contains_any(text, terms), F.lit(key)) for key, terms in table.items()])
+    split = lambda t: F.struct(t.alias("text"), F.array_intersect(F.split(t, r"[^\p{L}\p{N}_]+"), vocabulary).alias("words"))
+    return let(let(text, split), keys)
 
 
 def truthy(value: Column) -> Column:
@@ -210,11 +222,8 @@ def memory_norm(text: Column) -> Column:
 def question_category(text: Column) -> Column:
     """Category all of whose groups have a term in the question; most groups wins, then table order."""
     ordered = sorted(L.QUESTION_GROUPS.items(), key=lambda item: -len(item[1]))
-
-    def category(norm: Column) -> Column:
-        return F.coalesce(*[
-            F.when(reduce(lambda a, b: a & b, (contains_any(norm, group) for group in groups)), F.lit(key))
-            for key, groups in ordered
-        ])
-
-    return let(question_norm(text), category)
+    rows = F.expr("array(" + ", ".join(
+        f"named_struct('key', {sql_text(k)}, 'groups', array({', '.join('array(' + ', '.join(sql_text(t) for t in g) + ')' for g in groups)}))"
+        for k, groups in ordered) + ")")
+    fits = lambda norm: F.filter(rows, lambda row: F.forall(row["groups"], lambda g: F.exists(g, lambda term: F.contains(norm, term))))
+    return F.get(let(question_norm(text), fits), 0)["key"]

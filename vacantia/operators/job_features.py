@@ -47,15 +47,13 @@ def job_features(postings: DataFrame) -> DataFrame:
         "families": X.role_families(F.col("title"), F.col("career_track")),
         "location_tokens": P.location_tokens(F.col("location")),
     })
-    known = [F.when(T.contains_any(F.lower(F.coalesce("company", F.lit(""))), names), F.lit(key))
-             for key, names in L.KNOWN_COMPANIES.items()]
     return rows.withColumns({
         "employment": X.employment_type(F.col("low_text")),
         "text_skills": X.skills_extract(F.col("full_text")),
         "senior_title": T.contains_any(F.col("low_title"), L.SENIOR_TERMS),
         "entry_title": T.contains_any(F.col("low_title"), L.ENTRY_TERMS),
         "dev_title": T.contains_any(F.col("low_title"), L.DEV_TERMS),
-        "known_company": F.coalesce(*known),
+        "known_company": T.first_key(F.lower(F.coalesce("company", F.lit(""))), L.KNOWN_COMPANIES),
         "degree": T.contains_any(F.col("low_text"), L.DEGREE_TERMS),
-        "mandatory": F.array_compact(F.array(*[F.when(F.col("low_text").contains(t), F.lit(t)) for t in L.MANDATORY_TERMS])),
+        "mandatory": T.matching_keys(F.col("low_text"), {t: (t,) for t in L.MANDATORY_TERMS}),
     })
