@@ -114,6 +114,29 @@ def postings_from_search(rows: DataFrame, id_pattern: str, cities: tuple[str, ..
                         F.when(F.lower("text").contains("hybrid"), "hybrid").otherwise("onsite").alias("workplace"), F.col("href").alias("apply_url"))
 
 
+# Fields of an object that stand for its value, in order.
+SCALAR_FIELDS = ("name", "title", "label", "value", "city")
+RICH_FIELDS = ("text", "html", "value", "description", "content", "label", "name", "title")
+
+
+def _plain(path: str) -> Column:
+    """Text of a string, number or flag at the path; null for objects, lists and missing fields."""
+    kind = F.schema_of_variant(F.try_variant_get("node", path, "variant"))
+    return F.when(kind.rlike("^(?:OBJECT|ARRAY|VOID|BOOLEAN)"), None).otherwise(F.try_variant_get("node", path, "string"))
+
+
+def _scalar(keys: tuple[str, ...]) -> Column:
+    """First key with a value: its own text, else that of a naming field of its object."""
+    paths = [p for k in keys for p in (f"$.{k}", *[f"$.{k}.{f}" for f in SCALAR_FIELDS])]
+    return F.coalesce(*[truthy(squeeze(_plain(p))) for p in paths])
+
+
+def _rich(key: str) -> Column:
+    """Longer text of a key: its own text, else the text fields of its object, one per line."""
+    fields = F.array_compact(F.array(*[truthy(_plain(f"$.{key}.{f}")) for f in RICH_FIELDS]))
+    return F.coalesce(_plain(f"$.{key}"), F.array_join(fields, "\n"))
+
+
 def structured_feed(feeds: DataFrame, id_keys: tuple[str, ...], title_keys: tuple[str, ...], location_keys: tuple[str, ...],
                     description_keys: tuple[str, ...], template: str, id_pattern: str = ".{2,80}", depth: int = 6) -> DataFrame:
     """Postings anywhere in nested JSON: a node with an id and a human title, down to ``depth`` levels."""
@@ -123,11 +146,10 @@ def structured_feed(feeds: DataFrame, id_keys: tuple[str, ...], title_keys: tupl
     for _ in range(depth):
         level = spark.sql("SELECT f.feed_id, e.value AS node FROM {level} f, LATERAL variant_explode(f.node) e", level=level)
         nodes = nodes.union(level)
-    scalar = lambda keys: F.coalesce(*[truthy(squeeze(F.try_variant_get("node", f"$.{k}", "string"))) for k in keys],
-                                     *[truthy(squeeze(F.try_variant_get("node", f"$.{k}.name", "string"))) for k in keys])
     # Only objects carry the keys; scalars and lists give null.
-    rows = nodes.select("feed_id", scalar(id_keys).alias("external_id"), scalar(title_keys).alias("title"), F.coalesce(scalar(location_keys), F.lit("")).alias("location"),
-                        F.array_compact(F.array(*[truthy(clean_text(F.try_variant_get("node", f"$.{k}", "string"))) for k in description_keys])).alias("pieces"))
+    rows = nodes.select(
+        "feed_id", _scalar(id_keys).alias("external_id"), _scalar(title_keys).alias("title"), F.coalesce(_scalar(location_keys), F.lit("")).alias("location"),
+        F.array_compact(F.array(*[truthy(clean_text(_rich(k))) for k in description_keys])).alias("pieces"))
     rows = rows.filter(F.col("external_id").rlike(f"^(?:{id_pattern})$") & human(F.col("title")))
     text = F.array_join(F.concat(F.array("title"), F.filter(F.array("location"), lambda v: v != ""), "pieces"), "\n")
     rows = rows.select("feed_id", "external_id", "title", "location", F.substring(clean_text(text), 1, TEXT_LIMIT).alias("text"), _link(F.col("external_id"), template).alias("href"))
