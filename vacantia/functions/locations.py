@@ -11,7 +11,6 @@ from vacantia.functions.text import let, matching_keys, quoted, sql_text, squeez
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　‏‎ "
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "    "
 REGION_REGEX = "(?iU)(?:" + "|".join(L.REGION_PATTERNS) + ")"
-CITY_GUARD = "(?i)" + "|".join(quoted(c) for c in (*L.HEBREW_CITIES, *L.ENGLISH_CITIES))
 SPELLINGS = (("Beer Sheva", "Be'er Sheva"), ("Raanana", "Ra'anana"), ("Yoqneam", "Yokneam"))
 
 
@@ -37,17 +36,17 @@ def canonical_city(text: Column) -> Column:
         f"named_struct('name', {sql_text(c.lower())}, 'pattern', {sql_text(f'(?i)(?<![A-Za-z]){quoted(c)}(?![A-Za-z])')}, 'city', {sql_text(canonical_name(c) + ', Israel')})"
         for c in L.ENGLISH_CITIES) + ")")
 
-    def city(compact: Column) -> Column:
+    def city(pair: Column) -> Column:
+        compact, low = pair["compact"], pair["low"]
         in_hebrew = F.get(F.filter(hebrew, lambda e: F.contains(compact, e["name"])), 0)["city"]
-        # The literal test on lower-case text is the cheap guard of the border test.
-        in_english = let(F.lower(compact), lambda low: F.get(
-            F.filter(english, lambda e: F.contains(low, e["name"]) & F.regexp_like(compact, e["pattern"])), 0)["city"])
+        # Literal tests on lower-case text are the cheap guards of the border tests.
+        in_english = F.get(F.filter(english, lambda e: F.contains(low, e["name"]) & F.regexp_like(compact, e["pattern"])), 0)["city"]
         country = F.when(
-            compact.rlike("(?<![A-Za-z])IL(?![A-Za-z])") | compact.rlike("(?i)(?<![A-Za-z])Israel(?![A-Za-z])")
-            | compact.contains("ישראל"), F.lit("Israel"))
-        return F.coalesce(F.when(compact.rlike(CITY_GUARD), F.coalesce(in_hebrew, in_english)), country, F.lit(""))
+            (low.contains("il") & compact.rlike("(?<![A-Za-z])IL(?![A-Za-z])")) | compact.contains("ישראל")
+            | (low.contains("israel") & compact.rlike("(?i)(?<![A-Za-z])Israel(?![A-Za-z])")), F.lit("Israel"))
+        return F.coalesce(in_hebrew, in_english, country, F.lit(""))
 
-    return let(squeeze(text), city)
+    return let(let(squeeze(text), lambda c: F.struct(c.alias("compact"), F.lower(c).alias("low"))), city)
 
 
 def location_tokens(location: Column) -> Column:

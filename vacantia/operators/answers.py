@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia import lexicons as L
 from vacantia.functions.contacts import phone_norm, split_name
-from vacantia.functions.text import any_of, contains_any, memory_norm, question_category, squeeze
+from vacantia.functions.text import contains_any, let, memory_norm, question_category, squeeze
 
 COMPANY, CATEGORY = "company:", "category:"
 GRAM = 12  # both sides need this many characters before a contained question counts
@@ -48,10 +48,13 @@ def answer_memory_scope(answers: DataFrame, jobs: DataFrame) -> DataFrame:
                        F.when(F.col("scope") == "company", 0).otherwise(1).alias("priority"))
 
 
-def grams(text: Column) -> Column:
-    """Distinct substrings of GRAM characters."""
-    starts = F.sequence(F.lit(1), F.length(text) - GRAM + 1)
-    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(starts, lambda i: text.substr(i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+def grams(text: Column, size: int = GRAM) -> Column:
+    """Distinct substrings of ``size`` characters (cut from the character array, so the cost is linear in the text)."""
+    def cut(chars: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(chars) - size + 1)
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), "")))
+
+    return F.when(F.length(text) >= size, let(F.split(text, ""), cut)).otherwise(F.array().cast("array<string>"))
 
 
 def answer_resolve(questions: DataFrame, answers: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -116,12 +119,17 @@ def _terms(text: Column, size: int) -> Column:
 
 
 def _occurrences(texts: DataFrame, terms: DataFrame, size: int) -> DataFrame:
-    """(user_id, seq, term) for every distinct term of the user that occurs in a text: pieces first, then the exact test."""
-    n = F.lit(size)
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - size + 1)), lambda i: F.col("low").substr(i, n)))
-    cut = texts.select("user_id", "seq", "low", F.explode(pieces).alias("g"))
+    """(user_id, seq, term) for every distinct term of the user that occurs in a text.
+
+    A term has no blanks, so it lies inside one word: the distinct words of a text are cut into pieces, joined
+    with the beginnings of the terms, and tested exactly.
+    """
+    words = texts.select("user_id", "seq", F.explode(F.array_distinct(F.split("low", r"[\s\p{Z}]+"))).alias("word"))
+    distinct = words.select("user_id", "word").distinct()
+    cut = distinct.select("user_id", "word", F.explode(grams(F.col("word"), size)).alias("g"))
     named = terms.filter("term <> ''").select("user_id", "term", F.substring("term", 1, size).alias("g"))
-    found = cut.join(named, ["user_id", "g"]).filter(F.col("low").contains(F.col("term"))).select("user_id", "seq", "term")
+    inside = cut.join(named, ["user_id", "g"]).filter(F.col("word").contains(F.col("term"))).select("user_id", "word", "term").distinct()
+    found = words.join(inside, ["user_id", "word"]).select("user_id", "seq", "term")
     free = texts.join(terms.filter("term = ''").select("user_id"), "user_id").select("user_id", "seq", F.lit("").alias("term"))
     return found.union(free).distinct()
 
@@ -176,5 +184,4 @@ def page_evidence(text: Column, before: int = 120, after: int = 240, size: int =
             found.append(F.when(at > 0, F.substring(squeeze(t.substr(start, length)), 1, size)))
         return F.coalesce(*found, F.lit(""))
 
-    from vacantia.functions.text import let
     return let(text, snippet)

@@ -248,7 +248,7 @@ t AS (SELECT *, trusted AND ((status BETWEEN 300 AND 399 AND location LIKE '%/th
 v AS (SELECT attempt_id, bool_or(yes) AS y, bool_or(no) AS n, arg_min(CASE WHEN status BETWEEN 200 AND 299 THEN app ELSE '' END, (seq, url, status, body, location)) FILTER (yes) AS ex, arg_max('HTTP ' || status::varchar || CASE WHEN err <> '' THEN ': ' || err ELSE '' END, (seq, url, status, body, location)) FILTER (no) AS er FROM u GROUP BY 1)
 SELECT attempt_id, CASE WHEN y THEN 'accepted' WHEN n THEN 'rejected' ELSE 'unknown' END AS outcome, CASE WHEN y THEN ex ELSE '' END AS external_id, CASE WHEN n AND NOT y THEN er ELSE '' END AS error FROM v""")
 def submission_outcome(spark, folder):
-    return Y.submission_outcome(view(spark, folder, "responses"))
+    return Y.submission_outcome(spread(view(spark, folder, "responses")))
 
 
 def _snippet(t):

@@ -8,7 +8,7 @@ from vacantia import lexicons as L
 from vacantia.functions import contacts as C, dates as D, features as X, locations as P, text as T, titles as H, urls as U
 from vacantia.operators.profiles import mirror_latest_job
 from vacantia.plans import duck as K
-from vacantia.plans.fixtures import table, view
+from vacantia.plans.fixtures import spread, table, view
 from vacantia.plans.registry import query
 
 
@@ -23,7 +23,7 @@ SELECT kind, id, {K.clean_text('pairs')} AS clean FROM p""")
 def clean_text(spark, folder):
     pages = table(spark, folder, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("body"))
     documents = table(spark, folder, "documents").select(F.lit("document"), "doc_id", "text")
-    return pages.union(documents).select("kind", "id", T.clean_text(F.col("body")).alias("clean"))
+    return spread(pages.union(documents)).select("kind", "id", T.clean_text(F.col("body")).alias("clean"))
 
 
 @query("html_to_text", f"SELECT page_id, {K.html_to_text('html')} AS plain FROM pages")
@@ -36,7 +36,7 @@ WITH p AS (SELECT doc_id, {K.clean_pairs('text')} AS pairs FROM documents),
 c AS (SELECT doc_id, {K.clean_text('pairs')} AS clean FROM p)
 SELECT doc_id, {K.quality('clean')} AS quality FROM c""")
 def text_quality(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", T.text_quality(F.col("text")).alias("quality"))
+    return spread(table(spark, folder, "documents")).select("doc_id", T.text_quality(F.col("text")).alias("quality"))
 
 
 @query("parse_posted_at", """
@@ -69,7 +69,7 @@ WITH p AS (SELECT job_id, location, {ROW_TEXT} AS body FROM @@postings)
 SELECT job_id, {K.canonical_city('location')} AS city, {K.canonical_city('body')} AS row_city FROM p""")
 def canonical_city(spark, folder):
     body = F.concat_ws(" ", "location", "title", "description")
-    return view(spark, folder, "postings").select(
+    return spread(view(spark, folder, "postings")).select(
         "job_id", P.canonical_city(F.col("location")).alias("city"), P.canonical_city(body).alias("row_city"))
 
 
@@ -89,7 +89,7 @@ WITH p AS (SELECT job_id, location, description || ' ' || workplace || CASE WHEN
 SELECT job_id, {_workplace('remote', 'hybrid')} AS remote_first, {_workplace('hybrid', 'remote')} AS hybrid_first FROM p""")
 def workplace_detect(spark, folder):
     body = F.concat(F.col("description"), F.lit(" "), F.col("workplace"), F.when(F.col("job_id") % 4 < 2, " Remote or hybrid").otherwise(""))
-    return view(spark, folder, "postings").select(
+    return spread(view(spark, folder, "postings")).select(
         "job_id", P.workplace_detect(body, F.col("location")).alias("remote_first"),
         P.workplace_detect(body, F.col("location"), "hybrid").alias("hybrid_first"))
 
@@ -236,7 +236,7 @@ WITH p AS (SELECT job_id, {LOW} AS low FROM @@postings)
 SELECT job_id, {K.experience_min('low')} AS experience_min, {K.experience_max('low')} AS experience_max FROM p""")
 def experience_extract(spark, folder):
     found = X.experience_extract(title_text())
-    return view(spark, folder, "postings").select("job_id", found.alias("e")).select("job_id", "e.*")
+    return spread(view(spark, folder, "postings")).select("job_id", found.alias("e")).select("job_id", "e.*")
 
 
 @query("experience_buckets", f"""
@@ -244,7 +244,7 @@ WITH p AS (SELECT job_id, {LOW} AS low FROM @@postings),
 e AS (SELECT job_id, {K.experience_min('low')} AS lo, {K.experience_max('low')} AS hi FROM p)
 SELECT job_id, {K.joined(K.buckets('lo', 'hi'))} AS buckets FROM e""")
 def experience_buckets(spark, folder):
-    rows = view(spark, folder, "postings").select("job_id", X.experience_extract(title_text()).alias("e"))
+    rows = spread(view(spark, folder, "postings")).select("job_id", X.experience_extract(title_text()).alias("e"))
     return rows.select("job_id", joined(X.experience_buckets(F.col("e.experience_min"), F.col("e.experience_max"))).alias("buckets"))
 
 
@@ -260,12 +260,12 @@ def seniority_of_years(spark, folder):
 
 @query("employment_type", f"WITH p AS (SELECT job_id, {LOW} AS low FROM @@postings) SELECT job_id, {K.first('low', L.EMPLOYMENT_TYPES)} AS employment FROM p")
 def employment_type(spark, folder):
-    return view(spark, folder, "postings").select("job_id", X.employment_type(title_text()).alias("employment"))
+    return spread(view(spark, folder, "postings")).select("job_id", X.employment_type(title_text()).alias("employment"))
 
 
 @query("skills_extract", f"WITH p AS (SELECT job_id, {LOW} AS low FROM @@postings) SELECT job_id, {K.joined(K.keys('low', L.SKILLS))} AS skills FROM p")
 def skills_extract(spark, folder):
-    return view(spark, folder, "postings").select("job_id", joined(X.skills_extract(title_text())).alias("skills"))
+    return spread(view(spark, folder, "postings")).select("job_id", joined(X.skills_extract(title_text())).alias("skills"))
 
 
 SKILL_CLASSES_SQL = rf"""
@@ -291,7 +291,7 @@ classes AS (SELECT job_id, all_skills, required, preferred, CASE WHEN len(requir
 def skills_classify(spark, folder):
     from vacantia.operators.job_features import skill_classes
 
-    rows = skill_classes(view(spark, folder, "postings"))
+    rows = skill_classes(spread(view(spark, folder, "postings")))
     return rows.select("job_id", *[joined(F.col(c)).alias(c) for c in ("required", "preferred", "supporting")])
 
 
