@@ -40,6 +40,8 @@ def job_features(postings: DataFrame) -> DataFrame:
         "low_text": F.lower(F.concat(title, F.lit(" "), description)),
         "full_text": F.lower(F.concat(title, F.lit(" "), description, F.lit(" "), F.coalesce("location", F.lit("")))),
         "quality": T.text_quality(F.col("description")),
+        # Scoring needs the length only, so the description itself does not travel to the profiles.
+        "description_length": F.length(F.trim(description)),
         "track": X.track_relevance(F.col("title"), F.col("description"), F.col("career_track")),
         "experience": X.experience_extract(F.concat(title, F.lit(" "), description)),
         "seniority": X.seniority_detect(F.col("title")),

@@ -148,7 +148,7 @@ def tier_of(score: Column, state: Column, cfg: Config) -> Column:
 
 def confidence() -> Column:
     """Confidence in a recommendation from how much of the posting is known."""
-    length = F.length(F.trim(F.coalesce("description", F.lit(""))))
+    length = F.col("description_length")
     signal = lambda c: F.when(c, 1).otherwise(0)
     signals = (1 + F.when(length >= 120, 2).when(length > 0, 1).otherwise(0) + signal(F.length("location") > 0)
                + signal(F.col("published_at").isNotNull()) + signal(F.col("experience.experience_min").isNotNull())
