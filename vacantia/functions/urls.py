@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from vacantia import lexicons as L
-from vacantia.functions.text import any_of, contains_any
+from vacantia.functions.text import contains_any
 
 AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 GREENHOUSE_BOARD = "https://job-boards.greenhouse.io/"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacantia import lexicons as L
 from vacantia.functions.contacts import phone_norm, split_name
 from vacantia.functions.text import contains_any, let, memory_norm, question_category, squeeze
 

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacantia import lexicons as L
 
 
 def mirror_latest_job(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -196,9 +196,8 @@ SELECT a.o_orderkey AS application_id, a.job_id, {OWNER.format('a.job_id')} AS u
   CAST(a.o_orderkey % 5 AS INT) AS attempt_count,
   CASE WHEN a.o_orderkey % 3 = 0 THEN a.o_orderkey % 40 END AS resume_id,
   CASE a.o_orderkey % 3 WHEN 0 THEN '{{"approved_once":"yes","city":"Haifa"}}' WHEN 1 THEN '{{"city":"Lod"}}' ELSE 'broken' END AS answers
-FROM (SELECT o.*, (o.o_orderkey % n.n) * 2 AS job_id,
-        row_number() OVER (PARTITION BY o.o_orderkey % n.n ORDER BY o.o_orderkey) AS rn
-      FROM @orders o JOIN (SELECT count(*) AS n FROM @documents) n ON n.n > 0) a
+FROM (SELECT o.*, o.k * 2 AS job_id, row_number() OVER (PARTITION BY o.k ORDER BY o.o_orderkey) AS rn
+      FROM (SELECT q.*, q.o_orderkey % (SELECT count(*) FROM @documents) AS k FROM @orders q) o) a
 WHERE a.rn = 1
 """
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vacantia import lexicons as L
 from vacantia.functions.dates import timestamp
 from vacantia.operators import filters as R, funnel as U, source_state as Z
 from vacantia.plans import duck as K
-from vacantia.plans.fixtures import NOW, table, view
+from vacantia.plans.fixtures import NOW, view
 from vacantia.plans.registry import query
 
 LATE = "2024-01-30 20:00:00"

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from vacantia import lexicons as L
 from vacantia.functions import features as X
-from vacantia.operators import answers as A, funnel as U, lifecycle as Y, profiles as O, readmodels as M, source_state as Z
+from vacantia.operators import answers as A, lifecycle as Y, readmodels as M, source_state as Z
 from vacantia.plans import duck as K
-from vacantia.plans.fixtures import NOW, spread, table, view
+from vacantia.plans.fixtures import spread, table, view
 from vacantia.plans.funnel_queries import READ, now, read_model
 from vacantia.plans.registry import query
 from vacantia.plans.text_queries import _category, joined

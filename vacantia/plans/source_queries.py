@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantia import lexicons as L
-from vacantia.functions import titles as H
 from vacantia.operators import filters as R
 from vacantia.plans import duck as K
 from vacantia.plans.fixtures import spread, table, view
-from vacantia.plans.funnel_queries import read_model
 from vacantia.plans.registry import query
-from vacantia.plans.text_queries import _cta, _human, _slug, _workplace
+from vacantia.plans.text_queries import _workplace
 from vacantia.sources import boards as B, exchange as E, sites as S
 
 PAGE = 50  # postings per landed API page
