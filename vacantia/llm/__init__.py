@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vacantia.llm import quality_rules
+from vacantia.llm import byte_bpe, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.oracle(),
