@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vacantia.llm import byte_bpe, quality_rules
+from vacantia.llm import byte_bpe, quality_rules, url_filters
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_url_filters": url_filters.op9_url_filters,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.oracle(),
+    "op9_url_filters": url_filters.oracle(),
 }
