@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vacantia.llm import byte_bpe, quality_rules, url_filters
+from vacantia.llm import byte_bpe, quality_rules, token_files, url_filters
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
