@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from vacantia.llm import byte_bpe, quality_rules, secret_scan, token_files, url_filters
+from vacantia.llm import byte_bpe, exact_topk, quality_rules, secret_scan, token_files, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op7_exact_topk": exact_topk.op7_exact_topk,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.oracle(),
+    "op7_exact_topk": exact_topk.oracle(),
     "op9_url_filters": url_filters.oracle(),
 }
