@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vacantia.llm import best_fit, byte_bpe, exact_topk, quality_rules, secret_scan, token_files, url_filters
+from vacantia.llm import best_fit, byte_bpe, exact_topk, near_dups, quality_rules, secret_scan, token_files, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_near_dups": near_dups.op3_near_dups,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_best_fit": best_fit.op5_best_fit,
     "op7_exact_topk": exact_topk.op7_exact_topk,
