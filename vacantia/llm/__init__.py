@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacantia.llm import best_fit, byte_bpe, exact_topk, near_dups, quality_rules, secret_scan, token_files, url_filters
+from vacantia.llm import best_fit, byte_bpe, exact_topk, near_dups, quality_rules, secret_scan, token_files, toxicity, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dups": near_dups.op3_near_dups,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_best_fit": best_fit.op5_best_fit,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_topk": exact_topk.op7_exact_topk,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
