@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacantia.llm import best_fit, byte_bpe, exact_topk, near_dups, quality_rules, secret_scan, token_files, toxicity, url_filters
+from vacantia.llm import best_fit, byte_bpe, chat_format, exact_topk, near_dups, quality_rules, secret_scan, token_files, toxicity, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -14,9 +14,11 @@ QUERIES = {
     "op7_exact_topk": exact_topk.op7_exact_topk,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.oracle(),
     "op7_exact_topk": exact_topk.oracle(),
     "op9_url_filters": url_filters.oracle(),
+    "op10_chat_format": chat_format.oracle(),
 }
