@@ -7,7 +7,7 @@ of ``ERRORS`` places left out, so such a pair shares an entry: all pairs under t
 for a chance of 4e-7 (14 chunks of 6 places, one error); pairs further apart than ``FAR`` places are dropped, which two sets at 0.8
 exceed with a chance of 1e-10. What remains is confirmed on the full sets.
 
-Rows with the same set form a class, and one row stands for it. Members of an entry are never paired with each other outright:
+Rows with the same set form a class, and the class takes part as one node, named by 64 bits of its set. Members of an entry are never paired with each other outright:
 
 1. every member with the smallest member that it meets;
 2. twice, neighbours in a random order within an entry, where they are in different components so far;
@@ -130,7 +130,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect all similar sets of ``standing`` (doc, n, set_id, signature), one row per class."""
+    """Confirmed links (a, b) that connect all similar sets of ``standing`` (doc, doc_id, n, set_id, signature): one row per class,
+    ``doc`` being its node and ``doc_id`` one of its rows."""
     # Sets of up to three shingles are similar only if they are equal.
     wide = standing.where("n > 3").select("doc", "signature")
     keyed = wide.mapInArrow(_entries, "entry long, doc long")
@@ -139,9 +140,9 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
     entries = stored(keyed.select("entry", "doc", "least"), "entries")
 
     involved = stored(entries.select("doc").distinct().join(standing, "doc"), "involved")
-    wanted = involved.select("doc", "set_id")
+    wanted = involved.select("doc", "doc_id", "set_id")
     side = F.broadcast(wanted) if involved.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(side, "doc").select("doc", "set_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id").select("doc", "set_id", "text")
     sets = stored(texts.mapInArrow(lambda x: _sets(x, width), "doc long, hashes binary"), "sets")
 
     def side_of(name: str, *columns: str) -> DataFrame:
@@ -180,26 +181,44 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept."""
     docs = docs.select("doc_id", "text")
     sketched = sketches(docs, width)
-    filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    node = F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long")
+    filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("doc", node)
+    classes = filled.groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("set_id").alias("set_id"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
-    # A row whose doc_id stands for several sets takes part once per set.
-    found = links(docs, classes.dropDuplicates(["doc"]), width, percent)
-    labels = smallest_labels(found)
-    named = classes.select("set_id", "doc").join(labels.toDF("doc", "label"), "doc", "left").select("set_id", F.coalesce("label", "doc").alias("label"))
-    out = sketched.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    # Rows that share a doc_id link the classes of their texts.
+    shared = filled.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where("b < most").select("doc_id", "b")
+    shared = filled.select("doc_id", F.col("doc").alias("a")).join(shared, "doc_id").select("a", "b")
+    labels = smallest_labels(links(docs, classes, width, percent).union(shared))
+    named = classes.select("doc", "doc_id").join(labels.toDF("doc", "part"), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
+    least = named.groupBy("part").agg(F.min("doc_id").alias("label"))
+    named = named.join(least, "part").select("doc", "label")
+    out = sketched.select("doc_id", "n_shingles", node.alias("doc")).join(named, "doc", "left")
     label = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), label).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the smallest of their component, with the columns they came with."""
-    judged = components(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent)
+    """One row of ``docs`` per component, that with the smallest doc_id, with the columns they came with; rows without doc_id stay.
+
+    Of rows that share a doc_id one stays, that with the smallest text hash.
+    """
+    judged = stored(components(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent), "components")
     gone = unused(docs.columns, "gone_id")
-    dropped = stored(judged.where("NOT kept").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
-    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    return docs.join(side, docs[doc_id] == side[gone], "left_anti")
+
+    def ids(rows: DataFrame) -> DataFrame:
+        rows = stored(rows.select(F.col("doc_id").alias(gone)), "ids")
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    dropped = ids(judged.where("NOT kept").select("doc_id").distinct())
+    kept = docs.join(dropped, docs[doc_id] == dropped[gone], "left_anti")
+    repeated = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    twice = ids(repeated)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    firsts = kept.join(twice, kept[doc_id] == twice[gone], "left_semi").groupBy(F.col(doc_id).alias(gone)).agg(F.min_by(row, F.xxhash64(text)).alias("row")).select("row.*")
+    return kept.join(twice, kept[doc_id] == twice[gone], "left_anti").union(firsts)
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
