@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm.units import UNITS, Memory, is_plain
+from vacantia.llm.units import UNITS, Memory, byte_alphabet, is_plain
 
 #: Rows that are held at once as Python texts.
 STEP = 128
@@ -37,13 +37,6 @@ def ranks_of(file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def byte_alphabet() -> list[str]:
-    """One printable character per byte: itself where it prints, else the next free one from U+0100 on."""
-    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
-
-
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 0x7F:

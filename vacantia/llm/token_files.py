@@ -1,7 +1,7 @@
 """Token-id files: one id array per shard, with Elias-Fano coded document boundaries.
 
 A shard is a range of documents in ascending doc_id order. ``<shard>.ids`` holds the ids of its documents in a row, as little-endian
-unsigned 32-bit integers. ``<shard>.ef`` holds a header and two Elias-Fano sequences: the token counts before each document (and the
+unsigned integers of 16 bits if the vocabulary fits them, else of 32. ``<shard>.ef`` holds a header and two Elias-Fano sequences: the token counts before each document (and the
 total), and the document ids. A sequence of n values below u takes about n * (2 + log2(u / n)) bits; places of every 512th set bit
 are kept, so that ``select`` reads one value without a table of offsets.
 
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from vacantia.llm.shared import folder, stored
 from vacantia.llm.units import encoder
 
-MAGIC, SAMPLE = b"TOKSHRD1", 512
+MAGIC, SAMPLE, HEAD = b"TOKSHRD2", 512, struct.Struct("<8sBQQq")
 #: Bytes of ids that a reader holds at once.
 CHUNK = 4 << 20
 
@@ -95,7 +95,7 @@ class EliasFano:
 MANIFEST = "shard string, first_doc long, first_place long, n_docs long, n_tokens long"
 
 
-def _write_shard(root: str, batches: Iterable[pa.RecordBatch], encode: Callable[[str], bytes], end: bytes) -> Iterator[pa.RecordBatch]:
+def _write_shard(root: str, batches: Iterable[pa.RecordBatch], encode: Callable[[str], bytes], end: bytes, width: int) -> Iterator[pa.RecordBatch]:
     """The rows (doc_id, place, text) of one task, in order, as one shard; yields its manifest row, or nothing for no rows."""
     store, base = fs.FileSystem.from_uri(root)
     name, first, ids, bounds, out = uuid.uuid4().hex, None, [], [0], None
@@ -106,14 +106,14 @@ def _write_shard(root: str, batches: Iterable[pa.RecordBatch], encode: Callable[
         ids += batch.column(0).to_pylist()
         for text in batch.column(2):
             data = encode(text.as_py() or "") + end
-            out.write(data)
+            out.write(data if width == 4 else np.frombuffer(data, "<u4").astype("<u2").tobytes())
             bounds.append(bounds[-1] + len(data) // 4)
     if out is None:
         return
     out.close()
     named = [i for i in ids if i is not None]
     least = named[0] if named else 0
-    head = struct.pack("<8sQQq", MAGIC, len(ids), len(ids) - len(named), least)
+    head = HEAD.pack(MAGIC, width, len(ids), len(ids) - len(named), least)
     with store.open_output_stream(f"{base}/{name}.ef") as index:
         index.write(head)
         index.write(EliasFano.build(np.array(bounds, np.uint64)).dumps())
@@ -128,10 +128,10 @@ class Shard:
         store, base = fs.FileSystem.from_uri(root)
         with store.open_input_stream(f"{base}/{name}.ef") as f:
             data = f.read()
-        magic, self.n_docs, self.nameless, self.least = struct.unpack_from("<8sQQq", data)
+        magic, self.width, self.n_docs, self.nameless, self.least = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError(f"{name} is not a shard")
-        self.bounds, at = EliasFano.loads(data, struct.calcsize("<8sQQq"))
+        self.bounds, at = EliasFano.loads(data, HEAD.size)
         self.ids, _ = EliasFano.loads(data, at)
         self.file = store.open_input_file(f"{base}/{name}.ids")
 
@@ -142,13 +142,13 @@ class Shard:
     def tokens(self, i: int) -> np.ndarray:
         """The ids of document i."""
         start, stop = self.span(i)
-        return np.frombuffer(self.file.read_at(4 * (stop - start), 4 * start), "<u4")
+        return np.frombuffer(self.file.read_at(self.width * (stop - start), self.width * start), f"<u{self.width}").astype("<u4")
 
     def doc_ids(self) -> list[int | None]:
         return [None] * self.nameless + [int(v) + self.least for v in self.ids.values()]
 
     def documents(self) -> Iterator[tuple[int | None, int, Iterator[bytes]]]:
-        """Per document: doc_id, first token, and its ids in pieces. Files are read in order, ``CHUNK`` bytes at most at once."""
+        """Per document: doc_id, first token, and its ids in pieces of 32-bit integers. Files are read in order, ``CHUNK`` bytes at most at once."""
         bounds = self.bounds.values().astype(np.int64)
         held, at = b"", 0
 
@@ -157,11 +157,12 @@ class Shard:
             while start < stop:
                 if not at <= start < at + len(held):
                     held, at = self.file.read_at(CHUNK, start), start
-                yield held[start - at : stop - at]
+                part = held[start - at : stop - at]
+                yield part if self.width == 4 else np.frombuffer(part, "<u2").astype("<u4").tobytes()
                 start = min(stop, at + len(held))
 
         for doc, start, stop in zip(self.doc_ids(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield doc, start, pieces(4 * start, 4 * stop)
+            yield doc, start, pieces(self.width * start, self.width * stop)
 
 
 def write(docs: DataFrame, root: str, file: str, units: str, end_id: int) -> DataFrame:
@@ -171,7 +172,8 @@ def write(docs: DataFrame, root: str, file: str, units: str, end_id: int) -> Dat
     end = struct.pack("<I", end_id)
 
     def shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _write_shard(root, batches, encoder(file, units).encode, end)
+        encode = encoder(file, units)
+        return _write_shard(root, batches, encode.encode, end, 2 if encode.size <= 1 << 16 and end_id < 1 << 16 else 4)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("place"), "text")
     ranged = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")

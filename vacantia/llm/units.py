@@ -52,8 +52,19 @@ class Memory(dict):
         return value
 
 
+def byte_alphabet() -> list[str]:
+    """One printable character per byte: itself where it prints, else the next free one from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
+
+
 class UnitEncoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers in bytes."""
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers in bytes.
+
+    A unit of Latin letters is one pre-token: it goes straight to the tokenizer's model, each letter as the tokenizer's normaliser
+    and byte alphabet write it. All other units go through the tokenizer.
+    """
 
     def __init__(self, file: str, units: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,11 +72,22 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.units, self.known = UNITS[units], Memory(self.whole)
+        self.units, self.known = UNITS[units], Memory(self.fresh)
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        alphabet = byte_alphabet()
+        written = {ord(c): "".join(alphabet[b] for b in normal(c).encode()) for c in map(chr, range(256)) if re.fullmatch(f"[{_LETTER}]", c)}
+        self.written = written | {ord(" "): alphabet[ord(" ")]}
+        self.size = self.tokenizer.get_vocab_size()
+        self.letters = re.compile(f"[ ]?[{_LETTER}]+").fullmatch
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def fresh(self, unit: str) -> bytes:
+        if self.letters(unit):
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(unit.translate(self.written))]).tobytes()
+        return self.whole(unit)
+
     def encode(self, text: str) -> bytes:
         if is_plain(text):
             return b"".join(map(self.known.__getitem__, self.units.findall(text)))
