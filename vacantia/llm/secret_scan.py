@@ -269,9 +269,8 @@ def _reported(batches: Iterable[pa.RecordBatch], rules: tuple[Rule, ...], base:
         yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([",".join(r) for r in rows], pa.string())], [batch.schema.names[0], *(f"n_{k}" for k in own), "base_sha256", "spans"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
-    """Per row of ``docs``: doc_id, spans per base kind, the digest of the base spans, and all spans (kind:start:end by start)."""
-    docs = docs.select("doc_id", "text")
+def _both_passes(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, text_hash, spans of the scanning rules and ``more`` of the verified ones, per row of ``docs`` (doc_id, text)."""
     rows, lists = build_index(docs, rules)
     wanted = stored(candidates(rows, lists, rules), "secret-candidates")
     small = wanted.count() <= BROADCAST_ROWS
@@ -284,8 +283,51 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...
     more = more.where("more <> ''").distinct()  # rows with the same text
     a, b = rows.alias("a"), more.alias("b")
     both = a.join(b, (F.col("a.text_hash") == F.col("b.text_hash")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
+    return both.select("a.doc_id", "a.text_hash", "a.spans", "b.more")
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
+    """Per row of ``docs``: doc_id, spans per base kind, the digest of the base spans, and all spans (kind:start:end by start)."""
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     layout = f"doc_id {kind}, " + "".join(f"n_{r.kind} long, " for r in base) + "base_sha256 string, spans string"
-    return both.select("a.doc_id", "a.spans", "b.more").mapInArrow(lambda x: _reported(x, rules, base), layout)
+    return _both_passes(docs, rules).select("doc_id", "spans", "more").mapInArrow(lambda x: _reported(x, rules, base), layout)
+
+
+def _spans_of(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, text_hash and all spans by start of the rows that have any, each pair once."""
+    kinds = {r.kind: i for i, r in enumerate(rules)}
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [",".join(_ordered(f"{a or ''},{b or ''}", kinds)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.string())], ["doc_id", "text_hash", "spans"])
+
+    hit = _both_passes(docs, rules).where("spans <> '' OR more <> ''")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return hit.mapInArrow(joined, f"doc_id {kind}, text_hash long, spans string").distinct()
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` with each secret replaced by ``[kind]`` (of overlapping ones the first), and ``n_chars``, where there is
+    such a column, of the new text. All rows and columns stay; texts without secrets are untouched."""
+    key, mark = unused(docs.columns, "key_hash"), unused(docs.columns, "found_spans")
+    hits = stored(_spans_of(docs.select("doc_id", "text"), rules), "secret-spans").toDF("hit_id", "hit_hash", mark)
+    side = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+    joined = docs.withColumn(key, F.xxhash64("text")).join(side, (F.col(key) == side["hit_hash"]) & F.col("doc_id").eqNullSafe(side["hit_id"]), "left")
+    text = F.col("text")
+
+    def swap(done, span):
+        parts = F.split(span, ":")
+        start, stop = parts[1].cast("int"), parts[2].cast("int")
+        put = F.concat(done["out"], F.substr(text, done["at"] + 1, start - done["at"]), F.lit("["), parts[0], F.lit("]"))
+        return F.struct(F.when(start >= done["at"], put).otherwise(done["out"]).alias("out"), F.greatest(done["at"], stop).alias("at"))
+
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    swapped = F.aggregate(F.split(mark, ","), begin, swap, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)))
+    new = F.when(F.col(mark).isNotNull(), swapped).otherwise(text)
+    columns = {"text": new, "n_chars": F.when(F.col(mark).isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": new}
+    return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
