@@ -87,7 +87,7 @@ def place(text: Column) -> Column:
 def phone_norm(text: Column) -> Column:
     """Digits; the country prefix becomes a national 0 when nine digits follow."""
     digits = F.regexp_replace(F.coalesce(text, F.lit("")), r"\D", "")
-    digits = F.when(digits.startswith("00972"), F.substring(digits, 3, 100)).otherwise(digits)
+    digits = F.when(digits.startswith("00972"), F.substr(digits, F.lit(3))).otherwise(digits)
     return F.when(digits.rlike("^9720?[0-9]{9}$"), F.concat(F.lit("0"), F.right(digits, F.lit(9)))).otherwise(digits)
 
 
@@ -95,4 +95,4 @@ def split_name(name: Column) -> Column:
     """struct(first_name, last_name)."""
     parts = F.filter(F.split(squeeze(name), " "), lambda p: p != "")
     return F.struct(F.coalesce(F.get(parts, 0), F.lit("")).alias("first_name"),
-                    F.array_join(F.slice(parts, 2, 1000), " ").alias("last_name"))
+                    F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(0))), " ").alias("last_name"))

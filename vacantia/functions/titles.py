@@ -39,7 +39,7 @@ def title_human(title: Column, link_text: Column) -> Column:
 def slug_title(slug: Column, upper=L.UPPERCASE_SLUG_WORDS) -> Column:
     words = F.filter(F.split(F.replace(slug, F.lit("_"), F.lit("-")), "-"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.when(F.lower(w).isin(*upper), F.upper(w)).otherwise(
-        F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 2_000_000))))), " ")
+        F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))), " ")
 
 
 def link_slug(href: Column, offset: int) -> Column:

@@ -61,20 +61,20 @@ def snapshot_reconcile(catalogue: DataFrame, snapshot: DataFrame, profiles: Data
 
 
 def duplicate_links(catalogue: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """Alternate links: arrivals whose fingerprint already stands under another source.
+    """Alternate links: arrivals whose fingerprint already stands under another source of the same user.
 
-    The winner of a fingerprint is the oldest active catalogue posting, else the first arrival.  The result
+    The winner of a user's fingerprint is the oldest active catalogue posting, else the first arrival.  The result
     is a table of links (one row per posting and new url), never a list collected per posting.
     """
     mark = fingerprint(F.col("title"), F.col("company"), F.col("location")).alias("fingerprint")
-    stored = catalogue.filter("is_active").select(mark, F.lit(0).alias("rank"), "discovered_at", "source_id", "external_id", "apply_url")
-    new = arrivals.select(mark, F.lit(1).alias("rank"), F.lit(None).cast("timestamp").alias("discovered_at"), "source_id", "external_id", "apply_url")
-    winner = stored.union(new).groupBy("fingerprint").agg(
+    stored = catalogue.filter("is_active").select("user_id", mark, F.lit(0).alias("rank"), "discovered_at", "source_id", "external_id", "apply_url")
+    new = arrivals.select("user_id", mark, F.lit(1).alias("rank"), F.lit(None).cast("timestamp").alias("discovered_at"), "source_id", "external_id", "apply_url")
+    winner = stored.union(new).groupBy("user_id", "fingerprint").agg(
         F.min(F.struct("rank", "discovered_at", "source_id", "external_id", "apply_url")).alias("winner"))
-    links = new.join(winner, "fingerprint").filter(
+    links = new.join(winner, ["user_id", "fingerprint"]).filter(
         (F.col("winner.source_id") != F.col("source_id")) & (F.col("winner.apply_url") != F.col("apply_url")))
-    return links.groupBy(F.col("winner.source_id").alias("job_source_id"), F.col("winner.external_id").alias("job_external_id"), "apply_url").agg(
-        F.min(F.struct("source_id", "external_id")).alias("first")).select("job_source_id", "job_external_id", "apply_url", "first.*")
+    return links.groupBy("user_id", F.col("winner.source_id").alias("job_source_id"), F.col("winner.external_id").alias("job_external_id"), "apply_url").agg(
+        F.min(F.struct("source_id", "external_id")).alias("first")).select("user_id", "job_source_id", "job_external_id", "apply_url", "first.*")
 
 
 def new_arrivals(catalogue: DataFrame, snapshot: DataFrame, profiles: DataFrame) -> DataFrame:

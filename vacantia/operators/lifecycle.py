@@ -41,9 +41,9 @@ def applications_list(rows: DataFrame, now: Column, status: str | None = None) -
 
 def blockers_list(blockers: DataFrame, rows: DataFrame, status: str = "open") -> DataFrame:
     chosen = blockers if status == "all" else blockers.filter(F.col("status") == status)
-    joined = chosen.join(rows.select("application_id", "career_track", "title"), "application_id")
-    slim = joined.select("career_track", "blocker_id", "application_id", "kind", "title", "created_at")
-    return positions(slim, [F.col("created_at").desc(), F.col("blocker_id").desc()], ("career_track",))
+    joined = chosen.join(rows.select("application_id", "user_id", "career_track", "title"), "application_id")
+    slim = joined.select("user_id", "career_track", "blocker_id", "application_id", "kind", "title", "created_at")
+    return positions(slim, [F.col("created_at").desc(), F.col("blocker_id").desc()], ("user_id", "career_track"))
 
 
 def blocker_relabel(rows: DataFrame) -> DataFrame:

@@ -46,26 +46,26 @@ def top_recommendations(ranked: DataFrame, size: int = 5) -> DataFrame:
 
 
 def all_tracks(counts: DataFrame) -> DataFrame:
-    """The counts with a zero row for every track that has none."""
-    spark = counts.sparkSession
-    tracks = spark.createDataFrame([(t,) for t in L.TRACKS], "career_track string")
-    return tracks.join(counts, "career_track", "left").fillna(0)
+    """The counts per user with a zero row for every track that has none."""
+    tracks = F.explode(F.array(*[F.lit(t) for t in L.TRACKS])).alias("career_track")
+    every = counts.select("user_id").distinct().select("user_id", tracks)
+    return every.join(counts, ["user_id", "career_track"], "left").fillna(0)
 
 
 def track_stats(sources: DataFrame, postings: DataFrame) -> DataFrame:
     known = F.when(F.col("career_track").isin(*L.TRACKS), F.col("career_track")).otherwise(L.CS)
-    of_sources = sources.groupBy(known.alias("career_track")).agg(
+    of_sources = sources.groupBy("user_id", known.alias("career_track")).agg(
         F.count_if(F.expr("enabled AND kind <> 'demo'")).alias("enabled_sources"), F.count_if(F.expr("enabled AND last_error <> ''")).alias("source_errors"))
-    of_jobs = postings.groupBy("career_track").agg(
+    of_jobs = postings.groupBy("user_id", "career_track").agg(
         F.count_if("is_active").alias("jobs"), F.count_if(F.expr("is_active AND score >= 80")).alias("strong_matches"))
-    return all_tracks(of_sources.join(of_jobs, "career_track", "full_outer"))
+    return all_tracks(of_sources.join(of_jobs, ["user_id", "career_track"], "full_outer"))
 
 
 def track_stats_ranked(postings: DataFrame, rankings: DataFrame, engine_version: int) -> DataFrame:
     valid = rankings.filter((F.col("engine") == "v2") & ~F.col("stale") & (F.col("error") == "") & (F.col("engine_version") == engine_version)
                             & (F.col("eligibility_state") != "excluded")).select("job_id", "tier")
     rows = postings.filter("is_active").join(valid, "job_id")
-    return all_tracks(rows.groupBy("career_track").agg(
+    return all_tracks(rows.groupBy("user_id", "career_track").agg(
         F.count("*").alias("jobs"), F.count_if(F.col("tier").isin("top_match", "strong_match")).alias("strong_matches")))
 
 

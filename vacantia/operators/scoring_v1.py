@@ -13,7 +13,6 @@ from vacantia.functions.text import has_term_column
 from vacantia.operators.pairs import excluded_level, strings
 
 BASE, CATEGORIES = 15, ("title", "skills", "experience", "location", "freshness")
-LOCATION_MAY_MATTER = r"\d|year|yr|exp|grad|שנ|סיון|" + "|".join(L.EXPERIENCE_OPTIONAL_CUES)
 
 
 def weight(rank: Column, floor: float = 0.45) -> Column:
@@ -32,8 +31,8 @@ def ranked_points(ranks: Column, maximum: int) -> Column:
 
 
 def _experience_with_location() -> Column:
-    """The requirement in title, description and location; the location rarely adds to it."""
-    return F.when(F.lower(F.coalesce("location", F.lit(""))).rlike(LOCATION_MAY_MATTER), X.experience_extract(F.col("full_text"))).otherwise(F.col("experience"))
+    """The requirement in title, description and location."""
+    return X.experience_extract(F.col("full_text"))
 
 
 def freshness(now: Column, published: Column, last_seen: Column) -> Column:

@@ -109,13 +109,13 @@ ARRIVALS = f"{S.profile_ctes()}, {judge_ctes('(SELECT * FROM @@snap_curr c WHERE
 
 
 @query("duplicate_merge", f"""WITH {ARRIVALS},
-al AS (SELECT {FINGERPRINT} AS fp, 0 AS rank, discovered_at, source_id, external_id, apply_url FROM @@snap_prev WHERE is_active
-  UNION ALL SELECT {FINGERPRINT}, 1, NULL, source_id, external_id, apply_url FROM ar),
-wi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY rank, discovered_at, source_id, external_id, apply_url) AS rn FROM al) WHERE rn = 1),
-li AS (SELECT w.source_id AS job_source_id, w.external_id AS job_external_id, a.apply_url, a.source_id, a.external_id,
-  row_number() OVER (PARTITION BY w.source_id, w.external_id, a.apply_url ORDER BY a.source_id, a.external_id) AS rn
-  FROM al a JOIN wi w USING (fp) WHERE a.rank = 1 AND w.source_id <> a.source_id AND w.apply_url <> a.apply_url)
-SELECT job_source_id, job_external_id, apply_url, source_id, external_id FROM li WHERE rn = 1""")
+al AS (SELECT user_id, {FINGERPRINT} AS fp, 0 AS rank, discovered_at, source_id, external_id, apply_url FROM @@snap_prev WHERE is_active
+  UNION ALL SELECT user_id, {FINGERPRINT}, 1, NULL, source_id, external_id, apply_url FROM ar),
+wi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, fp ORDER BY rank, discovered_at, source_id, external_id, apply_url) AS rn FROM al) WHERE rn = 1),
+li AS (SELECT w.user_id, w.source_id AS job_source_id, w.external_id AS job_external_id, a.apply_url, a.source_id, a.external_id,
+  row_number() OVER (PARTITION BY w.user_id, w.source_id, w.external_id, a.apply_url ORDER BY a.source_id, a.external_id) AS rn
+  FROM al a JOIN wi w ON w.user_id = a.user_id AND w.fp = a.fp WHERE a.rank = 1 AND w.source_id <> a.source_id AND w.apply_url <> a.apply_url)
+SELECT user_id, job_source_id, job_external_id, apply_url, source_id, external_id FROM li WHERE rn = 1""")
 def duplicate_merge(spark, folder):
     prev, curr, profiles = snapshots(spark, folder)
     return C.duplicate_links(prev, C.new_arrivals(prev, curr, profiles))
@@ -158,12 +158,10 @@ def cascade_delete(spark, folder):
 
 
 @query("purge_foreign", f"""WITH f AS (SELECT p.user_id, p.job_id, p.title, CASE WHEN coalesce({SUBMITTED}, false) THEN 'inactive' ELSE 'deleted' END AS outcome FROM @@postings p LEFT JOIN @@applications a USING (job_id)
-  WHERE NOT {K.in_region('p.location')}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY job_id) AS position, count(*) OVER (PARTITION BY user_id) AS total FROM f)
-SELECT user_id, job_id, title, outcome, position::int AS position, total, total > 100 AS truncated FROM r WHERE position <= 100""")
+  WHERE NOT {K.in_region('p.location')}) SELECT user_id, job_id, title, outcome FROM f""")
 def purge_foreign(spark, folder):
     rows = R.job_applications(view(spark, folder, "postings"), view(spark, folder, "applications"), "left")
-    foreign = C.deactivate_or_delete(rows.filter(~P.in_region(F.col("location"))), now()).select("user_id", "job_id", "title", "outcome")
-    return C.bounded_details(foreign, [F.col("job_id")], ["user_id"])
+    return C.deactivate_or_delete(rows.filter(~P.in_region(F.col("location"))), now()).select("user_id", "job_id", "title", "outcome")
 
 
 @query("bounded_details", f"""WITH {RECONCILE}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY external_id) AS position, count(*) OVER (PARTITION BY source_id) AS total FROM rec WHERE action = 'remove')

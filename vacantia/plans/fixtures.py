@@ -375,9 +375,12 @@ def render(sql: str, dialect: str, folder: str = "") -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files give fewer partitions; large inputs are left as they are."""
+    """Rows over all cores where a table is fewer files than cores, as files of one row group cannot be split.
+
+    Looks at the file list only and runs nothing.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -155,11 +155,11 @@ def source_health(spark, folder):
 MANAGED = "(s.metadata LIKE '%\"preset\":\"recommended\"%' OR s.metadata LIKE '%duplicate_of%')"
 
 
-@query("source_duplicates", f"""WITH b AS (SELECT source_id, min(source_id) OVER w AS canonical, count(*) OVER w AS n FROM @@sources WINDOW w AS (PARTITION BY career_track, kind, identifier)),
+@query("source_duplicates", f"""WITH b AS (SELECT source_id, min(source_id) OVER w AS canonical, count(*) OVER w AS n FROM @@sources WINDOW w AS (PARTITION BY user_id, career_track, kind, identifier)),
 e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY career_track, lower(company_name) ORDER BY entry DESC) AS rn FROM @@catalogue) WHERE rn = 1),
-c AS (SELECT s.source_id, s.career_track, lower(s.company_name) AS company, CASE WHEN s.kind = e.kind AND s.identifier = e.identifier THEN 0 WHEN s.name = e.name THEN 1 ELSE 2 END AS pref FROM @@sources s
+c AS (SELECT s.source_id, s.user_id, s.career_track, lower(s.company_name) AS company, CASE WHEN s.kind = e.kind AND s.identifier = e.identifier THEN 0 WHEN s.name = e.name THEN 1 ELSE 2 END AS pref FROM @@sources s
   JOIN e ON e.career_track = s.career_track AND lower(e.company_name) = lower(s.company_name) WHERE {MANAGED}),
-d AS (SELECT source_id, first_value(source_id) OVER (PARTITION BY career_track, company ORDER BY pref, source_id) AS canonical, count(*) OVER (PARTITION BY career_track, company) AS n FROM c)
+d AS (SELECT source_id, first_value(source_id) OVER (PARTITION BY user_id, career_track, company ORDER BY pref, source_id) AS canonical, count(*) OVER (PARTITION BY user_id, career_track, company) AS n FROM c)
 SELECT source_id, canonical, 'board' AS rule FROM b WHERE n > 1 AND source_id <> canonical UNION SELECT source_id, canonical, 'company' FROM d WHERE n > 1 AND source_id <> canonical""")
 def source_duplicates(spark, folder):
     return Z.source_duplicates(view(spark, folder, "sources"), view(spark, folder, "catalogue"))
@@ -173,26 +173,29 @@ def scan_state(spark, folder):
 
 
 @query("scan_due", f"""WITH u AS (SELECT DISTINCT user_id, career_track FROM @@profiles), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, career_track ORDER BY run_id DESC) AS rn FROM @@scan_runs) WHERE rn = 1),
-s AS (SELECT career_track, max(last_scanned_at) AS t FROM @@sources WHERE enabled AND kind <> 'demo' GROUP BY 1)
+s AS (SELECT user_id, career_track, max(last_scanned_at) AS t FROM @@sources WHERE enabled AND kind <> 'demo' GROUP BY ALL)
 SELECT u.user_id, u.career_track, NOT (coalesce(l.finished_at >= TIMESTAMP '2024-01-30 06:00:00' AND l.status IN ('ok', 'partial'), false)) AND NOT (l.run_id IS NULL AND coalesce(s.t >= TIMESTAMP '2024-01-30 06:00:00', false)) AS due
-FROM u LEFT JOIN l ON l.user_id = u.user_id AND l.career_track = u.career_track LEFT JOIN s ON s.career_track = u.career_track""")
+FROM u LEFT JOIN l ON l.user_id = u.user_id AND l.career_track = u.career_track LEFT JOIN s ON s.user_id = u.user_id AND s.career_track = u.career_track""")
 def scan_due(spark, folder):
-    users = view(spark, folder, "profiles").select("user_id", "career_track").distinct()
-    return Z.scan_due(view(spark, folder, "scan_runs"), view(spark, folder, "sources"), users, timestamp(LATE), "Asia/Jerusalem", 8)
+    return Z.scan_due(view(spark, folder, "scan_runs"), view(spark, folder, "sources"), users(spark, folder), timestamp(LATE), "Asia/Jerusalem", 8)
+
+
+def users(spark, folder):
+    return view(spark, folder, "profiles").select("user_id", "career_track").distinct()
 
 
 @query("catalogue_install", """WITH e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY career_track, kind, identifier ORDER BY entry) AS rn FROM @@catalogue) WHERE rn = 1),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY career_track, kind, identifier ORDER BY source_id) AS rn FROM @@sources) WHERE rn = 1)
-SELECT e.career_track, e.kind, e.identifier, k.source_id, e.name, e.company_name, coalesce(k.enabled, true) AS enabled, CASE WHEN k.source_id IS NULL THEN 'insert' WHEN k.name <> e.name OR k.company_name <> e.company_name THEN 'refresh' ELSE 'keep' END AS action
-FROM e LEFT JOIN k ON k.career_track = e.career_track AND k.kind = e.kind AND k.identifier = e.identifier""")
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, career_track, kind, identifier ORDER BY source_id) AS rn FROM @@sources) WHERE rn = 1), u AS (SELECT DISTINCT user_id, career_track FROM @@profiles)
+SELECT u.user_id, e.career_track, e.kind, e.identifier, k.source_id, e.name, e.company_name, coalesce(k.enabled, true) AS enabled, CASE WHEN k.source_id IS NULL THEN 'insert' WHEN k.name <> e.name OR k.company_name <> e.company_name THEN 'refresh' ELSE 'keep' END AS action
+FROM e JOIN u ON u.career_track = e.career_track LEFT JOIN k ON k.user_id = u.user_id AND k.career_track = e.career_track AND k.kind = e.kind AND k.identifier = e.identifier""")
 def catalogue_install(spark, folder):
-    return Z.catalogue_install(view(spark, folder, "sources"), view(spark, folder, "catalogue"))
+    return Z.catalogue_install(view(spark, folder, "sources"), view(spark, folder, "catalogue"), users(spark, folder))
 
 
-@query("catalogue_status", """WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY career_track, kind, identifier ORDER BY source_id) AS rn FROM @@sources WHERE metadata NOT LIKE '%duplicate_of%') WHERE rn = 1)
-SELECT e.entry, e.career_track, e.kind, e.identifier, k.source_id IS NOT NULL AS installed, coalesce(k.enabled, false) AS enabled FROM @@catalogue e LEFT JOIN k ON k.career_track = e.career_track AND k.kind = e.kind AND k.identifier = e.identifier""")
+@query("catalogue_status", """WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, career_track, kind, identifier ORDER BY source_id) AS rn FROM @@sources WHERE metadata NOT LIKE '%duplicate_of%') WHERE rn = 1), u AS (SELECT DISTINCT user_id, career_track FROM @@profiles)
+SELECT e.entry, u.user_id, e.career_track, e.kind, e.identifier, k.source_id IS NOT NULL AS installed, coalesce(k.enabled, false) AS enabled FROM @@catalogue e JOIN u ON u.career_track = e.career_track LEFT JOIN k ON k.user_id = u.user_id AND k.career_track = e.career_track AND k.kind = e.kind AND k.identifier = e.identifier""")
 def catalogue_status(spark, folder):
-    return Z.catalogue_status(view(spark, folder, "sources"), view(spark, folder, "catalogue"))
+    return Z.catalogue_status(view(spark, folder, "sources"), view(spark, folder, "catalogue"), users(spark, folder))
 
 
 @query("source_migrate", """WITH m AS (SELECT identifier, CASE WHEN entry % 4 < 2 THEN 'greenhouse' ELSE 'lever' END AS new_kind, 'new-' || identifier AS new_identifier FROM (SELECT identifier, min(entry) AS entry FROM @@catalogue WHERE kind = 'official_careers' GROUP BY 1)),

@@ -9,6 +9,7 @@ from vacantia.functions import features as X
 from vacantia.operators import answers as A, lifecycle as Y, readmodels as M, source_state as Z
 from vacantia.plans import duck as K
 from vacantia.plans.fixtures import spread, table, view
+from vacantia.operators.ordering import top
 from vacantia.plans.funnel_queries import READ, now, read_model
 from vacantia.plans.registry import query
 from vacantia.plans.text_queries import _category, joined
@@ -104,8 +105,8 @@ def applications_list(spark, folder):
     return Y.applications_list(read_model(spark, folder), now()).select("user_id", "career_track", "application_id", "position", "queue_position")
 
 
-@query("blockers_list", """WITH b AS (SELECT b.*, p.career_track, p.title FROM @@blockers b JOIN @@applications a USING (application_id) JOIN @@postings p ON p.job_id = a.job_id WHERE b.status = 'open')
-SELECT career_track, blocker_id, application_id, kind, title, row_number() OVER (PARTITION BY career_track ORDER BY created_at DESC, blocker_id DESC) AS position FROM b""")
+@query("blockers_list", """WITH b AS (SELECT b.blocker_id, b.application_id, b.kind, b.created_at, p.user_id, p.career_track, p.title FROM @@blockers b JOIN @@applications a USING (application_id) JOIN @@postings p ON p.job_id = a.job_id WHERE b.status = 'open')
+SELECT user_id, career_track, blocker_id, application_id, kind, title, row_number() OVER (PARTITION BY user_id, career_track ORDER BY created_at DESC, blocker_id DESC) AS position FROM b""")
 def blockers_list(spark, folder):
     return Y.blockers_list(view(spark, folder, "blockers"), read_model(spark, folder)).drop("created_at")
 
@@ -132,10 +133,10 @@ def sources_visible(spark, folder):
     return M.sources_visible(view(spark, folder, "sources")).select("career_track", "source_id", "name")
 
 
-@query("audit_recent", "SELECT event_id, event_type FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100")
+@query("audit_recent", "SELECT user_id, event_id, event_type FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 100")
 def audit_recent(spark, folder):
-    """The newest 100 entries of one type (the size of the report)."""
-    return table(spark, folder, "events").filter("event_type = 'error'").orderBy(F.col("event_id").desc()).limit(100).select("event_id", "event_type")
+    """Each user's newest 100 entries of one type (the size of the report)."""
+    return top(table(spark, folder, "events").filter("event_type = 'error'"), [F.col("event_id").desc()], ["user_id"], 100).select("user_id", "event_id", "event_type")
 
 
 @query("scan_requests", """WITH RECURSIVE o AS (SELECT user_id, career_track, run_id, requested_at, finished_at, row_number() OVER (PARTITION BY user_id, career_track ORDER BY requested_at, run_id) AS n FROM @@scan_runs),
@@ -261,9 +262,9 @@ def page_evidence(spark, folder):
     return view(spark, folder, "messages").select("seq", A.page_evidence(F.col("text")).alias("evidence"))
 
 
-@query("board_status", f"WITH {READ}, b AS (SELECT career_track, CASE WHEN application_status = 'queued' AND NOT (mode = 'auto' AND auto_supported) THEN 'saved' ELSE application_status END AS col FROM rd) SELECT career_track, col AS board_column, count(*) AS applications FROM b GROUP BY ALL")
+@query("board_status", f"WITH {READ}, b AS (SELECT user_id, career_track, CASE WHEN application_status = 'queued' AND NOT (mode = 'auto' AND auto_supported) THEN 'saved' ELSE application_status END AS col FROM rd) SELECT user_id, career_track, col AS board_column, count(*) AS applications FROM b GROUP BY ALL")
 def board_status(spark, folder):
-    return read_model(spark, folder).groupBy("career_track", Y.board_status().alias("board_column")).agg(F.count("*").alias("applications"))
+    return read_model(spark, folder).groupBy("user_id", "career_track", Y.board_status().alias("board_column")).agg(F.count("*").alias("applications"))
 
 
 _STARTER = "CASE career_track " + " ".join(f"WHEN '{t}' THEN [{', '.join(K.text(s) for s in v)}]" for t, v in L.STARTER_SKILLS.items()) + " END"

@@ -67,27 +67,28 @@ def resume_coverage(spark, folder):
     return rows.select("application_id", joined(fit["matched"]).alias("matched"), joined(fit["missing"]).alias("missing"), fit["coverage"].alias("coverage"))
 
 
-@query("track_stats", f"""WITH s AS (SELECT career_track, count_if(enabled AND kind <> 'demo') AS enabled_sources, count_if(enabled AND last_error <> '') AS source_errors FROM @@sources GROUP BY 1),
-j AS (SELECT career_track, count_if(is_active) AS jobs, count_if(is_active AND score >= 80) AS strong_matches FROM @@postings GROUP BY 1)
-SELECT t.career_track, coalesce(enabled_sources, 0)::bigint AS enabled_sources, coalesce(source_errors, 0)::bigint AS source_errors, coalesce(jobs, 0)::bigint AS jobs, coalesce(strong_matches, 0)::bigint AS strong_matches
-FROM (VALUES ('{L.CS}'), ('{L.IEM}'), ('{L.EE}')) t(career_track) LEFT JOIN s USING (career_track) LEFT JOIN j USING (career_track)""")
+@query("track_stats", f"""WITH s AS (SELECT user_id, career_track, count_if(enabled AND kind <> 'demo') AS enabled_sources, count_if(enabled AND last_error <> '') AS source_errors FROM @@sources GROUP BY ALL),
+j AS (SELECT user_id, career_track, count_if(is_active) AS jobs, count_if(is_active AND score >= 80) AS strong_matches FROM @@postings GROUP BY ALL), u AS (SELECT user_id FROM s UNION SELECT user_id FROM j)
+SELECT u.user_id, t.career_track, coalesce(enabled_sources, 0)::bigint AS enabled_sources, coalesce(source_errors, 0)::bigint AS source_errors, coalesce(jobs, 0)::bigint AS jobs, coalesce(strong_matches, 0)::bigint AS strong_matches
+FROM u CROSS JOIN (VALUES ('{L.CS}'), ('{L.IEM}'), ('{L.EE}')) t(career_track) LEFT JOIN s ON s.user_id = u.user_id AND s.career_track = t.career_track LEFT JOIN j ON j.user_id = u.user_id AND j.career_track = t.career_track""")
 def track_stats(spark, folder):
     return M.track_stats(view(spark, folder, "sources"), view(spark, folder, "postings"))
 
 
-@query("track_stats_ranked", f"""SELECT p.career_track, count(*) AS jobs, count_if(r.tier IN ('top_match', 'strong_match'))::bigint AS strong_matches FROM @@postings p JOIN @@rankings r USING (job_id)
-WHERE p.is_active AND {VALID} AND eligibility_state <> 'excluded' GROUP BY 1""")
+@query("track_stats_ranked", f"""WITH c AS (SELECT p.user_id, p.career_track, count(*) AS jobs, count_if(r.tier IN ('top_match', 'strong_match'))::bigint AS strong_matches FROM @@postings p JOIN @@rankings r USING (job_id)
+WHERE p.is_active AND {VALID} AND eligibility_state <> 'excluded' GROUP BY ALL)
+SELECT u.user_id, t.career_track, coalesce(jobs, 0) AS jobs, coalesce(strong_matches, 0) AS strong_matches FROM (SELECT DISTINCT user_id FROM c) u CROSS JOIN (VALUES ('{L.CS}'), ('{L.IEM}'), ('{L.EE}')) t(career_track) LEFT JOIN c USING (user_id, career_track)""")
 def track_stats_ranked(spark, folder):
     return M.track_stats_ranked(view(spark, folder, "postings"), view(spark, folder, "rankings"), V2.ENGINE_VERSION)
 
 
-@query("status_counts", """SELECT p.career_track, count(*) AS applications, count_if(a.status = 'queued')::bigint AS queued, count_if(a.status = 'applying')::bigint AS applying, count_if(a.status = 'needs_input')::bigint AS needs_input,
+@query("status_counts", """SELECT p.user_id, p.career_track, count(*) AS applications, count_if(a.status = 'queued')::bigint AS queued, count_if(a.status = 'applying')::bigint AS applying, count_if(a.status = 'needs_input')::bigint AS needs_input,
  count_if(a.status = 'verification_pending')::bigint AS verification_pending, count_if(a.status = 'submitted')::bigint AS submitted, count_if(a.status = 'rejected')::bigint AS rejected, count_if(a.status = 'failed')::bigint AS failed
-FROM @@applications a JOIN @@postings p USING (job_id) GROUP BY 1""")
+FROM @@applications a JOIN @@postings p USING (job_id) GROUP BY ALL""")
 def status_counts(spark, folder):
     rows = R.job_applications(view(spark, folder, "postings"), view(spark, folder, "applications"))
     names = ["queued", "applying", "needs_input", "verification_pending", "submitted", "rejected", "failed"]
-    wide = rows.groupBy("career_track").pivot("application_status", names).count().fillna(0)
+    wide = rows.groupBy("user_id", "career_track").pivot("application_status", names).count().fillna(0)
     return wide.withColumn("applications", sum((F.col(n) for n in names), F.lit(0)).cast("bigint"))
 
 

@@ -134,7 +134,7 @@ MIRROR_ID = r"/job\?jobid=([A-Za-z0-9-]+)"
 @query("ingest_mirror_feed", f"""
 WITH p AS (SELECT *, row_number() OVER (PARTITION BY source_id, job_id // 300 ORDER BY job_id) - 1 AS pos, {K.html_to_text("'<p>' || description || '</p>'")} AS plain FROM @@postings)
 SELECT source_id * 1000000 + job_id // 300 AS feed_id, 'https://career.acme.example/job?jobid=' || external_id AS href, title, external_id,
-  substring(title || CASE WHEN job_id % 4 = 0 THEN ' Haifa ' ELSE ' Lod Haifa ' END || plain || ' Must', 1, 12000) AS text FROM p WHERE pos < 250 AND job_id % 5 <> 0""")
+  title || CASE WHEN job_id % 4 = 0 THEN ' Haifa ' ELSE ' Lod Haifa ' END || plain || ' Must' AS text FROM p WHERE job_id % 5 <> 0""")
 def ingest_mirror_feed(spark, folder):
     rows = spread(view(spark, folder, "postings"))
     city = lambda name: F.struct(F.lit(name).alias("City"))
@@ -150,7 +150,7 @@ def ingest_mirror_feed(spark, folder):
 LINK_ID = "/([A-Za-z]{2,12})$"
 
 
-@query("extract_links", rf"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(replace({K.unescape('html')}, '\/', '/'), '["'']([^"'']{{1,1000}})["'']', 1)) AS c FROM pages), d AS (SELECT page_id, replace(trim(c), '&', '&') AS c FROM c),
+@query("extract_links", rf"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(replace({K.unescape('html')}, '\/', '/'), '["'']([^"'']+)["'']', 1)) AS c FROM pages), d AS (SELECT page_id, replace(trim(c), '&', '&') AS c FROM c),
 e AS (SELECT page_id, CASE WHEN starts_with(c, '//') THEN 'https:' || c ELSE c END AS href FROM d) SELECT page_id, href FROM e WHERE regexp_matches(href, '{LINK_ID}') AND regexp_matches(href, '^(?:/|https?://)')""")
 def extract_links(spark, folder):
     return S.extract_links(spread(table(spark, folder, "pages")), "page_id", "html", LINK_ID)
@@ -190,7 +190,7 @@ def dedupe_rows_best(spark, folder):
     return S.dedupe_best(S.resolve_href(view(spark, folder, "link_rows"), SITE), ["source"]).select("source", "id_key", "seq", "link")
 
 
-@query("hydrate_details", f"""WITH {RESOLVED}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS k FROM rb) WHERE k <= 80), dt AS (SELECT seq AS dseq, link, 'Data Engineer ' || seq::varchar AS dtitle, html FROM rb WHERE seq % 2 = 0),
+@query("hydrate_details", f"""WITH {RESOLVED}, c AS (SELECT * FROM rb), dt AS (SELECT seq AS dseq, link, 'Data Engineer ' || seq::varchar AS dtitle, html FROM rb WHERE seq % 2 = 0),
 e AS (SELECT c.seq, c.source, c.title, c.text, c.link, d.dseq IS NOT NULL AS found, d.dtitle, CASE WHEN d.dseq % 4 = 0 THEN 'short' ELSE d.html END AS html FROM c LEFT JOIN (SELECT link, min(dseq) AS dseq, arg_min(dtitle, dseq) AS dtitle, arg_min(html, dseq) AS html FROM dt GROUP BY 1) d ON d.link = c.link),
 f AS (SELECT *, {K.clean_pairs('html')} AS cp FROM e), g AS (SELECT *, {K.clean_text('cp')} AS clean FROM f)
 SELECT source, seq, CASE WHEN found THEN link || '?canonical' ELSE link END AS href, CASE WHEN found THEN dtitle ELSE title END AS title, CASE WHEN found AND {K.quality('clean')} = 'complete' THEN clean ELSE text END AS text FROM g""")

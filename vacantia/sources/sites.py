@@ -11,10 +11,10 @@ from vacantia.functions.text import clean_text, contains_any, html_to_text, sque
 from vacantia.functions.titles import human, title_human, title_repair, title_resolve
 from vacantia.functions.urls import host, resolve_url
 from vacantia.operators.ordering import top
+from vacantia.session import cut_lineage
 
-QUOTED = "[\"']([^\"']{1,1400})[\"']"
-TEXT_LIMIT = 12_000  # part of the feed contract: collected text is kept up to this length
-MIRROR_LIMIT = 250  # the mirror lists at most this many postings of a company
+QUOTED = "[\"']([^\"']+)[\"']"
+CARD_ID_CHARS = 800  # the id of a card without link is defined over so many characters of its text
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,6 @@ class Site:
     id_pattern: str
     href_template: str = ""
     trusted_region: bool = False
-    max_details: int = 80
     prefer_link_text: bool = False
 
 
@@ -76,11 +75,17 @@ def dedupe_best(rows: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "id_key", "b.*")
 
 
-def hydrate_details(rows: DataFrame, details: DataFrame, size: int = 80, missing_title_only: bool = False) -> DataFrame:
-    """First ``size`` rows per source with their detail page (link, canonical, detail_title, detail_text) where one was landed."""
-    capped = top(rows, [F.col("seq")], ["source"], size).drop("position")
-    joined = capped.join(details, "link", "left")
+def hydrate_details(rows: DataFrame, details: DataFrame, size: int | None = None, missing_title_only: bool = False) -> DataFrame:
+    """Rows with their detail page (link, canonical, detail_title, detail_text) where one was landed.
+
+    ``size``: only the first so many rows of a source use their page; the rest stay as they are.
+    """
+    joined = rows.join(details, "link", "left")
     use = F.col("canonical").isNotNull()
+    if size is not None:
+        first = top(rows.select("source", "link", "seq"), [F.col("seq")], ["source"], size).select("source", "seq", F.lit(True).alias("chosen"))
+        joined = joined.join(first, ["source", "seq"], "left")
+        use = use & F.col("chosen").isNotNull()
     if missing_title_only:
         use = use & ~title_human(F.col("title"), F.col("link_text"))
     cleaned = clean_text(F.col("detail_text"))
@@ -88,7 +93,7 @@ def hydrate_details(rows: DataFrame, details: DataFrame, size: int = 80, missing
         "href": F.when(use, F.coalesce(truthy(F.col("canonical")), F.col("link"))).otherwise(F.col("link")),
         "title": F.when(use, F.coalesce(truthy(F.col("detail_title")), F.col("title"))).otherwise(F.col("title")),
         "text": F.when(use & (text_quality(F.col("detail_text")) == "complete"), cleaned).otherwise(F.col("text")),
-    }).drop("canonical", "detail_title", "detail_text")
+    }).drop("canonical", "detail_title", "detail_text", "chosen")
 
 
 def postings_from_rows(rows: DataFrame, site: Site) -> DataFrame:
@@ -138,13 +143,18 @@ def _rich(key: str) -> Column:
 
 
 def structured_feed(feeds: DataFrame, id_keys: tuple[str, ...], title_keys: tuple[str, ...], location_keys: tuple[str, ...],
-                    description_keys: tuple[str, ...], template: str, id_pattern: str = ".{2,80}", depth: int = 6) -> DataFrame:
-    """Postings anywhere in nested JSON: a node with an id and a human title, down to ``depth`` levels."""
+                    description_keys: tuple[str, ...], template: str, id_pattern: str = ".{2,80}") -> DataFrame:
+    """Postings anywhere in nested JSON: a node with an id and a human title, at any depth (one stored level per depth)."""
     spark = feeds.sparkSession
     level = feeds.select("feed_id", F.try_parse_json("payload").alias("node"))
     nodes = level
-    for _ in range(depth):
-        level = spark.sql("SELECT f.feed_id, e.value AS node FROM {level} f, LATERAL variant_explode(f.node) e", level=level)
+    kind = F.schema_of_variant("node")
+    while True:
+        inner = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        level = spark.sql("SELECT f.feed_id, e.value AS node FROM {level} f, LATERAL variant_explode(f.node) e", level=inner)
+        level = cut_lineage(level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        if level.isEmpty():
+            break
         nodes = nodes.union(level)
     # Only objects carry the keys; scalars and lists give null.
     rows = nodes.select(
@@ -152,7 +162,7 @@ def structured_feed(feeds: DataFrame, id_keys: tuple[str, ...], title_keys: tupl
         F.array_compact(F.array(*[truthy(clean_text(_rich(k))) for k in description_keys])).alias("pieces"))
     rows = rows.filter(F.col("external_id").rlike(f"^(?:{id_pattern})$") & human(F.col("title")))
     text = F.array_join(F.concat(F.array("title"), F.filter(F.array("location"), lambda v: v != ""), "pieces"), "\n")
-    rows = rows.select("feed_id", "external_id", "title", "location", F.substring(clean_text(text), 1, TEXT_LIMIT).alias("text"), _link(F.col("external_id"), template).alias("href"))
+    rows = rows.select("feed_id", "external_id", "title", "location", clean_text(text).alias("text"), _link(F.col("external_id"), template).alias("href"))
     best = rows.groupBy("feed_id", F.lower("external_id").alias("id_key")).agg(F.max_by(F.struct("external_id", "title", "location", "text", "href"), F.struct(F.length("text"), "title", "text")).alias("b"))
     return best.select("feed_id", "b.*")
 
@@ -163,12 +173,12 @@ MIRROR = ("Company struct<Jobs: array<struct<JobContent: struct<Name: string, Ad
 
 def mirror_feed(feeds: DataFrame, official_host: str, id_pattern: str) -> DataFrame:
     """A third-party company listing: only rows whose external link is on the official site."""
-    rows = feeds.select("feed_id", F.posexplode(F.from_json("payload", MIRROR)["Company"]["Jobs"]).alias("pos", "j")).filter(F.col("pos") < MIRROR_LIMIT)
+    rows = feeds.select("feed_id", F.posexplode(F.from_json("payload", MIRROR)["Company"]["Jobs"]).alias("pos", "j"))
     link = squeeze(F.col("j.SendCVButtonModel.ExternalLink"))
     cities = F.filter(F.transform("j.JobContent.Addresses", lambda a: squeeze(F.coalesce(truthy(a["City"]), a["CityEnglish"]))), lambda c: c != "")
     title = squeeze(F.col("j.JobContent.Name"))
     parts = F.filter(F.concat(F.array(title), F.coalesce(cities, F.array().cast("array<string>")), F.array(html_to_text(F.col("j.JobContent.Description")), html_to_text(F.col("j.JobContent.Requirements")))), lambda p: p != "")
-    rows = rows.select("feed_id", "pos", link.alias("href"), title.alias("title"), F.substring(F.array_join(parts, " "), 1, TEXT_LIMIT).alias("text"), F.regexp_extract(link, id_pattern, 1).alias("external_id"))
+    rows = rows.select("feed_id", "pos", link.alias("href"), title.alias("title"), F.array_join(parts, " ").alias("text"), F.regexp_extract(link, id_pattern, 1).alias("external_id"))
     return rows.filter((host(F.col("href")) == official_host) & (F.col("external_id") != "") & human(F.col("title")))
 
 
@@ -199,5 +209,4 @@ def card_rows(cards: DataFrame) -> DataFrame:
     rows = rows.filter((F.col("title") != "") & ~F.lower("title").isin(*CARD_HEADINGS_IGNORED) & F.length("title").between(3, 180)
                        & (F.length("text") >= F.greatest(F.lit(35), F.length("title") + 12)) & contains_any(F.lower("text"), CARD_SIGNALS))
     first = rows.groupBy(F.lower("title").alias("k")).agg(F.min_by(F.struct("seq", "title", "text"), "seq").alias("f")).select("f.*")
-    # The id is defined over the first 800 characters of the text.
-    return first.withColumn("external_id", F.substring(F.sha2(F.concat("title", F.lit("\n"), F.substring("text", 1, 800)), 256), 1, 16))
+    return first.withColumn("external_id", F.substring(F.sha2(F.concat("title", F.lit("\n"), F.substring("text", 1, CARD_ID_CHARS)), 256), 1, 16))
