@@ -74,7 +74,9 @@ def metrics(docs: DataFrame, text: str = "text", out: str = "counts") -> DataFra
         "n_bullet_lines": F.size(F.filter(c(lines), lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "‣", "▪", "–"))),
         "n_ellipsis_lines": F.size(F.filter(c(lines), lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))),
     }
-    return docs.withColumn(out, F.struct(*[v.cast("long").alias(k) for k, v in values.items()])).drop(t, w, n, h, s, lines)
+    # The row number keeps the optimiser from copying the counts into every condition on them, below which they would be computed anew.
+    counted = F.struct(*[v.cast("long").alias(k) for k, v in values.items()], F.monotonically_increasing_id().alias("row"))
+    return docs.withColumn(out, counted).drop(t, w, n, h, s, lines)
 
 
 def base_failed(counts: str) -> Column:
@@ -101,7 +103,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     """Per row of ``docs``: doc_id, every count, base_failed, failed_rules and kept."""
     judged = metrics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     judged = judged.select("doc_id", "counts", base_failed("counts").alias("base_failed"), compiled("counts", thresholds).alias("failed_rules"))
-    return judged.select("doc_id", "counts.*", "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
+    return judged.select("doc_id", "counts.*", "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept")).drop("row")
 
 
 def passing(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
@@ -135,8 +137,9 @@ def oracle(table: str = "documents") -> str:
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {table}),
 words AS (SELECT r, list_filter(string_split_regex(t, '{sep}'), lambda x: x <> '') AS w,
                  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM rows),
-windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM words, unnest(range(1, len(w) - 1)) AS u(i)),
-twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+placed AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words),
+windows AS (SELECT r, i, x || ' ' || lead(x, 1) OVER p || ' ' || lead(x, 2) OVER p AS x FROM placed WINDOW p AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM windows WHERE x IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2]) AS u(k) GROUP BY r),
 counts AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{sep}', '', 'g')) AS BIGINT) AS word_chars,
