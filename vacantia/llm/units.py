@@ -26,7 +26,7 @@ UNITS = {
     "words": re.compile(rf"{_WORD}|[^{_WHITE}]+"),
 }
 #: Separators that ``str.isspace`` or a Unicode-aware pattern may take for white space, beyond the ASCII ones.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
 def is_plain(text: str) -> bool:
