@@ -9,7 +9,7 @@ import pytest
 
 from vacantia.llm import quality_rules, secret_scan, url_filters
 
-CLEAN = "The house of the old man is near the river and we went to it with a friend who had been there for many years before the war. " * 2 + "It was late, so they all left for home, but nobody knew which of the roads would be open at that hour, or how long the way was."
+CLEAN = "The house of the old man is near the river and we went to it with a friend who had been there for many years before the war. It was late, so they all left for home, but nobody knew which of these roads would be open at that hour, or how long a way it was to the town on the other side."
 
 
 def test_quality_equals_sql(spark, docs_of, odd_rows, same):

@@ -325,8 +325,12 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     swapped = F.aggregate(F.split(mark, ","), begin, swap, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)))
-    new = F.when(F.col(mark).isNotNull(), swapped).otherwise(text)
-    columns = {"text": new, "n_chars": F.when(F.col(mark).isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": new}
+    # A column of its own: beside a new "text", the length would be taken of what the aggregation makes of that new text.
+    made = unused(docs.columns, "redacted_text")
+    joined = joined.withColumn(made, F.when(F.col(mark).isNotNull(), swapped).otherwise(text))
+    columns = {"text": F.col(made)}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col(mark).isNotNull(), F.length(made).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 
