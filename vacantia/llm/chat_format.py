@@ -15,7 +15,7 @@ latest earlier holder and the positions come from range-sorted passes that split
 Edge cases. A null text counts as empty. A message that quotes nothing, or nothing that was said earlier in its conversation, starts a
 thread; its quotes are removed all the same. A row without conv_id or turn neither quotes nor is quoted; rows without conv_id are
 ordered among themselves, rows without turn stand first. Rows with the same conv_id and turn are messages of their own in one place of
-the thread; their order is that of their role and text, and equal rows get different positions. A null role is written as ``user``. An empty
+the thread; their order is that of the md5 of role and text, and equal rows get different positions. A null role is written as ``user``. An empty
 table gives an empty result. Other columns are not read.
 """
 
@@ -98,7 +98,7 @@ def threaded(conversations: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, position, role, body, parent_turn, thread_turn, n_quoted, n_linked, formatted."""
     said = messages(conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"))
     parents = sources(said)
-    slim = said.select("row", "conv_id", "turn", F.xxhash64("role", "body").alias("tie")).join(parents, "row", "left")
+    slim = said.select("row", "conv_id", "turn", F.md5(F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), "body")).alias("tie")).join(parents, "row", "left")
     node = lambda turn: F.struct(F.col("conv_id").alias("c"), F.col(turn).alias("t"))
     edges = slim.where("parent_turn IS NOT NULL").select(node("turn").alias("a"), node("parent_turn").alias("b"))
     labels = smallest_labels(edges).select(F.col("node.c").alias("conv_id"), F.col("node.t").alias("turn"), F.col("label.t").alias("first_turn"))
@@ -150,7 +150,7 @@ reach(conv_id, a, b) AS (SELECT conv_id, a, b FROM ways UNION SELECT reach.conv_
 threads AS (SELECT conv_id, a AS turn, min(b) AS first_turn FROM reach GROUP BY conv_id, a),
 named AS (SELECT told.*, body, parent, coalesce(n_linked, 0) AS n_linked, coalesce(first_turn, told.turn) AS thread FROM told JOIN bodies USING (r) LEFT JOIN parents USING (r) LEFT JOIN threads ON told.conv_id = threads.conv_id AND told.turn = threads.turn),
 counted AS (SELECT r, count(*) AS n FROM quotes GROUP BY r)
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role, body) AS position, role, parent AS parent_turn, thread AS thread_turn,
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, md5(coalesce(role, '') || chr(10) || body)) AS position, role, parent AS parent_turn, thread AS thread_turn,
   coalesce(n, 0) AS n_quoted, n_linked, '{start}' || coalesce(role, 'user') || '{middle}' || body || '{end}' AS formatted
 FROM named LEFT JOIN counted USING (r)
 """
