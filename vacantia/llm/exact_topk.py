@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,8 +106,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.select("*", F.pmod(F.monotonically_increasing_id(), F.lit(query_blocks)).alias("query_block"))
     left = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = dealt.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    part = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(
-        lambda a, b: _block(a, b, k), "query_row long, query_id long, vec_id long, score long")
+    # One grouping of the union: a cogroup's second side loses columns where a later step needs only some of the result.
+    both = left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False)))
+
+    def group(table: pa.Table) -> pa.Table:
+        asks = table.column("asks")
+        return _block(table.filter(asks), table.filter(pc.invert(asks)), k)
+
+    part = both.groupBy("block", "query_block").applyInArrow(group, "query_row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
