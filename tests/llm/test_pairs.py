@@ -225,7 +225,7 @@ def test_chat_threads_equal_sql(spark, same):
 def test_pipeline_stages_take_effect(spark, docs_of, tmp_path, speech):
     rows, marks = speech
     sentence = "the old house of the man is near to it and we went with a friend for a walk on the hill " * 2
-    texts = [(d, f"{t} {sentence}" * 2 if d % 2 else f"{sentence} {t}") for d, t in rows[:200]]
+    texts = [(d, f"{t} {sentence}" if d % 2 else f"{sentence} {t}") for d, t in rows[:200]]
     texts = [(d, t + " " + " ".join(f"{d}tail{i}" for i in range(60))) for d, t in texts]
     texts += [(1001, texts[1][1]), (1002, texts[1][1] + " more"), (1003, "short"), (1004, None), (1005, texts[3][1] + " secret = abcdefgh and " + " ".join(f"own{i}" for i in range(80)))]
     docs_of(texts).write.parquet(f"{tmp_path}/documents.parquet")
