@@ -8,7 +8,7 @@ anything.
 
 Each hit gets a context score from the ``WINDOW`` words around it: quotation marks, quoting lines and reporting verbs lower it, second
 person, exclamation and other hits near by raise it. A document's features are sums, maxima and shares of the hits' weights; a logistic
-model over them, fitted on at most ``FIT_ROWS`` labelled rows, gives the score. Counts for the lexicon cover all labelled rows.
+model over them, fitted on about ``FIT_ROWS`` labelled rows (drawn by a hash), gives the score. Counts for the lexicon cover all labelled rows.
 
 Only rows whose crc32(doc_id as text) modulo 3 is not 1 teach. Labels, lang, source and doc_id are no inputs of a score. Labels meet
 their texts in a join that broadcasts the labels only where their counted rows stay under ``BROADCAST_ROWS``. Driver-side: at most
@@ -38,8 +38,9 @@ from vacantia.llm.units import Memory
 STEMS = (4, 5, 6, 7, 8)
 LEXICON, CANDIDATES, LEAST_ROWS, LEAST_ODDS, LEAST_RATIO = 1_500, 20_000, 4, 2.0, 25.0
 FIT_ROWS, BROADCAST_ROWS = 20_000, 500_000
-WINDOW, THRESHOLD = 8, 0.7
+WINDOW, THRESHOLD, LEAST_FUZZY = 8, 0.7, 0.5
 _WORDS = re.compile(r"\w+")
+_OPENING, _CLOSING = re.compile('["“«„‘]'), re.compile('["”»“’]')
 _SPELLED = str.maketrans("013457", "oieast")
 #: Words of reported speech, and of address, in the four languages of the corpus.
 REPORTING = frozenset("said says wrote quote quoted called word term sagte schrieb zitat wort dit écrit cite mot terme dijo escribió cita palabra".split())
@@ -74,17 +75,17 @@ class FuzzyLexicon:
 
     MOST_STATES = 100_000
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: list[str], exact_only: frozenset[int] = frozenset()) -> None:
+        """``exact_only`` numbers the terms that may not differ by a letter."""
         self.terms, self.trie = terms, Trie()
         for number, term in enumerate(terms):
             self.trie.add(term.rstrip("*"), number, term.endswith("*"))
-        self.allowed = [edits(t.rstrip("*")) for t in terms]
+        self.allowed = [0 if n in exact_only else edits(t.rstrip("*")) for n, t in enumerate(terms)]
         # A node is worth following with e edits while a term below it allows as many.
         self.reach = [-1] * len(self.trie.steps)
         for node in range(len(self.trie.steps) - 1, -1, -1):
             own = [self.allowed[m[node]] for m in (self.trie.ends, self.trie.stems) if node in m]
             self.reach[node] = max([-1, *own, *(self.reach[c] for c in self.trie.steps[node].values())])
-        self.words = Memory(self.match, longest=40)
         self.clear()
 
     def clear(self) -> None:
@@ -149,40 +150,40 @@ class FuzzyLexicon:
         return (found[3], found[0]) if found else None
 
 
-_FOUND_NONE = object()
-
-
 class Scanner:
     """Hits of a lexicon in texts."""
 
-    def __init__(self, terms: list[str]) -> None:
-        self.lexicon = FuzzyLexicon(terms)
+    def __init__(self, terms: list[str], exact_only: frozenset[int] = frozenset()) -> None:
+        self.lexicon = FuzzyLexicon(terms, exact_only)
         self.known = Memory(self.look, longest=40)
 
-    def look(self, word: str):
+    def look(self, word: str) -> tuple[int, int] | bool:
         found = self.lexicon.match(word)
-        if found is None and not word.isalpha():
-            found = self.lexicon.match(word.translate(_SPELLED))
-        return _FOUND_NONE if found is None else found
+        if (found is None or found[1]) and not word.isalpha():
+            spelled = self.lexicon.match(word.translate(_SPELLED))
+            if spelled and (found is None or spelled[1] < found[1]):
+                return spelled
+        return found or False
 
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, float]], int]:
         """(word, term, edits, context score) of every hit, and the number of words."""
         words = _WORDS.findall(text.lower())
-        found = [(i, *h) for i, h in enumerate(map(self.known.__getitem__, words)) if h is not _FOUND_NONE]
-        if not found:
+        looked = list(map(self.known.__getitem__, words))
+        if not any(looked):
             return [], len(words)
+        found = [(i, *h) for i, h in enumerate(looked) if h]
         places = [m.span() for m in _WORDS.finditer(text)]
         whole = len(places) == len(words)  # lower case can change the number of words in rare scripts
-        at = {i for i, _, _ in found}
         out = []
-        for i, term, e in found:
+        for k, (i, term, e) in enumerate(found):
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
             a, b = places[i] if whole else (0, 0)
             line = text.rfind("\n", 0, a) + 1
             before, after = text[max(line, a - 60) : a], text[b : b + 60].split("\n", 1)[0]
-            quoted = whole and (text[line : line + 1] == ">" or any(o in before and c in after for o, c in ('""', "“”", "«»", "„“", "‘’")))
-            score = 1.0 - 0.6 * quoted - 0.3 * any(w in REPORTING for w in near)
-            score += 0.2 * any(w in ADDRESS for w in near) + 0.1 * ("!" in after[:3]) + 0.2 * any(j in at for j in range(i - WINDOW, i + WINDOW + 1) if j != i)
+            quoted = whole and (text.startswith(">", line) or _OPENING.search(before) is not None and _CLOSING.search(after) is not None)
+            others = k > 0 and i - found[k - 1][0] <= WINDOW or k + 1 < len(found) and found[k + 1][0] - i <= WINDOW
+            score = 1.0 - 0.6 * quoted - 0.3 * (not REPORTING.isdisjoint(near))
+            score += 0.2 * (not ADDRESS.isdisjoint(near)) + 0.1 * ("!" in after[:3]) + 0.2 * others
             out.append((i, term, e, max(0.1, score)))
         return out, len(words)
 
@@ -247,6 +248,11 @@ def _log_odds(n1, n0, all1, all0):
     return np.log((n1 + 0.5) / (all1 + 1)) - np.log((n0 + 0.5) / (all0 + 1))
 
 
+def _exact_only(fuzzy: np.ndarray) -> frozenset[int]:
+    """Terms whose misspellings say too little to be looked for."""
+    return frozenset(np.flatnonzero(fuzzy < LEAST_FUZZY).tolist())
+
+
 @dataclass
 class Model:
     terms: list[str]
@@ -255,6 +261,9 @@ class Model:
     weights: np.ndarray
     share: float
 
+    def scanner(self) -> Scanner:
+        return Scanner(self.terms, _exact_only(self.fuzzy))
+
     def score(self, scanner: Scanner, text: str) -> float:
         if not len(self.weights):
             return self.share
@@ -302,7 +311,7 @@ def _hit_counts(batches: Iterable[pa.RecordBatch], terms: list[str]) -> Iterator
 
 
 def _feature_rows(batches: Iterable[pa.RecordBatch], terms: list[str], exact: np.ndarray, fuzzy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner(terms)
+    scanner = Scanner(terms, _exact_only(fuzzy))
     for batch in batches:
         x = [features(*scanner.hits(t.as_py() or ""), exact, fuzzy) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
@@ -326,14 +335,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     seen = _log_odds(near[:, 1], near[:, 0], all1, all0)
     trust = near.sum(axis=1) / (near.sum(axis=1) + 3) if len(terms) else none
     fuzzy = np.clip(trust * seen + (1 - trust) * 0.5 * exact, 0, None) if len(terms) else none
-    drawn = taught.orderBy("draw").limit(FIT_ROWS).select("text", "toxic") if all1 + all0 > FIT_ROWS else taught.select("text", "toxic")
+    share_drawn = min(1.0, FIT_ROWS / (all1 + all0))
+    drawn = taught.where(F.pmod("draw", F.lit(1_000_000)) < round(share_drawn * 1_000_000)).select("text", "toxic")
     rows = drawn.mapInArrow(lambda x: _feature_rows(x, terms, exact, fuzzy), "x array<double>, toxic int").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
     return Model(terms, exact, fuzzy, fitted(x, y) if 0 < y.sum() < len(y) else none, share)
 
 
 def _scored(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner(model.terms)
+    scanner = model.scanner()
     for batch in batches:
         scores = [model.score(scanner, t.as_py() or "") for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -355,7 +365,7 @@ def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = to_arrow_schema(docs.schema)
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model.terms)
+        scanner = model.scanner()
         for batch in batches:
             keep = [model.score(scanner, t.as_py() or "") < THRESHOLD for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns, schema=schema)
