@@ -11,7 +11,9 @@ Rows with the same set form a class, and the class takes part as one node, named
 
 1. every member with the smallest member that it meets;
 2. twice, neighbours in a random order within an entry, where they are in different components so far;
-3. every member outside the entry's largest component with all members of other components.
+3. in rounds, every member of an entry that spans several components with one reference, a central member of the entry's largest component;
+   members that are near the reference but not similar to it meet those with which they share enough of what sets them apart from it
+   (``_by_edits``); members far from it go on to a round of their own, and what is left after ``ROUNDS`` rounds is paired outright.
 
 So pairs within what is already connected are left out, and everything else is compared: no link between two components is lost. Texts
 are hashed in one narrow pass; entries, pairs and links are tables in the shared folder; full sets move only for pairs to confirm.
@@ -37,7 +39,10 @@ from vacantia.llm.words import mix, shingles
 
 CHUNKS, WIDTH, ERRORS, BITS = 14, 6, 1, 16
 PLACES = CHUNKS * WIDTH
-FAR = 42
+#: Places in which two sets at 0.8, and at 0.6, differ at most (but for a chance of 1e-9).
+FAR, FAR_FROM_REFERENCE = 42, 61
+#: Rounds of references before what is left of an entry is paired outright.
+ROUNDS = 4
 #: Rows of the involved documents up to which their ids are broadcast to fetch the texts.
 BROADCAST_ROWS = 200_000
 
@@ -85,11 +90,11 @@ def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(entries.reshape(-1).view(np.int64)), pa.array(np.repeat(docs, PLACES))], ["entry", "doc"])
 
 
-def _near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, signature of a, signature of b) to the pairs (a, b) that differ in at most ``FAR`` places."""
+def _near(batches: Iterable[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, signature of a, signature of b) to the pairs (a, b) that differ in at most ``far`` places."""
     for batch in batches:
         left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, PLACES) for i in (2, 3))
-        near = pa.array((left != right).sum(axis=1) <= FAR)
+        near = pa.array((left != right).sum(axis=1) <= far)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
 
@@ -111,16 +116,26 @@ def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["doc", "hashes"])
 
 
-def _linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, hashes of a, hashes of b) to the pairs whose full sets are similar."""
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, hashes of a, hashes of b) to (a, b, size of a, size of b, size of the intersection)."""
     for batch in batches:
-        keep = []
+        sizes: list[list[int]] = [[], [], []]
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            for column, value in zip(sizes, (len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in sizes)], ["a", "b", "n_a", "n_b", "both"])
+
+
+def _edits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, ..., hashes of a, hashes of b) to one row per hash that only one of the two sets has."""
+    for batch in batches:
+        rest = batch.num_columns - 2
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(rest + k)[i].as_buffer(), np.uint64) for k in (0, 1))
+            tokens = np.setxor1d(x, y, assume_unique=True).view(np.int64)
+            repeated = [pa.repeat(batch.column(k)[i], len(tokens)) for k in range(rest)]
+            yield pa.RecordBatch.from_arrays([*repeated, pa.array(tokens)], [*batch.schema.names[:rest], "token"])
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -148,35 +163,88 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
     def side_of(name: str, *columns: str) -> DataFrame:
         return involved.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+
+    def compared(pairs: DataFrame, far: int) -> DataFrame:
+        """Sizes and intersections of the pairs (a, b) whose signatures differ in at most ``far`` places."""
+        signed = pairs.distinct().join(side_of("a", "signature"), "a").join(side_of("b", "signature"), "b")
+        near = signed.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda x: _near(x, far), "a long, b long")
+        full = with_sets(near).select("a", "b", "left", "right")
+        return stored(full.mapInArrow(_shared, "a long, b long, n_a long, n_b long, both long"), "compared")
+
+    union = F.col("n_a") + F.col("n_b") - F.col("both")
+    similar = 100 * F.col("both") >= percent * union
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(side_of("a", "n", "signature"), "a").join(side_of("b", "n", "signature"), "b")
-        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        near = pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(_near, "a long, b long")
-        full = near.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
-        return stored(full.mapInArrow(lambda x: _linked(x, percent), "a long, b long"), "confirmed")
+        pairs = pairs.join(side_of("a", "n"), "a").join(side_of("b", "n"), "b")
+        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+        return compared(pairs, FAR).where(similar).select("a", "b")
+
+    def ordered(x: str, y: str) -> list:
+        return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
     found = confirmed(entries.groupBy("doc").agg(F.min("least").alias("b")).where("b < doc").select(F.col("doc").alias("a"), "b"))
 
-    def in_components() -> DataFrame:
+    def in_components(members: DataFrame) -> DataFrame:
+        """(entry, doc, part) of the entries that still span several components."""
         labels = smallest_labels(found)
-        part = entries.select("entry", "doc").join(labels.toDF("doc", "label"), "doc", "left").withColumn("part", F.coalesce("label", "doc"))
+        part = members.select("entry", "doc").join(labels.toDF("doc", "label"), "doc", "left").withColumn("part", F.coalesce("label", "doc"))
         across = Window.partitionBy("entry")
         part = part.select("entry", "doc", "part", F.min("part").over(across).alias("p"), F.max("part").over(across).alias("q"))
         return stored(part.where("p < q").select("entry", "doc", "part"), "apart")
 
-    apart = in_components()
+    apart = in_components(entries)
     for turn in range(2):
         order = Window.partitionBy("entry").orderBy(F.xxhash64("doc", "entry", F.lit(turn)), "doc")
         pairs = apart.select("doc", "part", F.lag("doc").over(order).alias("other"), F.lag("part").over(order).alias("there")).where("part <> there")
-        found = found.union(confirmed(pairs.select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b"))))
-        apart = in_components()
-    sizes = apart.groupBy("entry", "part").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("entry").agg(F.max(F.struct("size", "part"))["part"].alias("main"))
-    outside = apart.join(main, "entry").where("part <> main").select("entry", F.col("doc").alias("x"), F.col("part").alias("at"))
-    pairs = outside.join(apart, "entry").where("at <> part").select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b"))
+        found = found.union(confirmed(pairs.select(*ordered("doc", "other"))))
+        apart = in_components(apart)
+    for _ in range(ROUNDS):
+        if apart.isEmpty():
+            return found
+        # The reference of a component is the member that shares its entries with most others: what all copies come from, if it is there.
+        shared = apart.withColumn("others", F.count("*").over(Window.partitionBy("entry"))).groupBy("part", "doc").agg(F.sum("others").alias("others"))
+        central = shared.groupBy("part").agg(F.max(F.struct("others", "doc"))["doc"].alias("a"))
+        sizes = apart.groupBy("entry", "part").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("entry").agg(F.max(F.struct("size", "part"))["part"].alias("part")).join(central, "part").select("entry", "a")
+        referred = stored(apart.select("entry", "doc").join(main, "entry"), "referred")
+        measured = compared(referred.where("doc <> a").select("a", F.col("doc").alias("b")), FAR_FROM_REFERENCE).where(5 * F.col("both") >= 3 * union)
+        weight = 100 * (F.col("n_a") - F.col("both")) + percent * (F.col("n_b") - F.col("both"))
+        edits = F.col("n_a") + F.col("n_b") - 2 * F.col("both")
+        measured = measured.select("a", "b", similar.alias("close"), weight.alias("w"), edits.alias("e"), ((100 - percent) * F.col("n_a")).alias("room"))
+        found = found.union(stored(measured.where("close").select("a", "b"), "confirmed")).union(confirmed(_by_edits(measured, with_sets, percent).select(*ordered("x", "y"))))
+        # Who is further from the reference than 0.4 can only be similar to members that are no closer to it than 0.2.
+        status = referred.join(measured.select("a", F.col("b").alias("doc"), "close"), ["a", "doc"], "left").where("doc <> a")
+        left = status.where("close IS NULL").select("entry").distinct()
+        apart = in_components(status.where("NOT coalesce(close, false)").join(left, "entry", "left_semi"))
+    pairs = apart.select("entry", F.col("doc").alias("x"), F.col("part").alias("at")).join(apart, "entry").where("at < part").select(*ordered("x", "doc"))
     return found.union(confirmed(pairs))
 
 
+def _by_edits(measured: DataFrame, with_sets, percent: int) -> DataFrame:
+    """Pairs (x, y) of documents near one reference that can be similar although y is not similar to the reference.
+
+    Let x and y differ from the reference in R removed and A added shingles, with weight w = 100 R + percent A, and share s of these
+    edits. Then x and y are similar exactly if (100 + percent) s >= w(x) + w(y) - room, where room = (100 - percent) |reference|. As
+    w(y) exceeds room, x must share part of its edits with y; so both meet in a prefix of their edits, rarest first.
+    """
+    q = 100 + percent
+    outside = measured.where("NOT close").groupBy("a").agg(F.min("w").alias("least_w"))
+    useful = measured.join(outside, "a").where(~F.col("close") | (q * F.col("e") >= F.col("w") + F.col("least_w") - F.col("room")))
+    shared = F.when(F.col("close"), F.ceil((F.col("w") + 1) / q)).otherwise(F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("room")) / 100)))
+    useful = useful.select("a", "b", "close", "w", "e", "room", (F.col("e") - shared + 1).alias("prefix")).where("prefix > 0")
+    tokens = with_sets(useful).select("a", "b", "close", "w", "e", "room", "prefix", "left", "right").mapInArrow(
+        _edits, "a long, b long, close boolean, w long, e long, room long, prefix long, token long")
+    tokens = tokens.withColumn("often", F.count("*").over(Window.partitionBy("a", "token")))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "token"))
+    tokens = stored(tokens.withColumn("rank", rank).where("rank <= prefix AND often > 1").select("a", "token", "b", "close", "w", "e", "room"), "edits")
+    y, x = tokens.where("NOT close").alias("y"), tokens.alias("x")
+    met = y.join(x, (F.col("y.a") == F.col("x.a")) & (F.col("y.token") == F.col("x.token")) & (F.col("y.b") != F.col("x.b"))
+                 & (q * F.least("x.e", "y.e") >= F.col("x.w") + F.col("y.w") - F.col("y.room")))
+    return met.select(F.col("x.b").alias("x"), F.col("y.b").alias("y")).distinct()
+
+
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept."""
     docs = docs.select("doc_id", "text")
