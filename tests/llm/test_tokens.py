@@ -75,9 +75,9 @@ def test_byte_bpe_equals_the_library(docs_of, odd_rows):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     own = byte_bpe.ByteBpe(RANKS, P.PATTERN)
-    for token in list(ranks)[::97]:  # tokens as whole pre-tokens, also those that no merge reaches
+    for token in list(ranks)[::97]:  # tokens as texts, also those that no merge reaches
         text = token.decode("utf-8", "ignore")
-        assert own.pre_token(text) == library._encode_single_piece(text)
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode_ordinary(text)
     expected = []
     for d, t in odd_rows:
         ids = library.encode_ordinary(t or "")
