@@ -180,6 +180,28 @@ def test_toxicity_learns_from_allowed_rows_and_finds_the_rest(spark, docs_of, od
     assert civil.columns == docs.columns and civil.count() == sum(r["predicted"] == 0 for r in got)
 
 
+def test_toxicity_finds_misspellings_at_every_letter(spark, docs_of):
+    """Misspellings that no labelled row holds: a letter left out, doubled, replaced, or swapped with the next, at each position."""
+    draw = random.Random(11)
+    plain, bad = [f"plain{i}word" for i in range(200)], ["moron", "idiot", "scum", "stupid", "pathetic", "worthless"]
+    rows = []
+    for i in range(600):
+        text = [draw.choice(plain) for _ in range(30)] + draw.choices(bad, k=3 * (i % 5 == 0))
+        text += ["oron", "scumm"] * (i % 3 == 0)  # words of their own, which say nothing
+        rows.append((i, " ".join(draw.sample(text, len(text)))))
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs_of(rows), labels)
+    assert set(bad) <= set(model.terms)
+    scanner = model.scanner()
+    for term in bad:
+        for i in range(len(term)):
+            for wrong in {term[:i] + term[i + 1 :], term[:i] + term[i] + term[i:], f"{term[:i]}q{term[i + 1 :]}", term[:i] + term[i : i + 2][::-1] + term[i + 2 :]} - {term, "oron", "scumm"}:
+                hits, _ = scanner.hits(f"plain1word {wrong} plain2word")
+                assert len(hits) == 1 and model.terms[hits[0][1]].rstrip("*") == term[: len(model.terms[hits[0][1]].rstrip("*"))], (term, wrong)
+                assert model.score(scanner, f"plain1word {wrong} {wrong} plain2word") > model.score(scanner, "plain1word plain2word"), (term, wrong)
+    assert scanner.hits("oron scumm")[0] == []
+
+
 def test_toxicity_without_labels(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.scores(docs_of([(1, "a"), (2, None)]), toxicity.learn(docs_of([(1, "a")]), labels)).collect()

@@ -3,8 +3,9 @@
 The lexicon is learned from labelled rows: whole words and word beginnings (stems, of ``STEMS`` letters) whose document counts in toxic
 and other rows differ most. It is a trie, and the automaton of edit distance is run over the whole trie at once: a state is the set
 of (trie node, edits so far) that a word's letters can reach, and states and steps are kept once they were met, so an unknown word
-costs a look-up per letter. Short terms must match exactly, longer ones may differ by ``edits`` letters; a stem may be followed by
-anything.
+costs a look-up per letter. Terms of three letters must match exactly, longer ones may differ by ``edits`` letters, where
+a swap of two neighbours counts as one; a stem may be followed by anything. Words are terms beside the stems that cover them.
+A word that resembles a term but is met in labelled rows often enough to show that it says too little is no misspelling of it.
 
 Each hit gets a context score from the ``WINDOW`` words around it: quotation marks, quoting lines and reporting verbs lower it, second
 person, exclamation and other hits near by raise it. A document's features are sums, maxima and shares of the hits' weights; a logistic
@@ -49,7 +50,7 @@ ADDRESS = frozenset("you your yours du dein deine dich tu ton toi te vous votre
 
 def edits(term: str) -> int:
     """How many letters of a term may differ."""
-    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
 
 
 @dataclass
@@ -75,9 +76,9 @@ class FuzzyLexicon:
 
     MOST_STATES = 100_000
 
-    def __init__(self, terms: list[str], exact_only: frozenset[int] = frozenset()) -> None:
-        """``exact_only`` numbers the terms that may not differ by a letter."""
-        self.terms, self.trie = terms, Trie()
+    def __init__(self, terms: list[str], exact_only: frozenset[int] = frozenset(), swaps: bool = False) -> None:
+        """``exact_only`` numbers the terms that may not differ by a letter; with ``swaps`` two neighbours that changed places are one edit."""
+        self.terms, self.trie, self.swaps = terms, Trie(), swaps
         for number, term in enumerate(terms):
             self.trie.add(term.rstrip("*"), number, term.endswith("*"))
         self.allowed = [0 if n in exact_only else edits(t.rstrip("*")) for n, t in enumerate(terms)]
@@ -90,9 +91,9 @@ class FuzzyLexicon:
 
     def clear(self) -> None:
         self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple[dict[int, int], tuple[int, int] | None]] = []
+        self.states: list[tuple[dict[int, int], dict[tuple[int, str], int], tuple[int, int] | None]] = []
         self.moves: list[dict[str, int]] = []
-        self.start = self.number(self.closed({0: 0}), None)
+        self.start = self.number(self.closed({0: 0}), {}, None)
 
     def closed(self, nodes: dict[int, int]) -> dict[int, int]:
         """With the nodes that missing letters reach, and without those that no term can end from."""
@@ -105,30 +106,35 @@ class FuzzyLexicon:
                     todo.append((child, e + 1))
         return {n: e for n, e in nodes.items() if e <= self.reach[n]}
 
-    def number(self, nodes: dict[int, int], best: tuple[int, int] | None) -> int:
-        """The state of these nodes; ``best`` is the stem met so far, as (edits, -term)."""
+    def number(self, nodes: dict[int, int], halves: dict[tuple[int, str], int], best: tuple[int, int] | None) -> int:
+        """The state of these nodes; ``halves`` are swaps of which one letter was read, as (node after both, other letter), and ``best``
+        is the stem met so far, as (edits, -term)."""
         for node, e in nodes.items():
             stem = self.trie.stems.get(node)
             if stem is not None and e <= self.allowed[stem] and (best is None or (e, -len(self.terms[stem])) < (best[0], -len(self.terms[best[1]]))):
                 best = (e, stem)
-        key = (frozenset(nodes.items()), best)
+        key = (frozenset(nodes.items()), frozenset(halves.items()), best)
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
-            self.states.append((nodes, best))
+            self.states.append((nodes, halves, best))
             self.moves.append({})
         return self.numbers[key]
 
     def step(self, state: int, letter: str) -> int:
-        nodes, best = self.states[state]
-        after: dict[int, int] = {}
+        nodes, halves, best = self.states[state]
+        after = {node: e for (node, wanted), e in halves.items() if wanted == letter}
+        begun: dict[tuple[int, str], int] = {}
         for node, e in nodes.items():
             for read, child in self.trie.steps[node].items():
                 cost = e + (read != letter)
                 if cost <= self.reach[child] and after.get(child, 99) > cost:
                     after[child] = cost
+                both = self.trie.steps[child].get(letter) if self.swaps and read != letter else None
+                if both is not None and e + 1 <= self.reach[both] and begun.get((both, read), 99) > e + 1:
+                    begun[both, read] = e + 1
             if e + 1 <= self.reach[node] and after.get(node, 99) > e + 1:  # a letter too many
                 after[node] = e + 1
-        to = self.moves[state][letter] = self.number(self.closed(after), best)
+        to = self.moves[state][letter] = self.number(self.closed(after), begun, best)
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
@@ -139,9 +145,9 @@ class FuzzyLexicon:
         for letter in word:
             to = self.moves[state].get(letter)
             state = self.step(state, letter) if to is None else to
-            if not self.states[state][0]:
+            if not self.states[state][0] and not self.states[state][1]:
                 break
-        nodes, best = self.states[state]
+        nodes, _, best = self.states[state]
         found = (best[0], 1, -len(self.terms[best[1]]), best[1]) if best else None
         for node, e in nodes.items():
             term = self.trie.ends.get(node)
@@ -153,12 +159,16 @@ class FuzzyLexicon:
 class Scanner:
     """Hits of a lexicon in texts."""
 
-    def __init__(self, terms: list[str], exact_only: frozenset[int] = frozenset()) -> None:
-        self.lexicon = FuzzyLexicon(terms, exact_only)
+    def __init__(self, terms: list[str], exact_only: frozenset[int] = frozenset(), harmless: frozenset[str] = frozenset()) -> None:
+        """``harmless`` words are no misspellings of any term."""
+        self.harmless = harmless
+        self.lexicon = FuzzyLexicon(terms, exact_only, swaps=True)
         self.known = Memory(self.look, longest=40)
 
     def look(self, word: str) -> tuple[int, int] | bool:
         found = self.lexicon.match(word)
+        if word in self.harmless and found and found[1]:
+            return False
         if (found is None or found[1]) and not word.isalpha():
             spelled = self.lexicon.match(word.translate(_SPELLED))
             if spelled and (found is None or spelled[1] < found[1]):
@@ -248,6 +258,11 @@ def _log_odds(n1, n0, all1, all0):
     return np.log((n1 + 0.5) / (all1 + 1)) - np.log((n0 + 0.5) / (all0 + 1))
 
 
+def _odds(all1: int, all0: int) -> Column:
+    """``_log_odds`` of columns n1 and n0."""
+    return F.log((F.col("n1") + 0.5) / (all1 + 1)) - F.log((F.col("n0") + 0.5) / (all0 + 1))
+
+
 def _exact_only(fuzzy: np.ndarray) -> frozenset[int]:
     """Terms whose misspellings say too little to be looked for."""
     return frozenset(np.flatnonzero(fuzzy < LEAST_FUZZY).tolist())
@@ -258,11 +273,12 @@ class Model:
     terms: list[str]
     exact: np.ndarray
     fuzzy: np.ndarray
+    harmless: frozenset[str]
     weights: np.ndarray
     share: float
 
     def scanner(self) -> Scanner:
-        return Scanner(self.terms, _exact_only(self.fuzzy))
+        return Scanner(self.terms, _exact_only(self.fuzzy), self.harmless)
 
     def score(self, scanner: Scanner, text: str) -> float:
         if not len(self.weights):
@@ -280,10 +296,11 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def lexicon(taught: DataFrame, all1: int, all0: int) -> tuple[list[str], np.ndarray]:
-    """The terms whose counts differ most, and their log odds; nested stems that say no more than a shorter one are left out."""
+    """The terms whose counts differ most, and their log odds: all such words, as misspellings are looked for in whole words, and of
+    nested stems those that say more than a shorter one."""
     counts = taught.select("text", "toxic").mapInArrow(_counted, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("n1"), F.sum("other").alias("n0"))
     n1, n0 = F.col("n1"), F.col("n0")
-    odds = F.log((n1 + 0.5) / (all1 + 1)) - F.log((n0 + 0.5) / (all0 + 1))
+    odds = _odds(all1, all0)
     share = (n1 + n0) / F.lit(all1 + all0)
     ratio = 2 * (n1 * F.log(n1 / (share * all1)) + F.when(n0 > 0, n0 * F.log(n0 / (share * all0))).otherwise(0))
     rows = counts.where((n1 >= LEAST_ROWS) & (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "entry").limit(CANDIDATES).collect()
@@ -292,7 +309,7 @@ def lexicon(taught: DataFrame, all1: int, all0: int) -> tuple[list[str], np.ndar
     for r in rows:
         entry = r["entry"]
         bare = entry.rstrip("*")
-        covered = any(f"{bare[:n]}*" in chosen and odds_of[f"{bare[:n]}*"] >= odds_of[entry] - 0.7 for n in STEMS if n <= len(bare))
+        covered = entry.endswith("*") and any(f"{bare[:n]}*" in chosen and odds_of[f"{bare[:n]}*"] >= odds_of[entry] - 0.7 for n in STEMS if n <= len(bare))
         if not covered and len(chosen) < LEXICON:
             chosen[entry] = (r["n1"], r["n0"])
     terms = list(chosen)
@@ -300,18 +317,21 @@ def lexicon(taught: DataFrame, all1: int, all0: int) -> tuple[list[str], np.ndar
 
 
 def _hit_counts(batches: Iterable[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to documents per term that was met with edits."""
+    """(text, toxic) to documents per word that stands for a term with edits."""
     scanner = Scanner(terms)
     for batch in batches:
         counts: Counter = Counter()
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            counts.update((t, toxic) for t in {term for _, term, e, _ in scanner.hits(text.as_py() or "")[0] if e})
+            for word in set(_WORDS.findall((text.as_py() or "").lower())):
+                met = scanner.known[word]
+                if met and met[1]:
+                    counts[met[0], word, toxic] += 1
         rows = list(counts.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.int32()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["term", "toxic", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))), pa.array([n for _, n in rows], pa.int64())], ["term", "word", "toxic", "n"])
 
 
-def _feature_rows(batches: Iterable[pa.RecordBatch], terms: list[str], exact: np.ndarray, fuzzy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner(terms, _exact_only(fuzzy))
+def _feature_rows(batches: Iterable[pa.RecordBatch], terms: list[str], exact: np.ndarray, fuzzy: np.ndarray, harmless: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    scanner = Scanner(terms, _exact_only(fuzzy), harmless)
     for batch in batches:
         x = [features(*scanner.hits(t.as_py() or ""), exact, fuzzy) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
@@ -325,21 +345,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     share = (all1 + 0.5) / (all1 + all0 + 1)
     none = np.zeros(0)
     if not all1 or not all0:
-        return Model([], none, none, none, share)
+        return Model([], none, none, frozenset(), none, share)
     terms, exact = lexicon(taught, all1, all0)
-    counted = taught.select("text", "toxic").mapInArrow(lambda x: _hit_counts(x, terms), "term int, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n")).collect()
+    met = taught.select("text", "toxic").mapInArrow(lambda x: _hit_counts(x, terms), "term int, word string, toxic long, n long")
+    met = met.groupBy("term", "word").agg(*(F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 0)))
+    # A word that is met often speaks for itself, not for what else resembles the term.
+    met = stored(met.withColumn("harmless", (F.col("n1") + F.col("n0") >= LEAST_ROWS) & (_odds(all1, all0) < LEAST_FUZZY)), "met")
     near = np.zeros((len(terms), 2))
-    for r in counted:
-        near[r["term"], r["toxic"]] = r["n"]
+    for r in met.where("NOT harmless").groupBy("term").agg(F.sum("n0"), F.sum("n1")).collect():
+        near[r["term"]] = r[1:]
     # An unseen misspelling counts half of its term; seen ones by what they were seen in.
     seen = _log_odds(near[:, 1], near[:, 0], all1, all0)
     trust = near.sum(axis=1) / (near.sum(axis=1) + 3) if len(terms) else none
     fuzzy = np.clip(trust * seen + (1 - trust) * 0.5 * exact, 0, None) if len(terms) else none
+    loose = [n for n in range(len(terms)) if n not in _exact_only(fuzzy)]
+    harmless = frozenset(r["word"] for r in met.where(F.col("harmless") & F.col("term").isin(loose)).select("word").collect())
     share_drawn = min(1.0, FIT_ROWS / (all1 + all0))
     drawn = taught.where(F.pmod("draw", F.lit(1_000_000)) < round(share_drawn * 1_000_000)).select("text", "toxic")
-    rows = drawn.mapInArrow(lambda x: _feature_rows(x, terms, exact, fuzzy), "x array<double>, toxic int").collect()
+    rows = drawn.mapInArrow(lambda x: _feature_rows(x, terms, exact, fuzzy, harmless), "x array<double>, toxic int").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    return Model(terms, exact, fuzzy, fitted(x, y) if 0 < y.sum() < len(y) else none, share)
+    return Model(terms, exact, fuzzy, harmless, fitted(x, y) if 0 < y.sum() < len(y) else none, share)
 
 
 def _scored(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
