@@ -202,6 +202,18 @@ def test_toxicity_finds_misspellings_at_every_letter(spark, docs_of):
     assert scanner.hits("oron scumm")[0] == []
 
 
+def test_toxicity_counts_texts_once_and_keeps_all_terms(spark, docs_of, speech):
+    """Copies of one long text teach nothing by their number, and no number of significant words displaces another."""
+    rows, marks = list(speech[0]), list(speech[1])
+    copied = " ".join(f"{a}{b}copied" for a in "bcdfghjklmnpqrstvwxz" for b in "abcdefghijklmnopqrstuvwxyz")
+    many = [a + b + c for a in "bcdfgh" for b in "aeiouyàéèüöä" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows += [(10_000 + i, copied) for i in range(300)] + [(20_000 + i, " ".join([*many, f"own{i}"])) for i in range(60)]
+    marks += [(d, 1) for d, _ in rows[len(marks) :]]
+    model = toxicity.learn(docs_of(rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert len(many) > 1_500 and {*many, "moron", "idiot", "scumbag", "pathetic", "worthless"} <= set(model.terms)
+    assert not set(copied.split()) & set(model.terms)
+
+
 def test_toxicity_without_labels(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.scores(docs_of([(1, "a"), (2, None)]), toxicity.learn(docs_of([(1, "a")]), labels)).collect()

@@ -9,11 +9,12 @@ A word that resembles a term but is met in labelled rows often enough to show th
 
 Each hit gets a context score from the ``WINDOW`` words around it: quotation marks, quoting lines and reporting verbs lower it, second
 person, exclamation and other hits near by raise it. A document's features are sums, maxima and shares of the hits' weights; a logistic
-model over them, fitted on about ``FIT_ROWS`` labelled rows (drawn by a hash), gives the score. Counts for the lexicon cover all labelled rows.
+model over them, fitted on about ``FIT_ROWS`` labelled rows (drawn by a hash), gives the score. Counts for the lexicon cover all labelled
+rows; a text that several of them share counts once, toxic if at least half of them are.
 
 Only rows whose crc32(doc_id as text) modulo 3 is not 1 teach. Labels, lang, source and doc_id are no inputs of a score. Labels meet
-their texts in a join that broadcasts the labels only where their counted rows stay under ``BROADCAST_ROWS``. Driver-side: at most
-``CANDIDATES`` lexicon rows, twice ``LEXICON`` counts, and the rows to fit.
+their texts in a join that broadcasts the labels only where their counted rows stay under ``BROADCAST_ROWS``. Driver-side: the terms of
+the lexicon, two counts of each, and the rows to fit. All terms that pass the measures are kept; Spark broadcasts a lexicon beyond a megabyte.
 
 Edge cases. A null or empty text has no hits and the score of that. Texts of any length are read whole. Of several labels of one
 doc_id the largest counts; null labels and labels without a row are ignored. Rows that share a doc_id are scored each for itself; a null doc_id is
@@ -37,7 +38,7 @@ from vacantia.llm.shared import stored, unused
 from vacantia.llm.units import Memory
 
 STEMS = (4, 5, 6, 7, 8)
-LEXICON, CANDIDATES, LEAST_ROWS, LEAST_ODDS, LEAST_RATIO = 1_500, 20_000, 4, 2.0, 25.0
+LEAST_ROWS, LEAST_ODDS, LEAST_RATIO = 4, 2.0, 25.0
 FIT_ROWS, BROADCAST_ROWS = 20_000, 500_000
 WINDOW, THRESHOLD, LEAST_FUZZY = 8, 0.7, 0.5
 _WORDS = re.compile(r"\w+")
@@ -288,29 +289,32 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic (0 or 1) of the labelled rows that teach."""
+    """text, toxic (0 or 1) and draw of the labelled rows that teach, as a stored table: one row per distinct text, which is toxic if at
+    least half of its rows are."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = stored(marks.where(~held_out(F.col("label_id"))), "labels")
     side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    return docs.join(side, docs["doc_id"] == side["label_id"]).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), F.xxhash64("text", "doc_id").alias("draw"))
+    rows = docs.join(side, docs["doc_id"] == side["label_id"]).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    once = rows.groupBy("text").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n"))
+    return stored(once.select("text", F.when(2 * F.col("n1") >= F.col("n"), 1).otherwise(0).alias("toxic"), F.xxhash64("text").alias("draw")), "taught")
 
 
 def lexicon(taught: DataFrame, all1: int, all0: int) -> tuple[list[str], np.ndarray]:
-    """The terms whose counts differ most, and their log odds: all such words, as misspellings are looked for in whole words, and of
-    nested stems those that say more than a shorter one."""
+    """All terms whose counts differ by the ``LEAST_`` measures, which are the same at every size, and their log odds: all such words, as
+    misspellings are looked for in whole words, and of nested stems those that say more than a shorter one."""
     counts = taught.select("text", "toxic").mapInArrow(_counted, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("n1"), F.sum("other").alias("n0"))
     n1, n0 = F.col("n1"), F.col("n0")
     odds = _odds(all1, all0)
     share = (n1 + n0) / F.lit(all1 + all0)
     ratio = 2 * (n1 * F.log(n1 / (share * all1)) + F.when(n0 > 0, n0 * F.log(n0 / (share * all0))).otherwise(0))
-    rows = counts.where((n1 >= LEAST_ROWS) & (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "entry").limit(CANDIDATES).collect()
+    rows = counts.where((n1 >= LEAST_ROWS) & (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "entry").collect()
     chosen: dict[str, tuple[int, int]] = {}
     odds_of = {r["entry"]: float(_log_odds(r["n1"], r["n0"], all1, all0)) for r in rows}
     for r in rows:
         entry = r["entry"]
         bare = entry.rstrip("*")
         covered = entry.endswith("*") and any(f"{bare[:n]}*" in chosen and odds_of[f"{bare[:n]}*"] >= odds_of[entry] - 0.7 for n in STEMS if n <= len(bare))
-        if not covered and len(chosen) < LEXICON:
+        if not covered:
             chosen[entry] = (r["n1"], r["n0"])
     terms = list(chosen)
     return terms, np.array([odds_of[t] for t in terms])
