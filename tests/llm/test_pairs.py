@@ -143,6 +143,20 @@ def test_context_tells_quotation_from_abuse():
     assert scanner.hits("m0ron")[0][0][1:3] == (0, 0) and scanner.hits("morron")[0][0][2] == 1 and scanner.hits("")[0] == []
 
 
+def test_quotations_of_any_length_and_nothing_between_them():
+    scanner = toxicity.Scanner(["moron"])
+    filler = "and many more words of no weight " * 5
+
+    def score(text):
+        return scanner.hits(text)[0][0][3]
+
+    for left, right in ('""', "“”", "„“", "«»", "»«", "‘’"):
+        assert score(f"{left}{filler}moron {filler}{right}") == score(f"a {left}b\nmoron\nc{right} d") == 0.4
+        assert score(f"{left}hi{right} a moron {left}bye{right}") == score(f"a {left}b moron c") == score(f"a moron {left}b{right}") == 1.0
+    assert score("“b moron c»") == 1.0 and score('„a "moron" b“') == 0.4 and score("‘it’s a moron’") == 0.4 and score("it’s a moron, isn’t it") == 1.0
+    assert score('a 5" moron "bye" x') == 1.0 and score('an "unclosed one and "hi" a moron "bye"') == 1.0
+
+
 @pytest.fixture(scope="module")
 def speech():
     draw = random.Random(7)

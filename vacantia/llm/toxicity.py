@@ -7,8 +7,8 @@ costs a look-up per letter. Terms of three letters must match exactly, longer on
 a swap of two neighbours counts as one; a stem may be followed by anything. Words are terms beside the stems that cover them.
 A word that resembles a term but is met in labelled rows often enough to show that it says too little is no misspelling of it.
 
-Each hit gets a context score from the ``WINDOW`` words around it: quotation marks, quoting lines and reporting verbs lower it, second
-person, exclamation and other hits near by raise it. A document's features are sums, maxima and shares of the hits' weights; a logistic
+Each hit gets a context score from where it stands and the ``WINDOW`` words around it: quotations of any length, quoting lines and
+reporting verbs lower it, second person, exclamation and other hits near by raise it. A document's features are sums, maxima and shares of the hits' weights; a logistic
 model over them, fitted on about ``FIT_ROWS`` labelled rows (drawn by a hash), gives the score. Counts for the lexicon cover all labelled
 rows; a text that several of them share counts once, toxic if at least half of them are.
 
@@ -25,6 +25,7 @@ labels). An empty table gives an empty result. Other columns are not read; ``civ
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -42,7 +43,9 @@ LEAST_ROWS, LEAST_ODDS, LEAST_RATIO = 4, 2.0, 25.0
 FIT_ROWS, BROADCAST_ROWS = 20_000, 500_000
 WINDOW, THRESHOLD, LEAST_FUZZY = 8, 0.7, 0.5
 _WORDS = re.compile(r"\w+")
-_OPENING, _CLOSING = re.compile('["“«„‘]'), re.compile('["”»“’]')
+_MARKS = re.compile('["“”„«»‘’]')
+#: What closes a quotation that the mark opens.
+_CLOSERS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’"}
 _SPELLED = str.maketrans("013457", "oieast")
 #: Words of reported speech, and of address, in the four languages of the corpus.
 REPORTING = frozenset("said says wrote quote quoted called word term sagte schrieb zitat wort dit écrit cite mot terme dijo escribió cita palabra".split())
@@ -157,6 +160,33 @@ class FuzzyLexicon:
         return (found[3], found[0]) if found else None
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Start and end of the outermost quotations of a text, over any number of lines: marks of the same kind are paired in order.
+
+    A mark between two letters is an apostrophe. A straight mark after white space (or a bracket) and before a word only opens, one after
+    a word and before white space only closes. A quotation that is never closed is none, nor is what a later mark of its kind opens anew.
+    """
+    found: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}
+    for m in _MARKS.finditer(text):
+        mark, at = m.group(), m.start()
+        before, after = text[at - 1 : at], text[at + 1 : at + 2]
+        if mark in '"’' and before.isalnum() and after.isalnum():
+            continue
+        starts = mark == '"' and (not before or before.isspace() or before in "([{") and after.strip() != ""
+        ends = mark == '"' and not starts and before.strip() != "" and (not after or after.isspace())
+        begun = [] if starts else [o for o in opened if mark in _CLOSERS[o]]
+        if begun:
+            start = opened.pop(max(begun, key=opened.__getitem__))
+            while found and found[-1][0] > start:
+                found.pop()
+            found.append((start, at + 1))
+            opened = {o: a for o, a in opened.items() if a < start}
+        elif mark in _CLOSERS and not ends:
+            opened[mark] = at
+    return found
+
+
 class Scanner:
     """Hits of a lexicon in texts."""
 
@@ -185,16 +215,18 @@ class Scanner:
         found = [(i, *h) for i, h in enumerate(looked) if h]
         places = [m.span() for m in _WORDS.finditer(text)]
         whole = len(places) == len(words)  # lower case can change the number of words in rare scripts
+        spans = quotations(text) if whole else []
+        starts = [a for a, _ in spans]
         out = []
         for k, (i, term, e) in enumerate(found):
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
             a, b = places[i] if whole else (0, 0)
             line = text.rfind("\n", 0, a) + 1
-            before, after = text[max(line, a - 60) : a], text[b : b + 60].split("\n", 1)[0]
-            quoted = whole and (text.startswith(">", line) or _OPENING.search(before) is not None and _CLOSING.search(after) is not None)
+            span = bisect_right(starts, a) - 1
+            quoted = whole and (text.startswith(">", line) or span >= 0 and b <= spans[span][1])
             others = k > 0 and i - found[k - 1][0] <= WINDOW or k + 1 < len(found) and found[k + 1][0] - i <= WINDOW
             score = 1.0 - 0.6 * quoted - 0.3 * (not REPORTING.isdisjoint(near))
-            score += 0.2 * (not ADDRESS.isdisjoint(near)) + 0.1 * ("!" in after[:3]) + 0.2 * others
+            score += 0.2 * (not ADDRESS.isdisjoint(near)) + 0.1 * ("!" in text[b : b + 3].split("\n", 1)[0]) + 0.2 * others
             out.append((i, term, e, max(0.1, score)))
         return out, len(words)
 
