@@ -101,6 +101,20 @@ def test_lower_bounds_and_best_fit():
     assert best_fit.lower_bound(np.array([6, 6, 6]), 10) == 3 and best_fit.lower_bound(np.array([], int), 10) == 0
 
 
+def test_packing_keeps_ids_beyond_16_bits(docs_of, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    large = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    large.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    large.save(f"{tmp_path}/large.json")
+    for file, units, text, ids, end in (
+        (f"{tmp_path}/large.json", "words", "w5 w65535 w65536 w69999", [5, 65_535, 65_536, 69_999], 2),
+        (P.path("byte_bpe_50k.json"), "byte_level", "", [], 70_000),
+    ):
+        (row,) = best_fit.pack(docs_of([(1, text)]), file, units, end, 256).collect()
+        assert np.frombuffer(bytes(row["ids"]), "<u4").tolist() == [*ids, end] and row["ids_crc32"] == zlib.crc32(bytes(row["ids"]))
+
+
 @pytest.mark.parametrize("group_rows", [3, 100_000])
 def test_packing_is_whole_and_gapless(monkeypatch, docs_of, odd_rows, group_rows):
     monkeypatch.setattr(best_fit, "GROUP_ROWS", group_rows)

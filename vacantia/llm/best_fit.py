@@ -87,6 +87,7 @@ PIECES = "doc_id {kind}, place long, piece int, start long, length long, ids_crc
 
 def _pieces(batches: Iterable[pa.RecordBatch], schema: pa.Schema, file: str, units: str, end: bytes, capacity: int) -> Iterator[pa.RecordBatch]:
     bpe = encoder(file, units)
+    wide = bpe.size > 1 << 16 or struct.unpack("<I", end)[0] >= 1 << 16
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             part = batch.slice(at, 128)
@@ -95,12 +96,13 @@ def _pieces(batches: Iterable[pa.RecordBatch], schema: pa.Schema, file: str, uni
                 data = bpe.encode(text or "") + end
                 for number, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                     ids = data[4 * start : 4 * (start + length)]
-                    rows.append((doc, place, number, start, length, zlib.crc32(ids), np.frombuffer(ids, "<u4").astype("<u2").tobytes()))
+                    rows.append((doc, place, number, start, length, zlib.crc32(ids), bytes(ids) if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def pieces(docs: DataFrame, file: str, units: str, end_id: int, capacity: int) -> DataFrame:
-    """The stored pieces of ``docs`` (doc_id, text). ``place`` numbers the rows; ``ids`` are little-endian unsigned 16-bit integers."""
+    """The stored pieces of ``docs`` (doc_id, text). ``place`` numbers the rows; ``ids`` are little-endian unsigned integers of 16 bits if
+    the vocabulary and ``end_id`` fit them, else of 32: then ``ids`` has four bytes for each of ``length``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
