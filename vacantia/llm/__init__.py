@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from vacantia.llm import best_fit, byte_bpe, chat_format, exact_topk, near_dups, quality_rules, secret_scan, token_files, toxicity, url_filters
+from vacantia.llm import (
+    best_fit,
+    byte_bpe,
+    chat_format,
+    decontamination,
+    exact_topk,
+    near_dups,
+    quality_rules,
+    secret_scan,
+    spelling,
+    token_files,
+    toxicity,
+    url_filters,
+    whitening,
+)
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,10 +29,15 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_decontamination": decontamination.op11_decontamination,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.oracle(),
     "op7_exact_topk": exact_topk.oracle(),
     "op9_url_filters": url_filters.oracle(),
     "op10_chat_format": chat_format.oracle(),
+    "op11_decontamination": decontamination.oracle(),
+    "op12_spelling": spelling.oracle(),
 }

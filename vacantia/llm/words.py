@@ -38,24 +38,27 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words of one text, in order. A text of any length is taken in pieces that end between words where they can."""
+def word_hashes(text: bytes, blank: np.ndarray = _BLANK) -> np.ndarray:
+    """Hashes of the words of one text, in order. A text of any length is taken in pieces that end between words where they can.
+
+    ``blank`` tells of every byte, A-Z taken as a-z, whether it stands between words.
+    """
     if len(text) > CHUNK:
         data, parts, at = np.frombuffer(text, np.uint8), [], 0
         while at < len(text):
             stop = min(len(text), at + CHUNK)
             if stop < len(text):
-                gaps = np.flatnonzero(_BLANK[data[at:stop]])
+                gaps = np.flatnonzero(blank[_FOLD[data[at:stop]]])
                 stop = at + int(gaps[-1]) + 1 if len(gaps) else stop
                 if not len(gaps):  # one word of more than a piece: its end decides
-                    later = np.flatnonzero(_BLANK[data[stop:]])
+                    later = np.flatnonzero(blank[_FOLD[data[stop:]]])
                     stop = stop + int(later[0]) if len(later) else len(text)
-            parts.append(_one_word(text[at:stop]) if stop - at > CHUNK else word_hashes(text[at:stop]))
+            parts.append(_one_word(text[at:stop]) if stop - at > CHUNK else word_hashes(text[at:stop], blank))
             at = stop
         return np.concatenate(parts)
     data = _FOLD[np.frombuffer(text, np.uint8)]
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_BLANK[data]
+    inside[1:-1] = ~blank[data]
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     up, down = _powers()
