@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from vacantia.llm import chat_format, exact_topk, near_dups, secret_scan, toxicity, words
+from vacantia.llm import chat_format, exact_topk, near_dups, secret_scan, shared, toxicity, words
 from vacantia.llm.shared import smallest_labels
 
 
@@ -97,6 +97,37 @@ def test_components_equal_brute_force(monkeypatch, docs_of, odd_rows, copies, wi
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([str(d) for d in set(expected.values())] + ["None"])
 
 
+def test_compared_pairs_grow_with_the_copies_not_with_their_square(monkeypatch, docs_of):
+    """Near copies of one text, many of them too far from it: far fewer pairs are compared than there are, and no link is lost."""
+    draw = random.Random(9)
+    base = [f"b{i}" for i in range(75)]
+    rows = []
+    for n in range(320):
+        text = list(base)
+        for _ in range(draw.randint(0, 14)):
+            text[draw.randrange(len(text))] = f"e{draw.randrange(3000)}"
+        rows.append((n, " ".join(text)))
+    counts = {}
+    for n in (160, 320):
+        made = []
+
+        def stored(df, name, made=made):
+            out = shared.stored(df, name)
+            made.append(out.count() if name == "compared" else 0)
+            return out
+
+        monkeypatch.setattr(near_dups, "stored", stored)
+        got = {r["doc_id"]: r["component_id"] for r in near_dups.components(docs_of(rows[:n]), 2).collect()}
+        assert got == brute_components(rows[:n], 2)
+        counts[n] = sum(made)
+    assert counts[320] < 8 * 320 and counts[320] < 3 * counts[160]
+
+
+def test_similarities_below_those_of_the_chunks_are_refused(docs_of):
+    with pytest.raises(ValueError):
+        near_dups.components(docs_of([(1, "a b c d e"), (2, "a b c d f")]), 2, 75)
+
+
 def test_no_documents_no_components(docs_of):
     assert near_dups.components(docs_of([])).count() == 0 and near_dups.components(docs_of([(1, ""), (2, None)])).count() == 2
 

@@ -7,21 +7,24 @@ of ``ERRORS`` places left out, so such a pair shares an entry: all pairs under t
 for a chance of 4e-7 (14 chunks of 6 places, one error); pairs further apart than ``FAR`` places are dropped, which two sets at 0.8
 exceed with a chance of 1e-10. What remains is confirmed on the full sets.
 
-Rows with the same set form a class, and the class takes part as one node, named by 64 bits of its set. Members of an entry are never paired with each other outright:
+Rows with the same set form a class, and the class takes part as one node. Members of an entry are never paired with each other:
 
-1. every member with the smallest member that it meets;
-2. twice, neighbours in a random order within an entry, where they are in different components so far;
-3. in rounds, every member of an entry that spans several components with one reference, a central member of the entry's largest component;
-   members that are near the reference but not similar to it meet those with which they share enough of what sets them apart from it
-   (``_by_edits``); members far from it go on to a round of their own, and what is left after ``ROUNDS`` rounds is paired outright.
+1. every member meets the smallest member that it shares an entry with;
+2. the members of each entry that still spans several components are measured against one reference, a central member of the entry's
+   largest component. Members similar to it are linked through it. A member that is not can only be similar to another one with which it
+   shares a certain number of the shingles that set the two apart from the reference; such pairs meet in prefixes of these shingles,
+   rarest first, whose lengths follow from the weights of both (``_meetings``). First each meets one member per component, then,
+   where the components are still apart, the others.
 
-So pairs within what is already connected are left out, and everything else is compared: no link between two components is lost. Texts
-are hashed in one narrow pass; entries, pairs and links are tables in the shared folder; full sets move only for pairs to confirm.
+So every pair that could link two components is compared, or ruled out by a bound that holds for all sets. Links are kept as one edge
+per member (to its component's label). Texts are hashed in one narrow pass; entries, pairs and links are tables in the shared folder,
+removed once they are superseded; full sets move only for pairs to confirm and for members that are measured.
 
 Edge cases. A row without words or text has an empty set and is its own component. With fewer words than a shingle the whole sequence
-is the one shingle. A doc_id names a document: rows that repeat it are linked through it; a row without doc_id takes no part, its
-component is null and it is kept. A text of any length is hashed whole. An empty table gives an empty result. Other columns are not
-read; ``one_of_each`` hands them on, whatever their names.
+is the one shingle. The chunks are made for similarities of 80 % or more: a smaller ``percent`` is refused. A doc_id (an integer) names
+a document: rows that repeat it are linked through it; a row without doc_id takes no part, its component is null and it is kept. A
+text of any length is hashed whole. An empty table gives an empty result. Other columns are not read; ``one_of_each`` hands them on,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,19 +33,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vacantia.llm.shared import smallest_labels, stored, unused
+from vacantia.llm.shared import discard, smallest_labels, stored, unused
 from vacantia.llm.words import mix, shingles
 
 CHUNKS, WIDTH, ERRORS, BITS = 14, 6, 1, 16
 PLACES = CHUNKS * WIDTH
-#: Places in which two sets at 0.8, and at 0.6, differ at most (but for a chance of 1e-9).
-FAR, FAR_FROM_REFERENCE = 42, 61
-#: Rounds of references before what is left of an entry is paired outright.
-ROUNDS = 4
+#: Places in which two sets at 0.8 differ at most (but for a chance of 1e-9).
+FAR = 42
 #: Rows of the involved documents up to which their ids are broadcast to fetch the texts.
 BROADCAST_ROWS = 200_000
 
@@ -138,6 +139,11 @@ def _edits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*repeated, pa.array(tokens)], [*batch.schema.names[:rest], "token"])
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if its rows are few, else left to an ordinary join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_id and signature of every row, as a stored table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -145,19 +151,30 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect all similar sets of ``standing`` (doc, doc_id, n, set_id, signature): one row per class,
-    ``doc`` being its node and ``doc_id`` one of its rows."""
+    """Links (a, b) that connect all similar sets of ``standing`` (doc, doc_id, n, set_id, signature): one row per class, ``doc`` being
+    its node and ``doc_id`` one of its rows."""
+    if percent < 80:
+        raise ValueError("the signatures are cut for similarities of 80 % or more")
+    scratch: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """``df`` stored until the next ``swept``."""
+        scratch.append(stored(df, name))
+        return scratch[-1]
+
+    def swept() -> None:
+        while scratch:
+            discard(scratch.pop())
+
     # Sets of up to three shingles are similar only if they are equal.
     wide = standing.where("n > 3").select("doc", "signature")
     keyed = wide.mapInArrow(_entries, "entry long, doc long")
-    met = Window.partitionBy("entry")
-    keyed = keyed.select("entry", "doc", F.min("doc").over(met).alias("least"), F.max("doc").over(met).alias("most")).where("least < most")
-    entries = stored(keyed.select("entry", "doc", "least"), "entries")
+    met = stored(keyed.groupBy("entry").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("entry", "least"), "met")
+    entries = stored(keyed.join(_bounded(met), "entry"), "entries")
 
     involved = stored(entries.select("doc").distinct().join(standing, "doc"), "involved")
     wanted = involved.select("doc", "doc_id", "set_id")
-    side = F.broadcast(wanted) if involved.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id").select("doc", "set_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_bounded(wanted), "doc_id").select("doc", "set_id", "text")
     sets = stored(texts.mapInArrow(lambda x: _sets(x, width), "doc long, hashes binary"), "sets")
 
     def side_of(name: str, *columns: str) -> DataFrame:
@@ -166,101 +183,132 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
     def with_sets(pairs: DataFrame) -> DataFrame:
         return pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
 
-    def compared(pairs: DataFrame, far: int) -> DataFrame:
-        """Sizes and intersections of the pairs (a, b) whose signatures differ in at most ``far`` places."""
-        signed = pairs.distinct().join(side_of("a", "signature"), "a").join(side_of("b", "signature"), "b")
-        near = signed.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda x: _near(x, far), "a long, b long")
-        full = with_sets(near).select("a", "b", "left", "right")
-        return stored(full.mapInArrow(_shared, "a long, b long, n_a long, n_b long, both long"), "compared")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Sizes and intersections of the pairs (a, b)."""
+        full = with_sets(pairs).select("a", "b", "left", "right")
+        return kept(full.mapInArrow(_shared, "a long, b long, n_a long, n_b long, both long"), "compared")
 
-    union = F.col("n_a") + F.col("n_b") - F.col("both")
-    similar = 100 * F.col("both") >= percent * union
+    similar = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(side_of("a", "n"), "a").join(side_of("b", "n"), "b")
-        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-        return compared(pairs, FAR).where(similar).select("a", "b")
+        """The similar ones of the pairs (a, b): those of fitting sizes and near signatures are compared."""
+        pairs = pairs.distinct().join(side_of("a", "n", "signature"), "a").join(side_of("b", "n", "signature"), "b")
+        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        near = pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda x: _near(x, FAR), "a long, b long")
+        return compared(near).where(similar).select("a", "b")
 
     def ordered(x: str, y: str) -> list:
         return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
-    found = confirmed(entries.groupBy("doc").agg(F.min("least").alias("b")).where("b < doc").select(F.col("doc").alias("a"), "b"))
-
-    def in_components(members: DataFrame) -> DataFrame:
-        """(entry, doc, part) of the entries that still span several components."""
+    first = entries.groupBy("doc").agg(F.min("least").alias("b")).where("b < doc").select(F.col("doc").alias("a"), "b")
+    labels = smallest_labels(confirmed(first))
+    swept()
+    found = labels.where("node <> label").toDF("a", "b")
+    # What is left are entries whose members are in several components.
+    part = kept(entries.select("entry", "doc").join(labels.toDF("doc", "label"), "doc", "left").select("entry", "doc", F.coalesce("label", "doc").alias("part")), "parts")
+    across = part.groupBy("entry").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p < q").select("entry", "size")
+    apart = kept(part.join(_bounded(kept(across, "across")), "entry"), "apart")
+    if apart.isEmpty():
+        return found
+
+    # The reference of a component is the member that shares its entries with most others: what all copies come from, if it is there.
+    central = apart.groupBy("part", "doc").agg(F.sum("size").alias("others")).groupBy("part").agg(F.max(F.struct("others", "doc"))["doc"].alias("a"))
+    sizes = apart.groupBy("entry", "part").agg(F.count("*").alias("members"))
+    main = sizes.groupBy("entry").agg(F.max(F.struct("members", "part"))["part"].alias("part"))
+    main = main.join(_bounded(kept(central, "central")), "part").select("entry", "a")
+    referred = apart.select("entry", "doc", "size").join(_bounded(kept(main, "main")), "entry").where("doc <> a")
+    # Of an entry of two only these two are to be compared; in a larger one every member is measured.
+    referred = kept(referred.groupBy("a", F.col("doc").alias("b")).agg(F.max("size").alias("size")), "referred")
+    links_of_two = confirmed(referred.where("size <= 2").select(*ordered("a", "b")))
+    measured = compared(referred.where("size > 2").select("a", "b"))
+    weight = 100 * (F.col("n_a") - F.col("both")) + percent * (F.col("n_b") - F.col("both"))
+    measured = kept(measured.select(
+        "a", "b", similar.alias("close"), weight.alias("w"), (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("e"), ((100 - percent) * F.col("n_a")).alias("room")), "measured")
+    meetings = stored(_meetings(measured, with_sets, percent), "meetings")
+    found = found.union(links_of_two).union(measured.where("close").select("a", "b"))
+    if meetings.isEmpty():
+        return found
+    parted = meetings.select(F.col("b").alias("doc")).distinct()
+    q = 100 + percent
+    for every in (False, True):
         labels = smallest_labels(found)
-        part = members.select("entry", "doc").join(labels.toDF("doc", "label"), "doc", "left").withColumn("part", F.coalesce("label", "doc"))
-        across = Window.partitionBy("entry")
-        part = part.select("entry", "doc", "part", F.min("part").over(across).alias("p"), F.max("part").over(across).alias("q"))
-        return stored(part.where("p < q").select("entry", "doc", "part"), "apart")
-
-    apart = in_components(entries)
-    for turn in range(2):
-        order = Window.partitionBy("entry").orderBy(F.xxhash64("doc", "entry", F.lit(turn)), "doc")
-        pairs = apart.select("doc", "part", F.lag("doc").over(order).alias("other"), F.lag("part").over(order).alias("there")).where("part <> there")
-        found = found.union(confirmed(pairs.select(*ordered("doc", "other"))))
-        apart = in_components(apart)
-    for _ in range(ROUNDS):
-        if apart.isEmpty():
-            return found
-        # The reference of a component is the member that shares its entries with most others: what all copies come from, if it is there.
-        shared = apart.withColumn("others", F.count("*").over(Window.partitionBy("entry"))).groupBy("part", "doc").agg(F.sum("others").alias("others"))
-        central = shared.groupBy("part").agg(F.max(F.struct("others", "doc"))["doc"].alias("a"))
-        sizes = apart.groupBy("entry", "part").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("entry").agg(F.max(F.struct("size", "part"))["part"].alias("part")).join(central, "part").select("entry", "a")
-        referred = stored(apart.select("entry", "doc").join(main, "entry"), "referred")
-        measured = compared(referred.where("doc <> a").select("a", F.col("doc").alias("b")), FAR_FROM_REFERENCE).where(5 * F.col("both") >= 3 * union)
-        weight = 100 * (F.col("n_a") - F.col("both")) + percent * (F.col("n_b") - F.col("both"))
-        edits = F.col("n_a") + F.col("n_b") - 2 * F.col("both")
-        measured = measured.select("a", "b", similar.alias("close"), weight.alias("w"), edits.alias("e"), ((100 - percent) * F.col("n_a")).alias("room"))
-        found = found.union(stored(measured.where("close").select("a", "b"), "confirmed")).union(confirmed(_by_edits(measured, with_sets, percent).select(*ordered("x", "y"))))
-        # Who is further from the reference than 0.4 can only be similar to members that are no closer to it than 0.2.
-        status = referred.join(measured.select("a", F.col("b").alias("doc"), "close"), ["a", "doc"], "left").where("doc <> a")
-        left = status.where("close IS NULL").select("entry").distinct()
-        apart = in_components(status.where("NOT coalesce(close, false)").join(left, "entry", "left_semi"))
-    pairs = apart.select("entry", F.col("doc").alias("x"), F.col("part").alias("at")).join(apart, "entry").where("at < part").select(*ordered("x", "doc"))
-    return found.union(confirmed(pairs))
-
-
-def _by_edits(measured: DataFrame, with_sets, percent: int) -> DataFrame:
-    """Pairs (x, y) of documents near one reference that can be similar although y is not similar to the reference.
+        swept()
+        found = labels.where("node <> label").toDF("a", "b")
+        part = kept(parted.join(labels.toDF("doc", "label"), "doc", "left").select(F.col("doc").alias("b"), F.coalesce("label", "doc").alias("part")), "parts")
+        rows = kept(meetings.join(_bounded(part), "b"), "rows")
+        keys = ["a", "token", "j", "k"]
+        mixed = rows.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(*keys)
+        rows = rows.join(_bounded(kept(mixed, "mixed")), keys)
+        x, y = rows.where("role = 0"), rows.where("role = 1")
+        if not every:
+            x = x.groupBy(*keys, "part").agg(F.min(F.struct("w", "b", "e")).alias("x")).select(*keys, "part", "x.*")
+        x = x.select(*keys, F.col("part").alias("x_part"), F.col("b").alias("x"), F.col("w").alias("x_w"), F.col("e").alias("x_e"))
+        lighter = (F.col("x_w") < F.col("w")) | ((F.col("x_w") == F.col("w")) & (F.col("x") < F.col("b")))
+        enough = q * F.least("x_e", "e") >= F.col("x_w") + F.col("w") - F.col("room")
+        pairs = y.join(x, keys).where((F.col("x_part") != F.col("part")) & lighter & enough)
+        found = found.union(confirmed(pairs.select(*ordered("x", "b"))))
+    return found
+
+
+def _meetings(measured: DataFrame, with_sets, percent: int) -> DataFrame:
+    """Where documents measured against one reference can meet: rows (a, token, j, k, role, b, w, e, room).
 
     Let x and y differ from the reference in R removed and A added shingles, with weight w = 100 R + percent A, and share s of these
-    edits. Then x and y are similar exactly if (100 + percent) s >= w(x) + w(y) - room, where room = (100 - percent) |reference|. As
-    w(y) exceeds room, x must share part of its edits with y; so both meet in a prefix of their edits, rarest first.
+    e = R + A edits. Then x and y are similar exactly if (100 + percent) s >= w(x) + w(y) - room, where room = (100 - percent)
+    |reference|; and y is not similar to the reference if its excess w(y) - room is positive. Take y to be such, and of no smaller weight
+    than x. If both excess and weight are known to be at least G and W, x and y share at least S = ceil((w(x) + G) / (100 + percent)) and
+    ceil((W + excess(y)) / (100 + percent)) edits, so a shared one is among the e - S + 1 rarest edits of each. So x (role 0) is
+    entered for every class j of excesses under its reference, y (role 1) for every class k of weights; classes are steps of the
+    logarithm, and G and W are the smallest values in them.
     """
     q = 100 + percent
-    outside = measured.where("NOT close").groupBy("a").agg(F.min("w").alias("least_w"))
-    useful = measured.join(outside, "a").where(~F.col("close") | (q * F.col("e") >= F.col("w") + F.col("least_w") - F.col("room")))
-    shared = F.when(F.col("close"), F.ceil((F.col("w") + 1) / q)).otherwise(F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("room")) / 100)))
-    useful = useful.select("a", "b", "close", "w", "e", "room", (F.col("e") - shared + 1).alias("prefix")).where("prefix > 0")
-    tokens = with_sets(useful).select("a", "b", "close", "w", "e", "room", "prefix", "left", "right").mapInArrow(
-        _edits, "a long, b long, close boolean, w long, e long, room long, prefix long, token long")
-    tokens = tokens.withColumn("often", F.count("*").over(Window.partitionBy("a", "token")))
+
+    def step(value: Column) -> Column:
+        return F.floor(4 * F.log2(1 + value / q)).cast("int")
+
+    excess = F.col("w") - F.col("room")
+    all_of = measured.withColumn("k", step(F.col("w"))).withColumn("j", F.when(~F.col("close"), step(excess)))
+    by_weight = all_of.groupBy("a", "k").agg(F.min("w").alias("least")).groupBy("a").agg(F.collect_list(F.struct(F.col("k").alias("step"), "least")).alias("weights"))
+    by_excess = all_of.where("NOT close").groupBy("a", "j").agg(F.min(excess).alias("least")).groupBy("a").agg(F.collect_list(F.struct(F.col("j").alias("step"), "least")).alias("excesses"))
+    # A reference that all its members are similar to has nobody left; with the classes of a reference the longest prefix is known.
+    useful = all_of.join(by_excess, "a").join(by_weight, "a")
+
+    def prefix(known: Column, least: Column) -> Column:
+        return F.col("e") - F.ceil((known + least) / q) + 1
+
+    as_x = F.array_max(F.transform("excesses", lambda c: prefix(F.col("w"), c["least"])))
+    as_y = F.when(~F.col("close"), F.array_max(F.transform("weights", lambda c: prefix(excess, c["least"]))))
+    useful = useful.withColumn("longest", F.greatest(as_x, as_y)).where("longest > 0")
+    kept = ["a", "b", "close", "w", "e", "room", "j", "k", "longest"]
+    schema = "a long, b long, close boolean, w long, e long, room long, j int, k int, longest long, token long"
+    tokens = stored(with_sets(useful.select(*kept)).select(*kept, "left", "right").mapInArrow(_edits, schema), "edits")
+    often = tokens.groupBy("a", "token").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "token"))
-    tokens = stored(tokens.withColumn("rank", rank).where("rank <= prefix AND often > 1").select("a", "token", "b", "close", "w", "e", "room"), "edits")
-    y, x = tokens.where("NOT close").alias("y"), tokens.alias("x")
-    met = y.join(x, (F.col("y.a") == F.col("x.a")) & (F.col("y.token") == F.col("x.token")) & (F.col("y.b") != F.col("x.b"))
-                 & (q * F.least("x.e", "y.e") >= F.col("x.w") + F.col("y.w") - F.col("y.room")))
-    return met.select(F.col("x.b").alias("x"), F.col("y.b").alias("y")).distinct()
+    ranked = tokens.join(often, ["a", "token"]).withColumn("rank", rank).where("rank <= longest AND often > 1").drop("often", "longest")
+    ranked = ranked.join(_bounded(by_excess), "a").join(_bounded(by_weight), "a")
+    xs = F.transform(F.filter("excesses", lambda c: F.col("rank") <= prefix(F.col("w"), c["least"])), lambda c: F.struct(F.lit(0).alias("role"), c["step"].alias("j"), F.col("k").alias("k")))
+    ys = F.transform(F.filter("weights", lambda c: ~F.col("close") & (F.col("rank") <= prefix(excess, c["least"])) & (c["least"] <= F.col("w"))),
+                     lambda c: F.struct(F.lit(1).alias("role"), F.col("j").alias("j"), c["step"].alias("k")))
+    rows = ranked.withColumn("at", F.explode(F.concat(xs, ys)))
+    return rows.select("a", "token", "at.j", "at.k", "at.role", "b", "w", "e", "room")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept."""
     docs = docs.select("doc_id", "text")
     sketched = sketches(docs, width)
-    node = F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long")
-    filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("doc", node)
-    classes = filled.groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("set_id").alias("set_id"), F.first("signature").alias("signature"))
-    classes = stored(classes, "classes")
+    filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = stored(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
     # Rows that share a doc_id link the classes of their texts.
-    shared = filled.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where("b < most").select("doc_id", "b")
-    shared = filled.select("doc_id", F.col("doc").alias("a")).join(shared, "doc_id").select("a", "b")
+    shared = filled.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("doc_id")
+    shared = filled.select("doc_id", "set_id").distinct().join(_bounded(stored(shared, "repeated")), "doc_id").join(classes.select("set_id", F.col("doc").alias("a")), "set_id")
+    shared = shared.select("a", "doc_id").join(shared.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").select("a", "b")
     labels = smallest_labels(links(docs, classes, width, percent).union(shared))
     named = classes.select("doc", "doc_id").join(labels.toDF("doc", "part"), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
     least = named.groupBy("part").agg(F.min("doc_id").alias("label"))
-    named = named.join(least, "part").select("doc", "label")
-    out = sketched.select("doc_id", "n_shingles", node.alias("doc")).join(named, "doc", "left")
+    named = named.join(least, "part").join(classes.select("doc", "set_id"), "doc").select("set_id", "label")
+    out = sketched.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     label = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), label).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
