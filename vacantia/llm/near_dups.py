@@ -237,8 +237,10 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
         part = kept(parted.join(labels.toDF("doc", "label"), "doc", "left").select(F.col("doc").alias("b"), F.coalesce("label", "doc").alias("part")), "parts")
         rows = kept(meetings.join(_bounded(part), "b"), "rows")
         keys = ["a", "token", "j", "k"]
-        mixed = rows.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select(*keys)
-        rows = rows.join(_bounded(kept(mixed, "mixed")), keys)
+        # Only keys that hold both roles, and several components, can give a link.
+        mixed = rows.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("role").alias("x"), F.max("role").alias("y"))
+        mixed = kept(mixed.where("p < q AND x < y").select(*keys), "mixed")
+        rows = kept(rows.join(_bounded(mixed), keys), "both")
         x, y = rows.where("role = 0"), rows.where("role = 1")
         if not every:
             x = x.groupBy(*keys, "part").agg(F.min(F.struct("w", "b", "e")).alias("x")).select(*keys, "part", "x.*")
