@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vacantia.operators import catalogue as C, filters as R, ordering as O, registry as P, source_state as Z
 from vacantia.plans import ORACLES, QUERIES
 from vacantia.plans.fixtures import view
-from vacantia.sources import boards as B, sites as S
+from vacantia.sources import sites as S
 from vacantia.streaming import jobs as J
 
 
@@ -131,24 +131,6 @@ def test_lexicon_round_trip(spark):
         P.load_lexicon(P.lexicon_frame(spark, L.SKILLS), limit=10)
 
 
-@pytest.mark.parametrize(("stream", "batch"), [("stream_source_health", "source_health")])
-def test_stream_equals_batch(spark, small, stream, batch):
-    assert rows_of(QUERIES[stream](spark, small)) == rows_of(QUERIES[batch](spark, small))
-
-
-def test_stream_ingest_equals_batch(spark, small):
-    from vacantia.operators import quality as Q
-    from vacantia.plans.stream_queries import greenhouse_pages
-
-    streamed = QUERIES["stream_ingest"](spark, small).select("source_id", "external_id", "action", "reason")
-    owners = view(spark, small, "postings").select("source_id", "external_id", "user_id", "career_track")
-    listed = B.normalize_greenhouse(greenhouse_pages(spark, small)).join(owners, ["source_id", "external_id"])
-    good = Q.payload_gate(Q.batch_profile(listed, ["source_id"])).filter("gate IS NULL").select("source_id")
-    stored = view(spark, small, "snap_prev").join(good, "source_id", "left_semi")
-    whole = C.snapshot_reconcile(stored, listed.join(good, "source_id", "left_semi"), view(spark, small, "profiles"))
-    assert rows_of(streamed.filter("action <> 'quality_failed'")) == rows_of(whole)
-
-
 def test_batch_number_makes_writes_repeatable(spark, tmp_path):
     write = J.write_batch(str(tmp_path))
     rows = spark.range(5)

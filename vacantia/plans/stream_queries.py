@@ -14,7 +14,6 @@ from vacantia.plans.funnel_queries import HEALTH
 from vacantia.plans.registry import query
 from vacantia.plans.scoring_queries import now, pairs
 from vacantia.plans.source_queries import board_rows, html, landed, stamp
-from vacantia.sources import boards as B
 from vacantia.streaming import jobs as J
 
 SLICES = 4
@@ -27,21 +26,20 @@ def event_stream(spark, folder):
 
 
 def sliced(rows, folder, column):
-    """The rows in time slices, written one after another, and the stream that reads one slice per batch."""
+    """The rows written once, in time slices of several files each, and the stream that reads about one slice per batch, oldest first."""
     spark = rows.sparkSession
     low, high = rows.agg(F.unix_seconds(F.min(column)), F.unix_seconds(F.max(column))).first()
     part = F.floor((F.unix_seconds(column) - low) * SLICES / (high - low + 1))
-    for number in range(SLICES):
-        rows.filter(part == number).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    tasks = max(1, spark.sparkContext.defaultParallelism // SLICES)
+    rows.withColumn("slice", part).repartition(SLICES * tasks, "slice", F.pmod(F.xxhash64(*rows.columns), F.lit(tasks))).write.mode("append").partitionBy("slice").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", tasks).parquet(f"{folder}/in")
 
 
 @query("stream_event_dedup", "SELECT DISTINCT user_id AS application_id, event_id % 3 AS attempt, event_type AS stage FROM events")
 def stream_event_dedup(spark, folder):
     place = J.workspace(spark, "dedup")
     events = event_stream(spark, folder).select(F.col("user_id").alias("application_id"), (F.col("event_id") % 3).alias("attempt"), F.col("event_type").alias("stage"), "ts")
-    J.run(J.event_dedup(events, ["application_id", "attempt", "stage"]), place, "append", J.write_batch(place))
-    return spark.read.parquet(f"{place}/out/batch=*").select("application_id", "attempt", "stage")
+    return J.run_dedup(events, ["application_id", "attempt", "stage"], place).select("application_id", "attempt", "stage")
 
 
 @query("stream_source_health", HEALTH)
@@ -56,8 +54,7 @@ SELECT user_id, career_track, run_id, CASE WHEN status IN ('queued', 'running')
 def stream_run_timeout(spark, folder):
     place = J.workspace(spark, "timeout")
     runs = sliced(view(spark, folder, "scan_runs"), place, "requested_at")
-    J.run(J.run_timeout(runs), place, "update", J.write_batch(place))
-    return J.latest(spark, place, ["user_id", "career_track"]).select("user_id", "career_track", "run_id", "state")
+    return J.run_timeout(runs, place)
 
 
 BEAT = "2024-01-30 23:58:00"
@@ -66,8 +63,7 @@ BEAT = "2024-01-30 23:58:00"
 @query("stream_heartbeat", f"SELECT user_id, max(ts)::timestamp::varchar AS last_seen, epoch_us(TIMESTAMP '{BEAT}') - epoch_us(max(ts)::timestamp) < 120000000 AS online FROM events GROUP BY 1")
 def stream_heartbeat(spark, folder):
     place = J.workspace(spark, "heartbeat")
-    J.run(J.heartbeat(event_stream(spark, folder), "user_id"), place, "update", J.write_batch(place))
-    rows = J.online(J.latest(spark, place, ["user_id"]), timestamp(BEAT))
+    rows = J.online(J.heartbeat(event_stream(spark, folder), place, "user_id"), timestamp(BEAT))
     return rows.withColumn("last_seen", F.col("last_seen").cast("string"))
 
 
@@ -76,24 +72,44 @@ def stream_progress(spark, folder):
     place = J.workspace(spark, "progress")
     events = event_stream(spark, folder).select((F.col("user_id") % 40).alias("run_id"), "ts", "event_id", F.col("event_type").isin("click", "purchase").alias("finished"),
                                                 F.concat(F.lit("source "), (F.col("event_id") % 20).cast("string")).alias("source"))
-    J.run(J.progress(events), place, "update", J.write_batch(place))
-    return J.latest(spark, place, ["run_id"]).select("run_id", "total", "completed", "last_source")
+    return J.progress(events, place)
 
 
-def greenhouse_pages(spark, folder):
-    item = F.struct(F.col("external_id").alias("id"), "title", F.struct(F.col("location").alias("name")).alias("location"), html().alias("content"), F.col("apply_url").alias("absolute_url"), stamp().alias("updated_at"))
-    return landed(board_rows(spark, folder).withColumn("seq", F.lit(0)), item)
+#: Kinds of board in the landing table of the stream; a source has one.
+KINDS = ("greenhouse", "lever", "ashby")
+
+
+def landed_pages(spark, folder):
+    """Pages of boards of several kinds, each page telling how many its board's scan has."""
+    rows, way = board_rows(spark, folder), F.col("source_id") % len(KINDS)
+    items = {
+        "greenhouse": (F.struct(F.col("external_id").alias("id"), "title", F.struct(F.col("location").alias("name")).alias("location"), html().alias("content"), F.col("apply_url").alias("absolute_url"), stamp().alias("updated_at")), "jobs"),
+        "lever": (F.struct(F.col("external_id").alias("id"), F.col("title").alias("text"), F.struct("location").alias("categories"), html().alias("description"), F.col("apply_url").alias("applyUrl")), None),
+        "ashby": (F.struct(F.col("external_id").alias("id"), "title", "location", html().alias("descriptionHtml"), F.col("apply_url").alias("applyUrl"), stamp().alias("publishedAt")), "jobs"),
+    }
+    pages = None
+    for number, kind in enumerate(KINDS):
+        part = landed(rows.filter(way == number), *items[kind]).withColumn("kind", F.lit(kind))
+        pages = part if pages is None else pages.unionByName(part)
+    sizes = pages.groupBy("source_id").agg(F.count("*").alias("pages"))
+    return pages.join(sizes, "source_id").select("source_id", "kind", "company", "token", F.lit(1).cast("bigint").alias("scan_id"), F.col("seq").cast("bigint").alias("seq"), "pages", "payload")
+
+
+def normalized(pages):
+    return P.normalize_all(pages).drop("kind", "source_url")
 
 
 @query("stream_ingest")
 def stream_ingest(spark, folder):
-    """Payload files as a stream; each batch is gated and reconciled for its sources (equals the batch jobs, see the tests)."""
+    """Page files as a stream, every board spread over several files; the catalogue after it (equals the batch jobs, see the tests)."""
     place = J.workspace(spark, "ingest")
     owners = view(spark, folder, "postings").select("source_id", "external_id", "user_id", "career_track")
-    pages = greenhouse_pages(spark, folder)
-    pages.repartition(2, "source_id").write.mode("overwrite").parquet(f"{place}/in")
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
-    return J.ingest_stream(stream, B.normalize_greenhouse, owners, view(spark, folder, "snap_prev"), view(spark, folder, "profiles"), place)
+    pages = landed_pages(spark, folder)
+    pages.repartition(3, "seq").write.mode("overwrite").parquet(f"{place}/in")
+    stream = spark.readStream.schema(J.PAGE).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    stored, actions = J.ingest_stream(stream, normalized, owners, view(spark, folder, "snap_prev"), view(spark, folder, "profiles"), place)
+    done = actions.groupBy("source_id", "external_id").agg(F.max("action").alias("action"))
+    return stored.read().select("source_id", "external_id", "title", "is_active", "reason").join(done, ["source_id", "external_id"], "left")
 
 
 @query("register_normalizer", "SELECT CASE job_id % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' ELSE 'plain' END AS kind, external_id, title, location FROM @@postings")
