@@ -224,7 +224,11 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
     weight = 100 * (F.col("n_a") - F.col("both")) + percent * (F.col("n_b") - F.col("both"))
     measured = kept(measured.select(
         "a", "b", similar.alias("close"), weight.alias("w"), (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("e"), ((100 - percent) * F.col("n_a")).alias("room")), "measured")
-    meetings = stored(_meetings(measured, with_sets, percent), "meetings")
+    entered = kept(_meetings(measured, with_sets, percent), "entered")
+    # A place that only one of the two roles is entered at gives no pair.
+    keys = ["a", "token", "j", "k"]
+    places = entered.groupBy(*keys).agg(F.min("role").alias("x"), F.max("role").alias("y")).where("x < y").select(*keys)
+    meetings = stored(entered.join(_bounded(kept(places, "places")), keys), "meetings")
     found = found.union(links_of_two).union(measured.where("close").select("a", "b"))
     if meetings.isEmpty():
         return found
@@ -236,7 +240,6 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
         found = labels.where("node <> label").toDF("a", "b")
         part = kept(parted.join(labels.toDF("doc", "label"), "doc", "left").select(F.col("doc").alias("b"), F.coalesce("label", "doc").alias("part")), "parts")
         rows = kept(meetings.join(_bounded(part), "b"), "rows")
-        keys = ["a", "token", "j", "k"]
         # Only keys that hold both roles, and several components, can give a link.
         mixed = rows.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("role").alias("x"), F.max("role").alias("y"))
         mixed = kept(mixed.where("p < q AND x < y").select(*keys), "mixed")
