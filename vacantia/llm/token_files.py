@@ -2,8 +2,8 @@
 
 A shard is a range of documents in ascending doc_id order. ``<shard>.ids`` holds the ids of its documents in a row, as little-endian
 unsigned integers of 16 bits if the vocabulary fits them, else of 32. ``<shard>.ef`` holds a header and two Elias-Fano sequences: the token counts before each document (and the
-total), and the document ids. A sequence of n values below u takes about n * (2 + log2(u / n)) bits; places of every 512th set bit
-are kept, so that ``select`` reads one value without a table of offsets.
+total), and the document ids. A sequence of n values below u takes about n * (2 + log2(u / n)) bits, and half a bit for the places of
+every 128th set bit, which the file holds too. ``select`` reads one value from there; writer and reader never hold a table of offsets.
 
 ``write`` range-partitions the documents, encodes each range in a task and writes its two files under a name of that task's own; only
 the files that the manifest names count, so a task that is lost or run twice leaves no trace in the result. The manifest has one row
@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,41 +33,46 @@ from pyspark.sql.window import Window
 from vacantia.llm.shared import folder, stored
 from vacantia.llm.units import encoder
 
-MAGIC, SAMPLE, HEAD = b"TOKSHRD2", 512, struct.Struct("<8sBQQq")
+MAGIC, SAMPLE, HEAD = b"TOKSHRD3", 128, struct.Struct("<8sBQQq")
 #: Bytes of ids that a reader holds at once.
 CHUNK = 4 << 20
+#: Values that are coded at once: whole bytes of low bits, whole steps of samples.
+SLICE = 8_192
 
 
 class EliasFano:
-    """A sequence of non-negative integers that never falls."""
+    """A sequence of non-negative integers that never falls: low bits, upper bits in unary, and the place of every ``SAMPLE``-th value."""
 
     HEAD = struct.Struct("<QBQQ")
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes) -> None:
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little"))
-        self.samples = ones[::SAMPLE].astype(np.uint32)
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
-    def build(cls, values: np.ndarray) -> EliasFano:
-        values = values.astype(np.uint64)
-        n, top = len(values), int(values[-1]) if len(values) else 0
+    def build(cls, n: int, top: int, slices: Iterable[np.ndarray]) -> EliasFano:
+        """``n`` values, the last being ``top``, given in slices of ``SLICE`` (the last may be shorter)."""
         bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-        upper = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(upper[-1]) + 1 if n else 0, np.uint8)
-        high[upper] = 1
-        return cls(n, bits, np.packbits(low.astype(np.uint8).ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes())
+        high, low, samples, done = np.zeros((n + (top >> bits) + 7) // 8 if n else 0, np.uint8), [], [np.zeros(0, np.uint64)], 0
+        for values in slices:
+            values = values.astype(np.uint64)
+            places = (values >> np.uint64(bits)) + np.arange(done, done + len(values), dtype=np.uint64)
+            np.bitwise_or.at(high, places >> np.uint64(3), np.left_shift(1, (places & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+            samples.append(places[::SAMPLE])
+            cells = (values[:, None] >> np.arange(bits, dtype=np.uint64)).astype(np.uint8) & 1
+            low.append(np.packbits(cells.ravel(), bitorder="little").tobytes())
+            done += len(values)
+        return cls(n, bits, b"".join(low), high.tobytes(), np.concatenate(samples).astype("<u8"))
 
     def dumps(self) -> bytes:
-        return self.HEAD.pack(self.n, self.low_bits, len(self.low), len(self.high)) + self.low + self.high
+        return self.HEAD.pack(self.n, self.low_bits, len(self.low), len(self.high)) + self.samples.tobytes() + self.low + self.high
 
     @classmethod
     def loads(cls, data: bytes, at: int = 0) -> tuple[EliasFano, int]:
         """The sequence that starts at ``at``, and where it ends."""
         n, bits, a, b = cls.HEAD.unpack_from(data, at)
-        at += cls.HEAD.size
-        return cls(n, bits, data[at : at + a], data[at + a : at + a + b]), at + a + b
+        samples = np.frombuffer(data, "<u8", -(-n // SAMPLE), at + cls.HEAD.size)
+        at += cls.HEAD.size + samples.nbytes
+        return cls(n, bits, data[at : at + a], data[at + a : at + a + b], samples), at + a + b
 
     def select(self, i: int) -> int:
         """The i-th value: from the nearest sample on, bytes of the upper part are counted until the i-th set bit."""
@@ -84,12 +90,15 @@ class EliasFano:
         word = int.from_bytes(self.low[start // 8 : (start + self.low_bits + 7) // 8], "little") >> start % 8
         return upper << self.low_bits | word & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """All values, as unsigned 64-bit integers."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        low = (low.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits) | low
+
+def _rising(steps: array, first: int) -> Iterator[np.ndarray]:
+    """``first``, and the running sums of ``steps`` from there, in slices."""
+    parts, last = np.frombuffer(steps, f"u{steps.itemsize}"), first
+    for at in range(0, len(steps) + 1, SLICE):
+        # The value before the slice stands in front, but for the first slice, which begins with it.
+        sums = np.uint64(last) + np.concatenate((np.zeros(1, np.uint64), np.cumsum(parts[max(0, at - 1) : at + SLICE - 1], dtype=np.uint64)))
+        yield sums[1:] if at else sums
+        last = int(sums[-1])
 
 
 MANIFEST = "shard string, first_doc long, first_place long, n_docs long, n_tokens long"
@@ -98,27 +107,34 @@ MANIFEST = "shard string, first_doc long, first_place long, n_docs long, n_token
 def _write_shard(root: str, batches: Iterable[pa.RecordBatch], encode: Callable[[str], bytes], end: bytes, width: int) -> Iterator[pa.RecordBatch]:
     """The rows (doc_id, place, text) of one task, in order, as one shard; yields its manifest row, or nothing for no rows."""
     store, base = fs.FileSystem.from_uri(root)
-    name, first, ids, bounds, out = uuid.uuid4().hex, None, [], [0], None
+    # Lengths, and the steps from one doc_id to the next: what the two sequences are built from.
+    name, first, lengths, steps, total, nameless, least, last, out = uuid.uuid4().hex, None, array("I"), array("Q"), 0, 0, 0, None, None
     for batch in batches:
         if out is None and batch.num_rows:
             out = store.open_output_stream(f"{base}/{name}.ids")
             first = (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
-        ids += batch.column(0).to_pylist()
-        for text in batch.column(2):
+        for doc, text in zip(batch.column(0), batch.column(2), strict=True):
             data = encode(text.as_py() or "") + end
             out.write(data if width == 4 else np.frombuffer(data, "<u4").astype("<u2").tobytes())
-            bounds.append(bounds[-1] + len(data) // 4)
+            lengths.append(len(data) // 4)
+            total += lengths[-1]
+            if (doc := doc.as_py()) is None:
+                nameless += 1
+            else:
+                if last is None:
+                    least = doc
+                else:
+                    steps.append(doc - last)
+                last = doc
     if out is None:
         return
     out.close()
-    named = [i for i in ids if i is not None]
-    least = named[0] if named else 0
-    head = HEAD.pack(MAGIC, width, len(ids), len(ids) - len(named), least)
+    n_docs = len(lengths)
     with store.open_output_stream(f"{base}/{name}.ef") as index:
-        index.write(head)
-        index.write(EliasFano.build(np.array(bounds, np.uint64)).dumps())
-        index.write(EliasFano.build(np.array([i - least for i in named], np.uint64)).dumps())
-    yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([v], pa.int64()) for v in (*first, len(ids), bounds[-1]))], names=["shard", "first_doc", "first_place", "n_docs", "n_tokens"])
+        index.write(HEAD.pack(MAGIC, width, n_docs, nameless, least))
+        index.write(EliasFano.build(n_docs + 1, total, _rising(lengths, 0)).dumps())
+        index.write(EliasFano.build(n_docs - nameless, (last or 0) - least, _rising(steps, 0) if n_docs > nameless else ()).dumps())
+    yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([v], pa.int64()) for v in (*first, n_docs, total))], names=["shard", "first_doc", "first_place", "n_docs", "n_tokens"])
 
 
 class Shard:
@@ -144,12 +160,11 @@ class Shard:
         start, stop = self.span(i)
         return np.frombuffer(self.file.read_at(self.width * (stop - start), self.width * start), f"<u{self.width}").astype("<u4")
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nameless + [int(v) + self.least for v in self.ids.values()]
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nameless else self.ids.select(i - self.nameless) + self.least
 
     def documents(self) -> Iterator[tuple[int | None, int, Iterator[bytes]]]:
         """Per document: doc_id, first token, and its ids in pieces of 32-bit integers. Files are read in order, ``CHUNK`` bytes at most at once."""
-        bounds = self.bounds.values().astype(np.int64)
         held, at = b"", 0
 
         def pieces(start: int, stop: int) -> Iterator[bytes]:
@@ -161,8 +176,9 @@ class Shard:
                 yield part if self.width == 4 else np.frombuffer(part, "<u2").astype("<u4").tobytes()
                 start = min(stop, at + len(held))
 
-        for doc, start, stop in zip(self.doc_ids(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield doc, start, pieces(self.width * start, self.width * stop)
+        for i in range(self.n_docs):
+            start, stop = self.span(i)
+            yield self.doc_id(i), start, pieces(self.width * start, self.width * stop)
 
 
 def write(docs: DataFrame, root: str, file: str, units: str, end_id: int) -> DataFrame:
