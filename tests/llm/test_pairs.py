@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from itertools import combinations
@@ -270,10 +271,11 @@ def test_exact_topk_equals_sql(monkeypatch, spark, same):
     draw = random.Random(3)
     rows = [(i, [draw.choice([0.0, 0.5, -0.25, draw.uniform(-1, 1)]) for _ in range(6)], 1, "x") for i in range(0, 300)]
     rows += [(50, [1.0] * 6, 1, "x"), (50, [1.0] * 6, 1, "x"), (7, [1.0] * 6, 1, "x"), (400, None, 1, "x"), (401, [None, 1.0], 1, "x"), (402, [float("nan")], 1, "x"), (403, [float("inf")], 1, "x"),
-             (404, [], 1, "x"), (450, [0.5], 1, "x"), (None, [9.0] * 6, 1, "x"), (-50, [0.1] * 9, 1, "x"), (405, [1e30], 1, "x")]
+             (404, [], 1, "x"), (450, [0.5], 1, "x"), (None, [9.0] * 6, 1, "x"), (-50, [0.1] * 9, 1, "x"), (405, [1e20], 1, "x"),
+             (406, [9e6, 1.0, 1.0, 1.0], 1, "x"), (407, [8e6] * 4, 1, "x"), (500, [8e6] * 4, 1, "x"), (550, [3e8, -3e8, 3e8], 1, "x"), (408, [3e8, -3e8, 3e8], 1, "x"), (409, [3e8, -3e8, 3.1e8], 1, "x")]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score string").repartition(3)
-    monkeypatch.setattr(exact_topk, "QUERY_ROWS", 3)
-    monkeypatch.setattr(exact_topk, "CANDIDATE_ROWS", 40)
+    monkeypatch.setattr(exact_topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(exact_topk, "BLOCK_WEIGHTS", 150)
     held = exact_topk.stored(exact_topk.scaled(vectors), "vectors")
     same(exact_topk.top_k(held, held.where("vec_id % 50 = 0"), 5), exact_topk.oracle("vectors"), vectors=vectors)
     few = held.where("vec_id IN (0, 1, 2)")
@@ -282,6 +284,20 @@ def test_exact_topk_equals_sql(monkeypatch, spark, same):
     assert exact_topk.top_k(empty, empty, 5).count() == 0
 
 
+def test_topk_of_any_finite_weights_is_exact(spark):
+    draw = random.Random(5)
+    sizes = [1.0, 1e6, 8e6, 1e15, 3e18, 1e40, 1e300]
+    rows = [(i, [draw.choice([-1, 1]) * draw.choice(sizes) * draw.choice([0, 1, 0.7]) for _ in range(draw.randint(0, 5))]) for i in range(120)]
+    rows += [(150, [1e200, 1e-3]), (151, [1e200, 1e-3]), (152, [1e200, -1e-3]), (153, [2e306]), (154, [1.7e308])]
+    kept = {i: [math.floor(256 * x) for x in v] for i, v in rows if all(math.isfinite(256 * x) for x in v)}
+    expected = []
+    for q in (i for i in kept if i % 50 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(kept[q], v, strict=False)), i) for i, v in kept.items() if i != q)
+        expected += [(q, r, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(scores[:7], 1)]
+    held = exact_topk.stored(exact_topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)), "vectors")
+    assert sorted(map(tuple, exact_topk.top_k(held, held.where("vec_id % 50 = 0"), 7).collect())) == sorted(expected)
+
+
 CHAT = [
     (1, 0, "user", "Hello there.\n\nHow do I bake\nbread at home?"), (1, 1, "assistant", "Mix flour and water.\nWait an hour."), (1, 2, "user", "A new topic: cats"),
     (1, 3, "assistant", "On Monday, user wrote:\n> How do I  BAKE\n> bread at home?\n\nSee above."), (1, 4, "user", "> > How do I bake bread at home?\n> Mix flour and water.\n> Wait an hour.\nThanks!"), (1, 5, "assistant", "> cats\nno such line"),
