@@ -178,18 +178,24 @@ def clean_text(text: Column) -> Column:
     pairs = F.filter(F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))),
                      lambda p: (p["line"] != "") & ~F.array_contains(noise, p["key"]))
 
+    def first_of_each(rows: Column) -> Column:
+        """First row per key, in order: sorted by key and place, a row stands behind those of its key that came before it."""
+        ordered = F.array_sort(F.transform(rows, lambda p, i: F.struct(p["key"].alias("key"), i.alias("place"), p["line"].alias("line"))))
+        heads = let(ordered, lambda o: F.filter(o, lambda p, i: (i == 0) | (p["key"] != F.get(o, i - 1)["key"])))
+        return F.array_sort(F.transform(heads, lambda p: F.struct(p["place"].alias("place"), p["line"].alias("line")))).getField("line")
+
     def keep_first(rows: Column) -> Column:
-        return let(rows.getField("key"), lambda keys: F.filter(
-            rows, lambda p, i: F.array_position(keys, p["key"]) == i + 1))
+        repeats = let(rows.getField("key"), lambda keys: F.size(F.array_distinct(keys)) < F.size(keys))
+        return F.when(repeats, first_of_each(rows)).otherwise(rows.getField("line"))
 
-    return F.array_join(let(pairs, keep_first).getField("line"), "\n")
+    return F.array_join(let(pairs, keep_first), "\n")
 
 
 def quality_of_clean(clean: Column) -> Column:
     """missing / partial / complete for text that :func:`clean_text` already produced."""
 
     def grade(compact: Column) -> Column:
-        letters = F.length(F.regexp_replace(compact, r"[^\p{L}]", ""))
+        letters = F.length(F.regexp_replace(compact, r"[^\p{L}]+", ""))
         return (
             F.when((compact == "") | line_key(compact).isin(*L.GENERIC_DESCRIPTIONS), "missing")
             .when((F.length(compact) < 40) | compact.rlike("^(?i)[0-9a-f -]{24,}$"), "partial")
