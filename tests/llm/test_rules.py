@@ -102,6 +102,7 @@ PAGES = [
     (10, "http://fine.org/d/e", PAGE.format('<link rel="canonical" href="f">')), (11, "http://fine.org/d/f", ""), (12, "http://alias.org/", PAGE.format('<link rel="canonical" href="http://www.example.com/en/a?x">')),
     (13, "http://mixed.org/", PAGE.format('<link rel="canonical" href="http://x.net/fr/2"><meta http-equiv="refresh" content="1;url=http://a.com/">')), (14, "ftp://u@h.net:80/fr/?q://z", ""), (15, "http://net/fr/", ""), (1, "http://example.com/en/a", ""),
     (16, "http://third.org/?", PAGE.format('<link rel="stylesheet" href="http://example.com/en/a">')), (17, "://e.com", ""),
+    (18, None, PAGE.format('<link rel="canonical" href="http://example.com/en/a">')), (19, "no scheme", PAGE.format('<link rel="canonical" href="/en/a">')), (None, None, PAGE.format('<link rel="canonical" href="http://example.com/en/a">')),
 ]
 
 
@@ -115,3 +116,21 @@ def test_url_filters_equal_sql_and_reach_aliases(spark, same):
     moved = spark.createDataFrame([("http://fine.org/d/f", "http://y.net/es/"), (None, "x")], "from_url string, to_url string")
     assert {r["page_id"]: r["verdict"] for r in url_filters.judged(pages, redirects=moved).collect()}[10] == "block"
     assert url_filters.judged(pages.limit(0)).count() == 0
+    assert verdicts[18] == (None, "block") and verdicts[19] == (None, "allow") and verdicts[None] == (None, "allow")
+
+
+@pytest.mark.parametrize("as_table", [True, False])
+def test_rules_of_any_number_are_joined(monkeypatch, spark, same, as_table):
+    pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, verdict string").repartition(3)
+    tails = ["", "/", "/en", "/en/", "/en/a", "/es/", "/d/", "/d/f", "//", "/fr"]
+    hosts = ["com", "example.com", "www.example.com", "net", "x.net", "org", "fine.org", "e.com", "h.net:80", "absent.io", ""]
+    rules = [(("allow", "block")[(i * 7 + j * 3) % 5 % 2], h, t) for i, h in enumerate(hosts) for j, t in enumerate(tails) if (i + j) % 3]
+    rules += [("allow", "fine.org", "/d/"), ("block", "fine.org", "/d/")]
+    monkeypatch.setattr(url_filters, "PLAN_RULES", 3)
+    given = spark.createDataFrame([*rules, (None, "com", "/"), *rules[:4]], "action string, host string, path string") if as_table else rules
+    got = url_filters.judged(pages, given)
+    same(got, url_filters.oracle("pages", rules), pages=pages)
+    monkeypatch.setattr(url_filters, "PLAN_RULES", 10_000)
+    assert sorted(map(str, got.collect())) == sorted(map(str, url_filters.judged(pages, rules).collect()))
+    none = spark.createDataFrame([], "action string, host string, path string")
+    assert {r["verdict"] for r in url_filters.judged(pages, none).collect()} == {"allow"}
