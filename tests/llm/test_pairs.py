@@ -260,6 +260,19 @@ def test_toxicity_counts_texts_once_and_keeps_all_terms(spark, docs_of, speech):
     assert not set(copied.split()) & set(model.terms)
 
 
+def test_toxicity_learns_words_of_any_length(monkeypatch, spark, docs_of):
+    monkeypatch.setattr(toxicity, "HELD_LETTERS", 500)  # counts are handed on after every few texts
+    draw = random.Random(12)
+    plain = [f"plain{i}word" for i in range(100)]
+    long, longer = "verachtenswerterunmenschenhaufenvondiebenundluegnern", "字" * 300
+    rows = [(i, " ".join([*draw.sample(plain, 10), *([long, longer] if i % 5 == 0 else [])])) for i in range(300)]
+    model = toxicity.learn(docs_of(rows), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert longer in model.terms
+    scanner = model.scanner()
+    clean = model.score(scanner, "plain1word plain2word plain3word")
+    assert all(model.score(scanner, f"plain1word {w} plain2word") > clean for w in (long, longer, longer[:-1], longer[:20] + "x" + longer[20:]))
+
+
 def test_toxicity_without_labels(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.scores(docs_of([(1, "a"), (2, None)]), toxicity.learn(docs_of([(1, "a")]), labels)).collect()

@@ -4,7 +4,8 @@ The lexicon is learned from labelled rows: whole words and word beginnings (stem
 and other rows differ most. It is a trie, and the automaton of edit distance is run over the whole trie at once: a state is the set
 of (trie node, edits so far) that a word's letters can reach, and states and steps are kept once they were met, so an unknown word
 costs a look-up per letter. Terms of three letters must match exactly, longer ones may differ by ``edits`` letters, where
-a swap of two neighbours counts as one; a stem may be followed by anything. Words are terms beside the stems that cover them.
+a swap of two neighbours counts as one; a stem may be followed by anything. Words of three letters or more, however
+long, are terms beside the stems that cover them.
 A word that resembles a term but is met in labelled rows often enough to show that it says too little is no misspelling of it.
 
 Each hit gets a context score from where it stands and the ``WINDOW`` words around it: quotations of any length, quoting lines and
@@ -42,6 +43,8 @@ STEMS = (4, 5, 6, 7, 8)
 LEAST_ROWS, LEAST_ODDS, LEAST_RATIO = 4, 2.0, 25.0
 FIT_ROWS, BROADCAST_ROWS = 20_000, 500_000
 WINDOW, THRESHOLD, LEAST_FUZZY = 8, 0.7, 0.5
+#: Letters of words whose counts a task holds before it hands them on.
+HELD_LETTERS = 1 << 24
 _WORDS = re.compile(r"\w+")
 _MARKS = re.compile('["“”„«»‘’]')
 #: What closes a quotation that the mark opens.
@@ -271,6 +274,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["entry", "toxic", "other"]
     for batch in batches:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+        letters = 0
 
         def given() -> pa.RecordBatch:
             entries = list(counts[0].keys() | counts[1].keys())
@@ -278,10 +282,12 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             words = set(_WORDS.findall((text.as_py() or "").lower()))
-            counts[toxic].update(w for w in words if 3 <= len(w) <= 40)
+            counts[toxic].update(w for w in words if len(w) >= 3)
+            letters += sum(map(len, words))
             counts[toxic].update({f"{w[:n]}*" for w in words for n in STEMS if len(w) > n})
-            if len(counts[0]) + len(counts[1]) > 200_000:
+            if len(counts[0]) + len(counts[1]) > 200_000 or letters > HELD_LETTERS:
                 yield given()
+                letters = 0
                 counts[0].clear()
                 counts[1].clear()
         yield given()
