@@ -1,4 +1,4 @@
-"""Plug-in points: normalisers by board kind, ranking engines by key, lexicons as tables."""
+"""Plug-in points: normalisers by board kind, ranking engines by key, lexicons as tables (matched by :mod:`vacantia.operators.dictionary`)."""
 
 from __future__ import annotations
 
@@ -17,7 +17,6 @@ NORMALIZERS: dict[str, Normalizer] = {
     "greenhouse": B.normalize_greenhouse, "lever": B.normalize_lever, "ashby": B.normalize_ashby,
 }
 ENGINES: dict[str, Engine] = {}
-MAX_LEXICON = 5_000  # terms; larger lists belong in a join, not in generated predicates
 
 
 def register_normalizer(kind: str, fn: Normalizer) -> None:
@@ -69,13 +68,3 @@ def lexicon_frame(spark: SparkSession, table: dict[str, tuple[str, ...]]) -> Dat
     """A term table as rows (ordinal, key, term) that can be written to Parquet or CSV and edited."""
     rows = [(i, key, term) for i, (key, term) in enumerate((k, t) for k, terms in table.items() for t in terms)]
     return spark.createDataFrame(rows, "ordinal int, key string, term string")
-
-
-def load_lexicon(frame: DataFrame, limit: int = MAX_LEXICON) -> dict[str, tuple[str, ...]]:
-    """A term table from its rows; its size is checked before it is read to the driver to build predicates."""
-    if frame.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} terms")
-    table: dict[str, list[str]] = {}
-    for row in frame.orderBy("ordinal").toLocalIterator():
-        table.setdefault(row["key"], []).append(row["term"])
-    return {key: tuple(terms) for key, terms in table.items()}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantia import lexicons as L
-from vacantia.functions import features as X
 from vacantia.functions.dates import timestamp
 from vacantia.operators import registry as P
+from vacantia.operators.dictionary import term_keys
 from vacantia.plans import duck as K, duck_scoring as S
 from vacantia.plans.fixtures import spread, table, view
 from vacantia.plans.funnel_queries import HEALTH
@@ -151,6 +151,5 @@ def lexicons_as_tables(spark, folder):
     place = J.workspace(spark, "lexicon")
     own = spark.createDataFrame([(10_000, "cooking", "chef"), (10_001, "cooking", "kitchen")], "ordinal int, key string, term string")
     P.lexicon_frame(spark, L.SKILLS).unionByName(own).write.mode("overwrite").parquet(place)
-    skills = P.load_lexicon(spark.read.parquet(place))
-    rows = spread(view(spark, folder, "postings")).select(F.explode(X.skills_extract(F.concat_ws(" ", "title", "description"), skills)).alias("skill"))
-    return rows.groupBy("skill").agg(F.count("*").alias("postings"))
+    rows = spread(view(spark, folder, "postings")).select("job_id", F.concat_ws(" ", "title", "description").alias("text"))
+    return term_keys(rows, "job_id", "text", spark.read.parquet(place)).groupBy(F.col("key").alias("skill")).agg(F.count("*").alias("postings"))
