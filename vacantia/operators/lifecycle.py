@@ -148,20 +148,25 @@ def profile_patch(profiles: DataFrame, patches: DataFrame, matching: tuple[str,
 
 
 def source_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
-    """Add (duplicates refused), edit (re-enabling resets the back-off) and delete.
+    """Add (a board the same user has is refused), edit (re-enabling resets the back-off) and delete (own sources only).
 
-    ``edits``: (edit_id, action, source_id, kind, identifier, career_track, enabled).
+    ``edits``: (edit_id, action, user_id, source_id, kind, identifier, career_track, enabled).  Of several adds of one board the
+    first edit counts; an edit of a source that its user does not own gives no row.
     """
-    board = ["kind", "identifier", "career_track"]
+    board = ["user_id", "kind", "identifier", "career_track"]
     adds = edits.filter("action = 'add'")
     known = sources.select(*board, F.lit(True).alias("known")).distinct()
-    added = adds.join(known, board, "left").select("edit_id", F.lit(None).cast("bigint").alias("source_id"), F.when(F.col("known"), "refused_duplicate").otherwise("added").alias("outcome"),
-                                                   F.lit(True).alias("enabled"), F.lit(0).alias("consecutive_failures"))
-    rest = edits.filter("action <> 'add'").select("edit_id", "action", "source_id", F.col("enabled").alias("wanted")).join(sources.select("source_id", "enabled", "consecutive_failures"), "source_id")
+    first = adds.groupBy(*board).agg(F.min("edit_id").alias("first"))
+    refused = F.coalesce("known", F.lit(False)) | (F.col("edit_id") != F.coalesce("first", "edit_id"))
+    added = adds.join(known, board, "left").join(first, board, "left").select(
+        "edit_id", "user_id", F.lit(None).cast("bigint").alias("source_id"), F.when(refused, "refused_duplicate").otherwise("added").alias("outcome"),
+        F.lit(True).alias("enabled"), F.lit(0).alias("consecutive_failures"))
+    own = sources.select("user_id", "source_id", "enabled", "consecutive_failures")
+    rest = edits.filter("action <> 'add'").select("edit_id", "action", "user_id", "source_id", F.col("enabled").alias("wanted")).join(own, ["user_id", "source_id"])
     enabled = F.coalesce("wanted", "enabled")
-    changed = rest.select("edit_id", "source_id", F.when(F.col("action") == "delete", "deleted").otherwise("edited").alias("outcome"), enabled.alias("enabled"),
+    changed = rest.select("edit_id", "user_id", "source_id", F.when(F.col("action") == "delete", "deleted").otherwise("edited").alias("outcome"), enabled.alias("enabled"),
                           F.when(F.col("wanted"), 0).otherwise(F.col("consecutive_failures")).alias("consecutive_failures"))
-    return added.union(changed)
+    return added.unionByName(changed)
 
 
 def submission_outcome(responses: DataFrame) -> DataFrame:

@@ -232,15 +232,20 @@ def profile_patch(spark, folder):
     return rows.select("user_id", "career_track", F.col("new_years_experience").alias("years"), F.col("new_email").alias("email"), joined(F.col("new_skills")).alias("skills"), "matching_changed", "resume_fields_changed")
 
 
-@query("source_edits", """WITH e AS (SELECT entry AS edit_id, 'add' AS action, NULL::bigint AS source_id, kind, identifier, career_track, NULL::boolean AS enabled FROM @@catalogue UNION ALL SELECT source_id + 1000000, CASE source_id % 3 WHEN 0 THEN 'delete' ELSE 'edit' END, source_id, NULL, NULL, NULL, CASE source_id % 4 WHEN 0 THEN true WHEN 1 THEN false END FROM @@sources)
-SELECT edit_id, source_id, CASE WHEN EXISTS (SELECT 1 FROM @@sources s WHERE s.kind = e.kind AND s.identifier = e.identifier AND s.career_track = e.career_track) THEN 'refused_duplicate' ELSE 'added' END AS outcome, true AS enabled, 0 AS consecutive_failures FROM e WHERE action = 'add'
-UNION ALL SELECT e.edit_id, e.source_id, CASE e.action WHEN 'delete' THEN 'deleted' ELSE 'edited' END, coalesce(e.enabled, s.enabled), CASE WHEN e.enabled THEN 0 ELSE s.consecutive_failures END FROM e JOIN @@sources s USING (source_id) WHERE action <> 'add'""")
+@query("source_edits", """WITH e AS (SELECT c.entry * 50 + u.user_id AS edit_id, 'add' AS action, u.user_id, NULL::bigint AS source_id, c.kind, c.identifier, c.career_track, NULL::boolean AS enabled FROM @@catalogue c JOIN (SELECT DISTINCT user_id, career_track FROM @@sources WHERE user_id % 10 = 3) u USING (career_track)
+ UNION ALL SELECT -source_id, CASE source_id % 3 WHEN 0 THEN 'delete' ELSE 'edit' END, CASE WHEN source_id % 5 = 0 THEN user_id + 1 ELSE user_id END, source_id, NULL, NULL, NULL, CASE source_id % 4 WHEN 0 THEN true WHEN 1 THEN false END FROM @@sources),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind, identifier, career_track ORDER BY edit_id) AS rn FROM e WHERE action = 'add')
+SELECT edit_id, user_id, source_id, CASE WHEN rn > 1 OR EXISTS (SELECT 1 FROM @@sources s WHERE s.user_id = a.user_id AND s.kind = a.kind AND s.identifier = a.identifier AND s.career_track = a.career_track) THEN 'refused_duplicate' ELSE 'added' END AS outcome, true AS enabled, 0 AS consecutive_failures FROM a
+UNION ALL SELECT e.edit_id, e.user_id, e.source_id, CASE e.action WHEN 'delete' THEN 'deleted' ELSE 'edited' END, coalesce(e.enabled, s.enabled), CASE WHEN e.enabled THEN 0 ELSE s.consecutive_failures END FROM e JOIN @@sources s ON s.source_id = e.source_id AND s.user_id = e.user_id WHERE action <> 'add'""")
 def source_edits(spark, folder):
+    """Every fifth edit comes from a user who does not own the source."""
     sources = view(spark, folder, "sources")
-    adds = view(spark, folder, "catalogue").select(F.col("entry").alias("edit_id"), F.lit("add").alias("action"), F.lit(None).cast("bigint").alias("source_id"), "kind", "identifier", "career_track", F.lit(None).cast("boolean").alias("enabled"))
+    users = sources.filter("user_id % 10 = 3").select("user_id", "career_track").distinct()
+    adds = view(spark, folder, "catalogue").join(users, "career_track").select(
+        (F.col("entry") * 50 + F.col("user_id")).alias("edit_id"), F.lit("add").alias("action"), "user_id", F.lit(None).cast("bigint").alias("source_id"), "kind", "identifier", "career_track", F.lit(None).cast("boolean").alias("enabled"))
     key, none = F.col("source_id"), F.lit(None).cast("string")
-    changes = sources.select((key + 1000000).alias("edit_id"), F.when(key % 3 == 0, "delete").otherwise("edit").alias("action"), "source_id", none.alias("kind"), none.alias("identifier"), none.alias("career_track"),
-                             F.when(key % 4 == 0, True).when(key % 4 == 1, False).alias("enabled"))
+    changes = sources.select((-key).alias("edit_id"), F.when(key % 3 == 0, "delete").otherwise("edit").alias("action"), F.when(key % 5 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"), "source_id",
+                             none.alias("kind"), none.alias("identifier"), none.alias("career_track"), F.when(key % 4 == 0, True).when(key % 4 == 1, False).alias("enabled"))
     return Y.source_edits(sources, adds.unionByName(changes))
 
 

@@ -256,16 +256,37 @@ def backup_bundle(spark, folder):
     return result
 
 
-@query("restore_bundle", f"""WITH o AS (SELECT kind, identifier, career_track, min(name) AS name, arg_min(company_name, source_id) AS company_name, arg_min(enabled, source_id) AS enabled FROM @@sources WHERE source_id % 3 <> 0 GROUP BY ALL),
-n0 AS (SELECT *, CASE WHEN source_id % 8 = 0 THEN '{L.CS}' ELSE career_track END AS tr FROM @@sources WHERE source_id % 2 = 0), n AS (SELECT kind, identifier, tr AS career_track, arg_max(name || ' new', source_id) AS name FROM n0 GROUP BY ALL)
-SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.identifier, n.identifier) AS identifier, coalesce(o.career_track, n.career_track) AS career_track, coalesce(n.name, o.name) AS name,
- CASE WHEN o.kind IS NULL THEN 'insert' WHEN n.kind IS NOT NULL THEN 'update' ELSE 'keep' END AS action FROM o FULL JOIN n ON o.kind = n.kind AND o.identifier = n.identifier AND o.career_track = n.career_track""")
+@query("restore_bundle", f"""WITH o AS (SELECT user_id, kind, identifier, career_track, arg_min(name, source_id) AS name FROM @@sources WHERE source_id % 3 <> 0 GROUP BY ALL),
+n0 AS (SELECT *, CASE WHEN source_id % 8 = 0 THEN '{L.CS}' ELSE career_track END AS tr FROM @@sources WHERE source_id % 2 = 0), n AS (SELECT user_id, kind, identifier, tr AS career_track, arg_max(name || ' new', source_id) AS name FROM n0 GROUP BY ALL),
+ao AS (SELECT user_id, pattern, arg_max(answer, answer_id) AS answer, arg_max(auto_use, answer_id) AS auto_use FROM @@answers WHERE answer_id % 3 <> 0 GROUP BY ALL),
+an AS (SELECT user_id, pattern, arg_max(CASE WHEN answer_id % 4 = 0 THEN '' ELSE answer || ' new' END, answer_id) AS answer, arg_max(answer_id % 5 = 0, answer_id) AS auto_use FROM @@answers WHERE answer_id % 2 = 0 GROUP BY ALL),
+po AS (SELECT user_id, job_id, status, mode FROM @@applications WHERE application_id % 3 <> 0),
+pn AS (SELECT user_id, job_id, CASE WHEN application_id % 5 = 0 THEN 'saved' ELSE status END AS status, 'review' AS mode FROM @@applications a WHERE application_id % 2 = 0 AND application_id % 7 <> 0 AND EXISTS (SELECT 1 FROM @@postings p WHERE p.job_id = a.job_id AND p.user_id = a.user_id))
+SELECT 'sources' AS dataset, coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.kind, n.kind) || '/' || coalesce(o.identifier, n.identifier) || '/' || coalesce(o.career_track, n.career_track) AS item, coalesce(n.name, o.name) AS stored,
+ CASE WHEN o.kind IS NULL THEN 'insert' WHEN n.kind IS NOT NULL THEN 'update' ELSE 'keep' END AS action FROM o FULL JOIN n ON o.user_id = n.user_id AND o.kind = n.kind AND o.identifier = n.identifier AND o.career_track = n.career_track
+UNION ALL SELECT 'answers', coalesce(o.user_id, n.user_id), coalesce(o.pattern, n.pattern), coalesce(n.answer, o.answer) || '/' || coalesce(n.auto_use, o.auto_use)::varchar,
+ CASE WHEN o.pattern IS NULL THEN 'insert' WHEN n.pattern IS NOT NULL THEN 'update' ELSE 'keep' END FROM ao o FULL JOIN an n ON o.user_id = n.user_id AND o.pattern = n.pattern
+UNION ALL SELECT 'applications', coalesce(o.user_id, n.user_id), coalesce(o.job_id, n.job_id)::varchar, coalesce(n.status, o.status) || '/' || coalesce(n.mode, o.mode),
+ CASE WHEN o.job_id IS NULL THEN 'insert' WHEN n.job_id IS NOT NULL THEN 'update' ELSE 'keep' END FROM po o FULL JOIN pn n ON o.user_id = n.user_id AND o.job_id = n.job_id""")
 def restore_bundle(spark, folder):
-    sources = view(spark, folder, "sources")
+    """Sources, answers and applications of every user's own bundle; every seventh application names a posting of another user."""
+    sources, answers, applications = (view(spark, folder, name) for name in ("sources", "answers", "applications"))
+    owner = F.col("user_id")
     bundle = sources.filter("source_id % 2 = 0").withColumns({"name": F.concat("name", F.lit(" new")), "career_track": F.when(F.col("source_id") % 8 == 0, "astrology").otherwise(F.col("career_track"))})
-    keys = ["kind", "identifier", "career_track"]
+    keys = ["user_id", "kind", "identifier", "career_track"]
     old = sources.filter("source_id % 3 <> 0").groupBy(*keys).agg(F.min(F.struct("source_id", "name", "company_name", "enabled")).alias("o")).select(*keys, "o.name", "o.company_name", "o.enabled")
-    return E.restore_sources(old, bundle).select(*keys, "name", "action")
+    result = E.restore_sources(old, bundle, owner).select(F.lit("sources").alias("dataset"), "user_id", F.concat_ws("/", "kind", "identifier", "career_track").alias("item"), F.col("name").alias("stored"), "action")
+    known = E.last_entries(answers.filter("answer_id % 3 <> 0"), ["user_id", "pattern"], "answer_id", ["answer", "auto_use"])
+    entry = F.col("answer_id")
+    told = answers.filter("answer_id % 2 = 0").select(entry.alias("seq"), "user_id", "pattern", F.when(entry % 4 != 0, F.concat("answer", F.lit(" new"))).alias("answer"), F.when(entry % 5 == 0, True).alias("auto_use"))
+    rows = E.restore_answers(known, told, owner)
+    result = result.union(rows.select(F.lit("answers"), "user_id", "pattern", F.concat_ws("/", "answer", F.col("auto_use").cast("string")), "action"))
+    entry = F.col("application_id")
+    stored = applications.filter("application_id % 3 <> 0").select("user_id", "job_id", "status", "mode", "reminder_at")
+    sent = applications.filter("application_id % 2 = 0").select(
+        entry.alias("seq"), F.when(entry % 7 == 0, owner + 1).otherwise(owner).alias("user_id"), "job_id", F.when(entry % 5 == 0, "").otherwise(F.col("status")).alias("status"), F.lit(None).cast("string").alias("mode"), "reminder_at")
+    rows = E.restore_applications(stored, sent, view(spark, folder, "postings"), owner)
+    return result.union(rows.select(F.lit("applications"), "user_id", F.col("job_id").cast("string"), F.concat_ws("/", "status", "mode"), "action"))
 
 
 @query("migrate_tables", """SELECT 'customer' AS dataset, c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'store/' || c_name ELSE c_name END AS path, 'owner-1' AS user_id FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, 'owner-1' FROM supplier""")

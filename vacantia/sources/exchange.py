@@ -55,17 +55,45 @@ def known_track(column: Column) -> Column:
     return F.when(track.isin(*L.TRACKS), track).otherwise(L.CS)
 
 
-def restore_sources(old: DataFrame, bundle: DataFrame) -> DataFrame:
-    """Sources of a bundle by (kind, identifier, track); unknown tracks become the default; the last entry of a board wins."""
-    keys = ["kind", "identifier", "career_track"]
-    new = bundle.withColumn("career_track", known_track(F.col("career_track"))).filter("trim(kind) <> '' AND trim(identifier) <> ''")
+def restore_sources(old: DataFrame, bundle: DataFrame, owner: Column) -> DataFrame:
+    """Sources of a bundle by (owner, kind, identifier, track); unknown tracks become the default; the last entry of a board wins.
+
+    ``owner`` is the user who restores (a column of the bundle or a constant): boards of other users are neither matched nor changed.
+    """
+    keys = ["user_id", "kind", "identifier", "career_track"]
+    new = bundle.withColumns({"user_id": owner, "career_track": known_track(F.col("career_track"))}).filter("trim(kind) <> '' AND trim(identifier) <> ''")
     new = new.groupBy(*keys).agg(F.max(F.struct("source_id", "name", "company_name", "enabled")).alias("n")).select(*keys, "n.name", "n.company_name", "n.enabled")
     return upsert(old.dropDuplicates(keys), new, keys, ["name", "company_name", "enabled"])
 
 
-def restore_applications(bundle: DataFrame, postings: DataFrame) -> DataFrame:
-    """Applications whose posting exists."""
-    return bundle.join(postings.select("job_id"), "job_id", "left_semi")
+def last_entries(bundle: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """One row per key: the values of the entry with the largest ``order``."""
+    return bundle.groupBy(*keys).agg(F.max(F.struct(order, *values)).alias("n")).select(*keys, *[F.col(f"n.{v}").alias(v) for v in values])
+
+
+def restore_answers(old: DataFrame, bundle: DataFrame, owner: Column) -> DataFrame:
+    """Remembered answers of a bundle by (owner, pattern); what an entry leaves out becomes empty or false, the last of equal patterns
+    wins, entries without a pattern are left out.
+
+    ``old``: (user_id, pattern, answer, auto_use); ``bundle`` also has ``seq``, the place in the file.
+    """
+    keys, values = ["user_id", "pattern"], ["answer", "auto_use"]
+    new = bundle.withColumns({"user_id": owner, "pattern": F.substring("pattern", 1, 500), "answer": F.coalesce("answer", F.lit("")),
+                              "auto_use": F.coalesce("auto_use", F.lit(False))}).filter("pattern <> ''")
+    return upsert(old.dropDuplicates(keys), last_entries(new, keys, "seq", values), keys, values)
+
+
+def restore_applications(old: DataFrame, bundle: DataFrame, postings: DataFrame, owner: Column) -> DataFrame:
+    """Applications of a bundle whose posting exists among those of the owner, one per posting; the last entry of a posting wins.
+
+    An entry without status or mode becomes saved and in review; a reminder that an entry leaves out stays.  ``old``: (user_id, job_id,
+    status, mode, reminder_at); ``bundle`` also has ``seq``.  The posting takes the status of its application.
+    """
+    keys, values = ["user_id", "job_id"], ["status", "mode", "reminder_at"]
+    filled = lambda name, default: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default))
+    new = bundle.withColumns({"user_id": owner, "status": filled("status", "saved"), "mode": filled("mode", "review")})
+    new = last_entries(new, keys, "seq", values).join(postings.select(*keys), keys, "left_semi")
+    return upsert(old, new, keys, values)
 
 
 def migrate_table(rows: DataFrame, target_columns: list[str], owner: str, paths: DataFrame | None = None, path_column: str | None = None) -> DataFrame:
