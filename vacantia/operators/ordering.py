@@ -61,6 +61,21 @@ def previous(rows: DataFrame, order: list[Column], groups: tuple[str, ...], valu
     return numbered.join(earlier, [*groups, "position"], "left")
 
 
+def follow(starts: DataFrame, pointers: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """Positions (``groups``, position) met from ``starts`` along ``pointers`` (``groups``, at, to), starts included.
+
+    Every position has at most one pointer, pointers lead forward, and none leads to a start.  After round n all positions fewer than
+    2^n steps away are known and a pointer spans 2^n steps; pointers that run out of their chain drop out, so the rounds end.
+    """
+    known, pointers = starts, cut_lineage(pointers)
+    while not pointers.isEmpty():
+        step = pointers.withColumnRenamed("at", "position")
+        known = cut_lineage(known.union(known.join(step, [*groups, "position"]).select(*groups, F.col("to").alias("position"))))
+        second = pointers.select(*groups, F.col("at").alias("to"), F.col("to").alias("end"))
+        pointers = cut_lineage(pointers.join(second, [*groups, "to"]).select(*groups, "at", F.col("end").alias("to")))
+    return known
+
+
 def top(rows: DataFrame, order: list[Column], groups: list[str], size: int, name: str = "position") -> DataFrame:
     """First ``size`` rows per group; Spark cuts each task to ``size`` rows per group before the shuffle."""
     window = Window.partitionBy(*groups).orderBy(*order)
