@@ -40,29 +40,40 @@ def profile_fingerprint() -> Column:
 def stale_rankings(rankings: DataFrame, postings: DataFrame, profiles: DataFrame, config_version: int) -> DataFrame:
     """Why a posting x profile row must be ranked again; ``reason`` is null when the stored row still holds.
 
-    Fingerprints are computed on each side before the joins, so no text is shuffled.
+    Rows belong to (user, posting, engine).  Fingerprints are computed on each side before the joins, so no text is shuffled; the ones
+    of now come with the result.
     """
     jobs = postings.select("job_id", "user_id", "career_track", job_fingerprint().alias("job_now"))
     people = profiles.select("user_id", "career_track", profile_fingerprint().alias("profile_now"))
     stored = rankings.filter("engine = 'v2'").select(
-        "job_id", F.lit(True).alias("known"), "stale", "error", "engine_version", "config_version", "job_fingerprint", "profile_fingerprint")
-    rows = jobs.join(people, ["user_id", "career_track"]).join(stored, "job_id", "left")
+        "user_id", "job_id", F.lit(True).alias("known"), "stale", "error", "engine_version", "config_version", "job_fingerprint", "profile_fingerprint")
+    rows = jobs.join(people, ["user_id", "career_track"]).join(stored, ["user_id", "job_id"], "left")
     reason = (
         F.when(F.col("known").isNull(), "missing").when(F.col("stale"), "stale").when(F.col("error") != "", "error")
         .when(F.col("engine_version") != V2.ENGINE_VERSION, "engine_version").when(F.col("config_version") != config_version, "config_version")
         .when(~F.col("profile_fingerprint").eqNullSafe(F.col("profile_now")), "profile").when(~F.col("job_fingerprint").eqNullSafe(F.col("job_now")), "job")
     )
-    return rows.select("job_id", "user_id", "career_track", reason.alias("reason"))
+    return rows.select("job_id", "user_id", "career_track", "job_now", "profile_now", reason.alias("reason"))
 
 
-def rerank_incremental(rankings: DataFrame, postings: DataFrame, stale: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rank only the stale postings and keep the other rows; a posting that cannot be ranked stays as a row with an error."""
-    due = stale.filter("reason IS NOT NULL").select("job_id")
-    todo = postings.join(due, "job_id", "left_semi")
-    ranked = rank(todo.filter("title IS NOT NULL")).select("job_id", "score", "tier", F.lit("").alias("error"), F.lit(True).alias("reranked"))
-    broken = todo.filter("title IS NULL").select("job_id", F.lit(0).alias("score"), F.lit("excluded").alias("tier"), F.lit("posting has no title").alias("error"), F.lit(True).alias("reranked"))
-    kept = rankings.join(due, "job_id", "left_anti").select("job_id", "score", "tier", "error", F.lit(False).alias("reranked"))
-    return ranked.unionByName(broken).unionByName(kept)
+def rerank_incremental(rankings: DataFrame, postings: DataFrame, stale: DataFrame, rank: Callable[[DataFrame], DataFrame], now: Column, config_version: int) -> DataFrame:
+    """The next version of the ranking table: only the stale rows of the second engine are ranked, all others stay as they are.
+
+    One row per (user_id, job_id, engine), with versions, fingerprints and time of its evaluation, so that the result can be stored
+    and given to :func:`stale_rankings` again, which then finds nothing but what changed since.  A posting that cannot be ranked
+    stays as a row with an error.  ``reranked`` tells the new rows.
+    """
+    due = stale.filter("reason IS NOT NULL").select("user_id", "job_id", "job_now", "profile_now")
+    todo = postings.join(due.select("user_id", "job_id"), ["user_id", "job_id"], "left_semi")
+    ranked = rank(todo.filter("title IS NOT NULL")).select("user_id", "job_id", "score", "tier", F.lit("").alias("error"))
+    broken = todo.filter("title IS NULL").select("user_id", "job_id", F.lit(0).alias("score"), F.lit("excluded").alias("tier"), F.lit("posting has no title").alias("error"))
+    marks = ["engine_version", "config_version", "job_fingerprint", "profile_fingerprint", "evaluated_at", "stale"]
+    fresh = ranked.unionByName(broken).join(due, ["user_id", "job_id"]).select(
+        "user_id", "job_id", F.lit("v2").alias("engine"), "score", "tier", "error", F.lit(V2.ENGINE_VERSION).alias("engine_version"), F.lit(config_version).alias("config_version"),
+        F.col("job_now").alias("job_fingerprint"), F.col("profile_now").alias("profile_fingerprint"), now.alias("evaluated_at"), F.lit(False).alias("stale"), F.lit(True).alias("reranked"))
+    replaced = due.select("user_id", "job_id", F.lit("v2").alias("engine"))
+    kept = rankings.join(replaced, ["user_id", "job_id", "engine"], "left_anti").select("user_id", "job_id", "engine", "score", "tier", "error", *marks, F.lit(False).alias("reranked"))
+    return fresh.unionByName(kept)
 
 
 def attach_ranking(jobs: DataFrame, rankings: DataFrame) -> DataFrame:

@@ -323,15 +323,16 @@ STALE = """st AS (SELECT r.job_id, p.user_id, p.career_track, r.score, r.tier, r
 
 @query("stale_rankings", f"WITH {STALE} SELECT job_id, user_id, career_track, reason FROM st")
 def stale_rankings(spark, folder):
-    return G.stale_rankings(stored_rankings(spark, folder), view(spark, folder, "postings"), view(spark, folder, "profiles"), 3)
+    return G.stale_rankings(stored_rankings(spark, folder), view(spark, folder, "postings"), view(spark, folder, "profiles"), 3).select("job_id", "user_id", "career_track", "reason")
 
 
-@query("rerank_incremental", f"WITH {S.v2_ctes()}, {STALE} SELECT st.job_id, CASE WHEN reason IS NULL THEN st.score ELSE v2.score END AS score, CASE WHEN reason IS NULL THEN st.tier ELSE v2.tier END AS tier, '' AS error, reason IS NOT NULL AS reranked FROM st JOIN v2 USING (job_id)")
+@query("rerank_incremental", f"WITH {S.v2_ctes()}, {STALE} SELECT st.user_id, st.job_id, 'v2' AS engine, 2 AS engine_version, 3 AS config_version, CASE WHEN reason IS NULL THEN st.score ELSE v2.score END AS score, CASE WHEN reason IS NULL THEN st.tier ELSE v2.tier END AS tier, '' AS error, reason IS NOT NULL AS reranked FROM st JOIN v2 USING (job_id)")
 def rerank_incremental(spark, folder):
     postings, profiles, stored = view(spark, folder, "postings"), view(spark, folder, "profiles"), stored_rankings(spark, folder)
     stale = G.stale_rankings(stored, postings, profiles, 3)
     rank = lambda jobs: V2.score_v2(profile_job_pairs(job_features(jobs), profiles), now())
-    return G.rerank_incremental(stored, postings, stale, rank)
+    rows = G.rerank_incremental(stored, postings, stale, rank, now(), 3)
+    return rows.select("user_id", "job_id", "engine", "engine_version", "config_version", "score", "tier", "error", "reranked")
 
 
 @query("engine_compare", f"""WITH {S.v1_ctes()}, {S.eligibility_ctes().split(S.PAIR_CTE + ',', 1)[1]}, {S.v2_parts('el', S.DEFAULT)},
