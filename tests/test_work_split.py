@@ -1,10 +1,11 @@
-"""Small inputs with large results are cut into tasks by number."""
+"""Small inputs with large results are cut into tasks by number; texts are spread over the cores and guarded by literal tests."""
 
 from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
 
+from vacantia.functions import contacts as C
 from vacantia.plans import QUERIES
 
 
@@ -12,3 +13,16 @@ from vacantia.plans import QUERIES
 def test_product_of_users_and_entries_is_spread(spark, small, key):
     tasks = [r["count"] for r in QUERIES[key](spark, small).groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert len(tasks) >= 8 and max(tasks) <= sum(tasks) / 4
+
+
+def test_heads_of_texts_are_spread_and_places_guarded(spark, small):
+    rows = QUERIES["contact_names"](spark, small)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    # One border test over a table of places behind a literal test, not one per place and line.
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike") < 12
+
+
+def test_places_are_whole_words_in_table_order(values):
+    texts = ["x\nHaifax Haifa and tel aviv", "HAIFA, Israel", "Address: Lod\nHaifa", "a\r\nb\rראש חיפה ישראל", "\n" * 45 + "Haifa", None, "Netanyahu"]
+    assert values(C.place, texts) == ["Tel Aviv, Israel", "Haifa", "Lod", "חיפה", "", "", ""]
+    assert values(C.full_name, ["x@y | Dana Levi | Noa Bar", "\n" * 18 + "Dana Levi"]) == ["Dana Levi", ""]

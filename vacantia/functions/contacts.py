@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vacantia.functions.text import any_of, quoted, squeeze
+from vacantia.functions.text import any_of, let, quoted, sql_text, squeeze
 
 # Patterns and lists that decide what counts as a detail.
 EMAIL = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
@@ -51,13 +51,15 @@ def portfolio(text: Column) -> Column:
 
 
 def _lines(text: Column, count: int) -> Column:
-    return F.transform(F.slice(F.split(text, "\\r\\n|[\\n\\r]"), 1, count), squeeze)
+    """The first lines, squeezed; what follows them stays one piece that nobody searches."""
+    return F.transform(F.slice(F.split(text, "\\r\\n|[\\n\\r]", count + 1), 1, count), squeeze)
 
 
 def full_name(text: Column) -> Column:
     """First line (or half of a divided line) near the top that reads like a person's name."""
     blocked = F.array(*[F.lit(w) for w in NAME_BLOCKLIST])
-    halves = F.flatten(F.transform(_lines(text, NAME_LINES), lambda l: F.slice(F.split(l, r"\s*[|•·]\s*"), 1, 2)))
+    divided = lambda l: F.when(l.rlike("[|•·]"), F.slice(F.split(l, r"\s*[|•·]\s*"), 1, 2)).otherwise(F.array(l))
+    halves = F.flatten(F.transform(_lines(text, NAME_LINES), divided))
 
     def plausible(c: Column) -> Column:
         words = F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.btrim(w, F.lit(".'’-_")))
@@ -69,19 +71,26 @@ def full_name(text: Column) -> Column:
 
 def place(text: Column) -> Column:
     """A labelled place, else the first known city in the first lines."""
-    lines = _lines(text, PLACE_LINES)
-    labelled = F.filter(F.transform(lines, lambda l: F.trim(F.regexp_extract(l, PLACE_LABEL, 1))),
-                        lambda v: F.length(v).between(2, 80))
-
-    def city_in(line: Column) -> Column:
-        name = F.coalesce(*[
-            F.when(line.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_]){quoted(p)}(?![\p{{L}}\p{{N}}_])"), F.lit(p))
-            for p in KNOWN_PLACES])
-        named = F.lower(line).contains("israel") | line.contains("ישראל")
+    places = F.expr("array(" + ", ".join(
+        f"named_struct('name', {sql_text(p)}, 'low', {sql_text(p.lower())}, 'pattern', {sql_text(rf'(?i)(?<![\p{{L}}\p{{N}}_]){quoted(p)}(?![\p{{L}}\p{{N}}_])')})"
+        for p in KNOWN_PLACES) + ")")
+
+    def label(line: Column) -> Column:
+        return F.trim(F.regexp_extract(line, PLACE_LABEL, 1))
+
+    def city_in(pair: Column) -> Column:
+        line, low = pair["line"], pair["low"]
+        # A literal test on the lower-case line is the cheap guard of the border test.
+        name = F.get(F.filter(places, lambda p: F.contains(low, p["low"]) & F.regexp_like(line, p["pattern"])), 0)["name"]
+        named = F.contains(low, F.lit("israel")) | F.contains(line, F.lit("ישראל"))
         return F.when(named, name).otherwise(F.concat(name, F.lit(", Israel")))
 
-    cities = F.array_compact(F.transform(lines, city_in))
-    return F.coalesce(F.btrim(F.get(labelled, 0), F.lit(" ,.;")), F.get(cities, 0), F.lit(""))
+    def first_place(lines: Column) -> Column:
+        labelled = F.filter(F.transform(F.filter(lines, lambda l: l.rlike(PLACE_LABEL)), label), lambda v: F.length(v).between(2, 80))
+        cities = F.array_compact(F.transform(F.transform(lines, lambda l: F.struct(l.alias("line"), F.lower(l).alias("low"))), city_in))
+        return F.coalesce(F.btrim(F.get(labelled, 0), F.lit(" ,.;")), F.get(cities, 0), F.lit(""))
+
+    return F.coalesce(let(_lines(text, PLACE_LINES), first_place), F.lit(""))
 
 
 def phone_norm(text: Column) -> Column:
