@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.functions import contacts as C
+from vacantia.operators.profiles import ordered_union
 from vacantia.plans import QUERIES
 
 
@@ -26,3 +27,9 @@ def test_places_are_whole_words_in_table_order(values):
     texts = ["x\nHaifax Haifa and tel aviv", "HAIFA, Israel", "Address: Lod\nHaifa", "a\r\nb\rראש חיפה ישראל", "\n" * 45 + "Haifa", None, "Netanyahu"]
     assert values(C.place, texts) == ["Tel Aviv, Israel", "Haifa", "Lod", "חיפה", "", "", ""]
     assert values(C.full_name, ["x@y | Dana Levi | Noa Bar", "\n" * 18 + "Dana Levi"]) == ["Dana Levi", ""]
+
+
+def test_ordered_union_evaluates_its_lists_once(spark):
+    assert str(ordered_union(F.col("a"), F.col("costly"))).count("costly") == 1
+    rows = spark.createDataFrame([(["Go", " git ", ""], ["GIT", "go", "sql"]), ([], []), (None, ["x"])], "a array<string>, costly array<string>")
+    assert [r["v"] for r in rows.select(ordered_union(F.col("a"), F.col("costly")).alias("v")).collect()] == [["Go", "git", "sql"], [], None]

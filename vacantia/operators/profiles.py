@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vacantia.functions.text import let
 
 
 def mirror_latest_job(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -21,5 +22,7 @@ def mirror_latest_job(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 def ordered_union(*lists: Column) -> Column:
     """Case-insensitive union in order; the first spelling is kept."""
     every = F.filter(F.transform(F.concat(*lists), lambda v: F.trim(v)), lambda v: v != "")
-    keys = F.transform(every, lambda v: F.lower(v))
-    return F.filter(every, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+    spelt = lambda values: F.struct(values.alias("values"), F.transform(values, lambda v: F.lower(v)).alias("keys"))
+    first = lambda pair: F.filter(pair["values"], lambda v, i: F.array_position(pair["keys"], F.lower(v)) == i + 1)
+    # The lists may be long expressions over whole texts: evaluated once, not once per entry.
+    return let(let(every, spelt), first)
