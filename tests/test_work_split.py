@@ -5,9 +5,13 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.functions import contacts as C
+from vacantia.functions import contacts as C, features as X, text as T
+from vacantia.functions.dates import timestamp
+from vacantia.operators import registry as R
 from vacantia.operators.profiles import ordered_union
 from vacantia.plans import QUERIES
+from vacantia.plans.fixtures import NOW
+from vacantia.plans.scoring_queries import pairs
 
 
 @pytest.mark.parametrize("key", ["catalogue_install", "catalogue_status"])
@@ -33,3 +37,33 @@ def test_ordered_union_evaluates_its_lists_once(spark):
     assert str(ordered_union(F.col("a"), F.col("costly"))).count("costly") == 1
     rows = spark.createDataFrame([(["Go", " git ", ""], ["GIT", "go", "sql"]), ([], []), (None, ["x"])], "a array<string>, costly array<string>")
     assert [r["v"] for r in rows.select(ordered_union(F.col("a"), F.col("costly")).alias("v")).collect()] == [["Go", "git", "sql"], [], None]
+
+
+def test_two_engines_share_one_pass_over_the_features(spark, small):
+    rows = QUERIES["register_engine"](spark, small)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+
+
+def test_engines_joined_and_chained_agree(spark, small):
+    rows, at = pairs(spark, small), timestamp(NOW)
+    chained = R.shadow(rows, at, "v2", "v1")
+    R.register_engine("plain", lambda p, now, config: R.ENGINES["v1"](p, now, config))
+    try:
+        joined = R.shadow(rows, at, "v2", "plain")
+    finally:
+        R.ENGINES.pop("plain")
+    assert sorted(chained.columns) == sorted(joined.columns)
+    found = [sorted(tuple(r) for r in f.select(*sorted(chained.columns)).collect()) for f in (chained, joined)]
+    assert found[0] == found[1] and len(found[0]) > 0
+
+
+def test_durations_are_searched_once(values):
+    assert str(X.experience_extract(F.col("t"))).count("regexp_extract_all") <= 2
+    texts = ["2-4 years, 1 to 3 yrs", "12 or more years; 3 years", "5 yearly", "no units 3-5", "1.5–2 שנים", "new grad 4 years", "3 - 5 yrs.and 7+ years", None]
+    assert [None if r is None else tuple(r) for r in values(X.experience_extract, texts)] == [
+        (1.0, 4.0), (3.0, None), (5.0, None), (None, None), (1.5, 2.0), (0.0, 1.0), (3.0, 5.0), (None, None)]
+
+
+def test_generic_lines_and_edges(values):
+    assert values(T.text_quality, [" ..Apply Now — ", "|: read more :|", "apply now apply now apply now apply now apply", None]) == ["missing", "missing", "complete", "missing"]
+    assert values(T.clean_text, ["| a  \t b |\n\n A C.\nx y |​|"]) == ["a b\nA C.\nx y"]

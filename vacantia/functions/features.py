@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from vacantia import lexicons as L
 from vacantia.functions.text import (
-    contains_any, count_terms, first_key, let, matching_keys, matching_words, sql_text,
+    any_of, contains_any, count_terms, first_key, let, matching_keys, matching_words, sql_text,
 )
 
 
@@ -16,8 +16,14 @@ def _null_double() -> Column:
     return F.lit(None).cast("double")
 
 
-def _numbers(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).cast("array<double>")
+def _found(text: Column, pattern: str) -> Column:
+    """All matches of a duration pattern; the literal guard keeps it off texts without a unit of years."""
+    guard = any_of(text.contains(unit) for unit in ("year", "yr", "שנות", "שנים"))
+    return F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def _numbers(found: Column, pattern: str, group: int) -> Column:
+    return F.transform(found, lambda m: F.regexp_extract(m, pattern, group).cast("double"))
 
 
 def implicit_experience(lowered: Column) -> Column:
@@ -37,16 +43,17 @@ def experience_extract(text: Column) -> Column:
 
 
 def _experience(lowered: Column) -> Column:
-    low, high = _numbers(lowered, L.EXPERIENCE_RANGE, 1), _numbers(lowered, L.EXPERIENCE_RANGE, 2)
-    singles = _numbers(lowered, L.EXPERIENCE_SINGLE, 1)
+    low, high = (lambda found: _numbers(found, L.EXPERIENCE_RANGE, 1)), (lambda found: _numbers(found, L.EXPERIENCE_RANGE, 2))
     pair = lambda a, b: F.struct(a.cast("double").alias("experience_min"), b.cast("double").alias("experience_max"))
+    without_range = lambda singles: (
+        F.when(F.size(singles) > 0, pair(F.array_min(_numbers(singles, L.EXPERIENCE_SINGLE, 1)), _null_double()))
+        .when(implicit_experience(lowered), pair(F.lit(1.0), _null_double()))
+        .otherwise(pair(_null_double(), _null_double())))
     return (
         F.when(contains_any(lowered, L.NO_EXPERIENCE), pair(F.lit(0.0), F.lit(1.0)))
-        .when(F.size(low) > 0, pair(F.array_min(low), F.array_max(high)))
-        .when(F.size(singles) > 0, pair(F.array_min(singles), _null_double()))
-        .when(implicit_experience(lowered), pair(F.lit(1.0), _null_double()))
-        .otherwise(pair(_null_double(), _null_double()))
-    )
+        .otherwise(let(_found(lowered, L.EXPERIENCE_RANGE), lambda ranges: F.when(
+            F.size(ranges) > 0, pair(F.array_min(low(ranges)), F.array_max(high(ranges))))
+            .otherwise(let(_found(lowered, L.EXPERIENCE_SINGLE), without_range)))))
 
 
 def experience_buckets(low: Column, high: Column) -> Column:

@@ -17,10 +17,10 @@ ENTITIES = (
     ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&bull;", "•"), ("&amp;", "&"),
 )
 LINE_KEY_EDGES = " .:–—-"
-INVISIBLE = "[\\u200b-\\u200f\\u202a-\\u202e\\u2060\\ufeff]"
+INVISIBLE = "(?![ -~])[\\u200b-\\u200f\\u202a-\\u202e\\u2060\\ufeff]"
 MARKUP = r"(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>"
-# A lone ordinary blank needs no replacement.
-SPACES = r"[\s\p{Z}\x{85}]{2,}|[\s\p{Z}\x{85}&&[^ ]]"
+# A lone ordinary blank needs no replacement.  The look-ahead passes printable ASCII by two range tests before any class look-up.
+SPACES = r"(?![!-~]| [!-~])(?:[\s\p{Z}\x{85}]{2,}|[\s\p{Z}\x{85}&&[^ ]])"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -133,6 +133,12 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
 
 
+def trimmed(text: Column, edges: str) -> Column:
+    """``text`` without ``edges`` at both ends; the trim walks the whole text, so it runs only where an end needs it."""
+    needs = any_of(test(F.lit(c)) for c in edges for test in (text.startswith, text.endswith))
+    return F.when(needs, F.btrim(text, F.lit(edges))).otherwise(text)
+
+
 def unescape(text: Column) -> Column:
     plain = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
     return F.when(text.contains("&"), plain).otherwise(text)
@@ -150,7 +156,7 @@ def html_to_text(html: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return F.btrim(F.lower(line), F.lit(LINE_KEY_EDGES))
+    return let(F.lower(line), lambda low: trimmed(low, LINE_KEY_EDGES))
 
 
 def _strip_markup(text: Column) -> Column:
@@ -173,7 +179,7 @@ def _strip_markup(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Readable lines of a posting in first-seen order: no markup, no call-to-action lines, no repeats."""
     lines = F.transform(F.split(_strip_markup(text), "[\\r\\n\\u000b\\u000c\\u0085\\u2028\\u2029]"),
-                        lambda x: F.btrim(squeeze(x), F.lit(" |")))
+                        lambda x: let(squeeze(x), lambda line: trimmed(line, " |")))
     noise = F.array(*[F.lit(t) for t in L.GENERIC_DESCRIPTIONS])
     pairs = F.filter(F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))),
                      lambda p: (p["line"] != "") & ~F.array_contains(noise, p["key"]))
@@ -193,21 +199,28 @@ def clean_text(text: Column) -> Column:
 
 def quality_of_clean(clean: Column) -> Column:
     """missing / partial / complete for text that :func:`clean_text` already produced."""
+    return _grade(squeeze(clean))
+
+
+def _grade(squeezed: Column) -> Column:
+    # The line key of a long text is one of the generic lines only if the text is that line between edge characters.
+    generic = f"^(?i)[{LINE_KEY_EDGES}]*+(?:{'|'.join(quoted(t) for t in L.GENERIC_DESCRIPTIONS)})[{LINE_KEY_EDGES}]*+\\z"
 
     def grade(compact: Column) -> Column:
         letters = F.length(F.regexp_replace(compact, r"[^\p{L}]+", ""))
         return (
-            F.when((compact == "") | line_key(compact).isin(*L.GENERIC_DESCRIPTIONS), "missing")
+            F.when((compact == "") | compact.rlike(generic), "missing")
             .when((F.length(compact) < 40) | compact.rlike("^(?i)[0-9a-f -]{24,}$"), "partial")
             .when(letters / F.length(compact) < 0.35, "partial")
             .otherwise("complete")
         )
 
-    return let(squeeze(clean), grade)
+    return let(squeezed, grade)
 
 
 def text_quality(text: Column) -> Column:
-    return quality_of_clean(clean_text(text))
+    # Clean lines are squeezed and not empty, so only the line ends are left to replace.
+    return _grade(F.replace(clean_text(text), F.lit("\n"), F.lit(" ")))
 
 
 def json_default(text: Column, schema: str, default: Column) -> Column:
