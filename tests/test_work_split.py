@@ -67,3 +67,9 @@ def test_durations_are_searched_once(values):
 def test_generic_lines_and_edges(values):
     assert values(T.text_quality, [" ..Apply Now — ", "|: read more :|", "apply now apply now apply now apply now apply", None]) == ["missing", "missing", "complete", "missing"]
     assert values(T.clean_text, ["| a  \t b |\n\n A C.\nx y |​|"]) == ["a b\nA C.\nx y"]
+
+
+def test_name_and_place_cut_the_lines_once(values):
+    assert str(C.name_and_place(F.col("t"))).count("split(t") == 1
+    texts = ["Dana Levi | x@y\nAddress: Lod", "\n" * 20 + "Noa Bar\nHaifa, Israel", "", None]
+    assert [tuple(r) for r in values(C.name_and_place, texts)] == list(zip(values(C.full_name, texts), values(C.place, texts)))

@@ -57,9 +57,20 @@ def _lines(text: Column, count: int) -> Column:
 
 def full_name(text: Column) -> Column:
     """First line (or half of a divided line) near the top that reads like a person's name."""
+    return F.coalesce(let(_lines(text, NAME_LINES), _name_in), F.lit(""))
+
+
+def name_and_place(text: Column) -> Column:
+    """struct(full_name, location) of :func:`full_name` and :func:`place`, from lines cut out once."""
+    both = lambda lines: F.struct(F.coalesce(_name_in(F.slice(lines, 1, NAME_LINES)), F.lit("")).alias("full_name"),
+                                  F.coalesce(_place_in(lines), F.lit("")).alias("location"))
+    return let(_lines(text, PLACE_LINES), both)
+
+
+def _name_in(lines: Column) -> Column:
     blocked = F.array(*[F.lit(w) for w in NAME_BLOCKLIST])
     divided = lambda l: F.when(l.rlike("[|•·]"), F.slice(F.split(l, r"\s*[|•·]\s*"), 1, 2)).otherwise(F.array(l))
-    halves = F.flatten(F.transform(_lines(text, NAME_LINES), divided))
+    halves = F.flatten(F.transform(lines, divided))
 
     def plausible(c: Column) -> Column:
         words = F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.btrim(w, F.lit(".'’-_")))
@@ -71,6 +82,10 @@ def full_name(text: Column) -> Column:
 
 def place(text: Column) -> Column:
     """A labelled place, else the first known city in the first lines."""
+    return F.coalesce(let(_lines(text, PLACE_LINES), _place_in), F.lit(""))
+
+
+def _place_in(lines: Column) -> Column:
     places = F.expr("array(" + ", ".join(
         f"named_struct('name', {sql_text(p)}, 'low', {sql_text(p.lower())}, 'pattern', {sql_text(rf'(?i)(?<![\p{{L}}\p{{N}}_]){quoted(p)}(?![\p{{L}}\p{{N}}_])')})"
         for p in KNOWN_PLACES) + ")")
@@ -85,12 +100,9 @@ def place(text: Column) -> Column:
         named = F.contains(low, F.lit("israel")) | F.contains(line, F.lit("ישראל"))
         return F.when(named, name).otherwise(F.concat(name, F.lit(", Israel")))
 
-    def first_place(lines: Column) -> Column:
-        labelled = F.filter(F.transform(F.filter(lines, lambda l: l.rlike(PLACE_LABEL)), label), lambda v: F.length(v).between(2, 80))
-        cities = F.array_compact(F.transform(F.transform(lines, lambda l: F.struct(l.alias("line"), F.lower(l).alias("low"))), city_in))
-        return F.coalesce(F.btrim(F.get(labelled, 0), F.lit(" ,.;")), F.get(cities, 0), F.lit(""))
-
-    return F.coalesce(let(_lines(text, PLACE_LINES), first_place), F.lit(""))
+    labelled = F.filter(F.transform(F.filter(lines, lambda l: l.rlike(PLACE_LABEL)), label), lambda v: F.length(v).between(2, 80))
+    cities = F.array_compact(F.transform(F.transform(lines, lambda l: F.struct(l.alias("line"), F.lower(l).alias("low"))), city_in))
+    return F.coalesce(F.btrim(F.get(labelled, 0), F.lit(" ,.;")), F.get(cities, 0), F.lit(""))
 
 
 def phone_norm(text: Column) -> Column:

@@ -332,7 +332,7 @@ def contact_texts(spark, folder) -> DataFrame:
 @query("contact_names")
 def contact_names(spark, folder):
     """Name and place from the head of every text (no SQL twin: needs look-around and per-line rules)."""
-    return spread(contact_texts(spark, folder)).select("kind", "id", C.full_name(F.col("text")).alias("full_name"), C.place(F.col("text")).alias("location"))
+    return spread(contact_texts(spark, folder)).select("kind", "id", C.name_and_place(F.col("text")).alias("v")).select("kind", "id", "v.*")
 
 
 @query("phone_norm", r"""
