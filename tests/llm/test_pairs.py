@@ -124,6 +124,34 @@ def test_compared_pairs_grow_with_the_copies_not_with_their_square(monkeypatch,
     assert counts[320] < 8 * 320 and counts[320] < 3 * counts[160]
 
 
+def test_members_of_one_component_are_not_entered_again(monkeypatch, docs_of):
+    """Near copies with changes from few words, linked in chains or near the original: what only they share gives no place to meet."""
+    draw = random.Random(4)
+    base, rows = [f"b{i}" for i in range(75)], []
+
+    def changed(text, n):
+        text = list(text)
+        for at in draw.sample(range(len(text)), n):
+            text[at] = f"e{draw.randrange(5)}"
+        return text
+
+    for n in range(60):
+        near = changed(base, draw.randint(0, 5))
+        rows += [(4 * n, " ".join(near)), (4 * n + 1, " ".join(changed(near, 3)))]
+    rows.append((1000, " ".join(changed(base, 12))))
+    entered = []
+
+    def stored(df, name):
+        out = shared.stored(df, name)
+        entered.append(out.count() if name == "entered" else 0)
+        return out
+
+    monkeypatch.setattr(near_dups, "stored", stored)
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.components(docs_of(rows), 2).collect()}
+    assert got == brute_components(rows, 2)
+    assert sum(entered) < 80 * len(rows)
+
+
 def test_similarities_below_those_of_the_chunks_are_refused(docs_of):
     with pytest.raises(ValueError):
         near_dups.components(docs_of([(1, "a b c d e"), (2, "a b c d f")]), 2, 75)

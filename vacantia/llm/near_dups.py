@@ -224,20 +224,26 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
     weight = 100 * (F.col("n_a") - F.col("both")) + percent * (F.col("n_b") - F.col("both"))
     measured = kept(measured.select(
         "a", "b", similar.alias("close"), weight.alias("w"), (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("e"), ((100 - percent) * F.col("n_a")).alias("room")), "measured")
-    entered = kept(_meetings(measured, with_sets, percent), "entered")
+    labels = smallest_labels(found.union(links_of_two).union(measured.where("close").select("a", "b")))
+    # Members of one component by now need not meet: only references with members of several ones are searched.
+    label_of = measured.select(F.col("b").alias("doc")).distinct().join(labels.toDF("doc", "label"), "doc", "left").select(F.col("doc").alias("b"), F.coalesce("label", "doc").alias("part"))
+    parted = kept(measured.join(_bounded(kept(label_of, "labels")), "b"), "parted")
+    several = parted.groupBy("a").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max(~F.col("close")).alias("far")).where("p < q AND far").select("a")
+    entered = kept(_meetings(parted.join(_bounded(kept(several, "several")), "a"), with_sets, percent), "entered")
     # A place that only one of the two roles is entered at gives no pair.
     keys = ["a", "token", "j", "k"]
     places = entered.groupBy(*keys).agg(F.min("role").alias("x"), F.max("role").alias("y")).where("x < y").select(*keys)
     meetings = stored(entered.join(_bounded(kept(places, "places")), keys), "meetings")
-    found = found.union(links_of_two).union(measured.where("close").select("a", "b"))
+    found = labels.where("node <> label").toDF("a", "b")
     if meetings.isEmpty():
         return found
     parted = meetings.select(F.col("b").alias("doc")).distinct()
     q = 100 + percent
     for every in (False, True):
-        labels = smallest_labels(found)
+        if every:
+            labels = smallest_labels(found)
+            found = labels.where("node <> label").toDF("a", "b")
         swept()
-        found = labels.where("node <> label").toDF("a", "b")
         part = kept(parted.join(labels.toDF("doc", "label"), "doc", "left").select(F.col("doc").alias("b"), F.coalesce("label", "doc").alias("part")), "parts")
         rows = kept(meetings.join(_bounded(part), "b"), "rows")
         # Only keys that hold both roles, and several components, can give a link.
@@ -265,6 +271,9 @@ def _meetings(measured: DataFrame, with_sets, percent: int) -> DataFrame:
     ceil((W + excess(y)) / (100 + percent)) edits, so a shared one is among the e - S + 1 rarest edits of each. So x (role 0) is
     entered for every class j of excesses under its reference, y (role 1) for every class k of weights; classes are steps of the
     logarithm, and G and W are the smallest values in them.
+
+    Members of one component (``part``) need no link, so an edit that only members of one component have counts as rare: it comes first
+    in the order and is not entered.
     """
     q = 100 + percent
 
@@ -284,10 +293,10 @@ def _meetings(measured: DataFrame, with_sets, percent: int) -> DataFrame:
     as_x = F.array_max(F.transform("excesses", lambda c: prefix(F.col("w"), c["least"])))
     as_y = F.when(~F.col("close"), F.array_max(F.transform("weights", lambda c: prefix(excess, c["least"]))))
     useful = useful.withColumn("longest", F.greatest(as_x, as_y)).where("longest > 0")
-    kept = ["a", "b", "close", "w", "e", "room", "j", "k", "longest"]
-    schema = "a long, b long, close boolean, w long, e long, room long, j int, k int, longest long, token long"
+    kept = ["a", "b", "part", "close", "w", "e", "room", "j", "k", "longest"]
+    schema = "a long, b long, part long, close boolean, w long, e long, room long, j int, k int, longest long, token long"
     tokens = stored(with_sets(useful.select(*kept)).select(*kept, "left", "right").mapInArrow(_edits, schema), "edits")
-    often = tokens.groupBy("a", "token").agg(F.count("*").alias("often"))
+    often = tokens.groupBy("a", "token").agg(F.when(F.min("part") < F.max("part"), F.count("*")).otherwise(1).alias("often"))
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "token"))
     ranked = tokens.join(often, ["a", "token"]).withColumn("rank", rank).where("rank <= longest AND often > 1").drop("often", "longest")
     ranked = ranked.join(_bounded(by_excess), "a").join(_bounded(by_weight), "a")
