@@ -49,6 +49,19 @@ def test_equals_plain_search(spark):
     assert {(1, "c"), (8, "ab"), (11, "end"), (7, "kt"), (7, "ci")} <= expected and (2, "c") not in expected
 
 
+def test_texts_without_first_words_are_passed_over(spark, monkeypatch):
+    """The same keys with and without the starts of the terms; one start per first word, none beyond the bound."""
+    texts, terms = frames(spark)
+    expected = {(i, key) for i, text in TEXTS for key, term in TERMS if key and term and text and occurs(term, text.lower())}
+    starts = {(way, size): found for way, size, found in D._starts(D.prepared(terms))}
+    assert starts[D.WORDS, 2] == ["3", "ci", "last", "machine", "node"] and starts[D.WORDS, 1] is None and starts[D.TO_SYMBOL, 3] == ["++"]
+    monkeypatch.setattr(D, "FIRST_WORDS", 2)
+    monkeypatch.setattr(D, "MARKS", 1)
+    starts = {(way, size): found for way, size, found in D._starts(D.prepared(terms))}
+    assert starts[D.WORDS, 2] is None and starts[D.WORDS, 3] == ["a", "machine"]
+    assert {tuple(r) for r in D.term_keys(texts, "id", "text", terms).collect()} == expected
+
+
 def test_empty_tables(spark):
     texts, terms = frames(spark)
     assert D.term_keys(texts, "id", "text", terms.limit(0)).collect() == []

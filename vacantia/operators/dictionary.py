@@ -3,12 +3,15 @@
 A term whose ends are both letters or digits must not stand inside a longer word, so an occurrence is a whole run of as many words as
 the term has, separators included.  Any other term is found anywhere; it starts or ends with a symbol, so an occurrence starts or
 ends at one.  Every such run and every such stretch of a text is cut out in a narrow projection and joined with the terms by equality:
-no term is turned into an expression, and of the term table only the distinct lengths are read by the driver.
+no term is turned into an expression.  Of the term table the driver reads the distinct lengths and, as long as they are few, what the
+terms of a length start (or end) with: only texts that hold one of these are cut for that length, and all texts where they are many.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from vacantia.functions.text import let, term_array
 
 WORD, BORDER = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 SYMBOL = r"[^\p{L}\p{N}\s]"
@@ -16,11 +19,14 @@ SYMBOL = r"[^\p{L}\p{N}\s]"
 #: Ways to find a term: whole words, a stretch that starts at a symbol, a stretch that ends at one.
 WORDS, FROM_SYMBOL, TO_SYMBOL = "words", "from", "to"
 
+#: First words of the terms of one length, and characters at the symbol of others, up to which texts without them are passed over.
+FIRST_WORDS, MARKS, MARK = 10_000, 50, 2
+
 
 def _pattern(way: str, size: int) -> str:
-    """One match per word or symbol, what it cuts out (overlapping) as group 1; ``size`` counts words for whole words, else characters."""
+    """One match per word or symbol, what it cuts out (overlapping) as group 1; ``size`` counts words (two or more) for whole words, else characters."""
     if way == WORDS:
-        return f"({WORD}++)" if size == 1 else rf"(?<!{WORD})(?=({WORD}++(?:{BORDER}++{WORD}++){{{size - 1}}})){WORD}++"
+        return rf"(?<!{WORD})(?=({WORD}++(?:{BORDER}++{WORD}++){{{size - 1}}})){WORD}++"
     return rf"(?s)(?=({SYMBOL}.{{{size - 1}}})){SYMBOL}" if way == FROM_SYMBOL else rf"(?s){SYMBOL}(?<=(.{{{size}}}))"
 
 
@@ -33,6 +39,30 @@ def prepared(lexicon: DataFrame) -> DataFrame:
     return rows.withColumns({"way": way, "size": size})
 
 
+def _starts(terms: DataFrame) -> list[tuple[str, int, list[str] | None]]:
+    """Every (way, size) of ``terms`` with the distinct first words of its terms, or the characters at their symbol; null if they are many."""
+    first = F.regexp_extract("term", f"^{WORD}+", 0)
+    mark = F.when(F.col("way") == FROM_SYMBOL, F.substring("term", 1, MARK)).otherwise(F.substring("term", -MARK, MARK))
+    starts = terms.select("way", "size", F.when(F.col("way") == WORDS, first).otherwise(mark).alias("start")).distinct()
+    counts = starts.groupBy("way", "size").agg(F.count("*").alias("n"))
+    few = counts.filter(F.col("n") <= F.when(F.col("way") == WORDS, FIRST_WORDS).otherwise(MARKS)).filter(f"NOT (way = '{WORDS}' AND size = 1)")
+    known: dict[tuple[str, int], list[str]] = {}
+    for row in starts.join(few.select("way", "size"), ["way", "size"]).toLocalIterator():
+        known.setdefault((row["way"], row["size"]), []).append(row["start"])
+    return sorted((row["way"], row["size"], sorted(known[key]) if (key := (row["way"], row["size"])) in known else None) for row in counts.toLocalIterator())
+
+
+def _stretches(text: Column, words: Column, way: str, size: int, starts: list[str] | None) -> Column:
+    """What can be a term of this kind in a text with these distinct words."""
+    if way == WORDS and size == 1:
+        return words
+    cut = F.regexp_extract_all(text, F.lit(_pattern(way, size)), 1)
+    if starts is None:
+        return cut
+    there = F.arrays_overlap(words, term_array(starts)) if way == WORDS else F.exists(term_array(starts), lambda mark: F.contains(text, mark))
+    return F.when(there, cut).otherwise(F.array().cast("array<string>"))
+
+
 def term_keys(texts: DataFrame, id_column: str, text_column: str, lexicon: DataFrame) -> DataFrame:
     """Distinct (id, key) of the texts and the keys of ``lexicon`` (key, term) that have a term in the text, in either case.
 
@@ -41,10 +71,11 @@ def term_keys(texts: DataFrame, id_column: str, text_column: str, lexicon: DataF
     each (text, stretch) once, and Spark broadcasts the terms by size or splits the skewed partition.
     """
     terms = prepared(lexicon)
-    sizes = sorted((row["way"], row["size"]) for row in terms.select("way", "size").distinct().toLocalIterator())
-    if not sizes:
+    kinds = _starts(terms)
+    if not kinds:
         return texts.select(F.col(id_column).alias("id"), F.lit(None).cast(lexicon.schema["key"].dataType).alias("key")).filter(F.lit(False))
     rows = texts.select(F.col(id_column).alias("id"), F.lower(F.col(text_column)).alias("text")).filter("text <> ''")
-    cut = [F.array_distinct(F.regexp_extract_all("text", F.lit(_pattern(way, size)), 1)) for way, size in sizes]
-    stretches = rows.select("id", F.explode(F.array_distinct(F.flatten(F.array(*cut)))).alias("term"))
+    split = F.struct(F.col("text").alias("text"), F.array_distinct(F.split("text", f"{BORDER}+")).alias("words"))
+    cut = let(split, lambda p: F.array_distinct(F.flatten(F.array(*[_stretches(p["text"], p["words"], *kind) for kind in kinds]))))
+    stretches = rows.select("id", F.explode(cut).alias("term"))
     return stretches.join(terms.select("key", "term"), "term").select("id", "key").distinct()
