@@ -111,6 +111,24 @@ def test_health_with_late_outcomes_equals_batch(spark, tmp_path):
     assert rows_of(again) == rows_of(want)
 
 
+def test_health_of_a_batch_is_computed_once(spark, tmp_path, monkeypatch):
+    """The state of a batch decides which buckets are rewritten and what is merged into them, from one computation."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(source):
+        rows.add(1)
+        return source
+
+    counted = F.udf(seen, "bigint").asNondeterministic()
+    real = J.source_health
+    monkeypatch.setattr(J, "source_health", lambda *given: real(*given).withColumn("source_id", counted("source_id")))
+    log = [(source, n, START + dt.timedelta(minutes=n), "failed") for n in range(4) for source in (1, 2, 3)]
+    stream = in_files(spark, log, "source_id bigint, event_id bigint, ts timestamp, outcome string", tmp_path, 1, 3)
+    got = J.source_health_stream(stream, str(tmp_path))
+    assert rows_of(got.select("source_id", "consecutive_failures")) == [(s, 4) for s in (1, 2, 3)]
+    assert rows.value == 3
+
+
 def test_stream_source_health_equals_batch(spark, small):
     assert rows_of(QUERIES["stream_source_health"](spark, small)) == rows_of(QUERIES["source_health"](spark, small))
 

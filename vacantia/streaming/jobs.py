@@ -107,6 +107,7 @@ def source_health_stream(log: DataFrame, folder: str) -> DataFrame:
 
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.select("source_id", "event_id", "ts", "outcome").persist()
+        late = now = batch
         try:
             span = batch.groupBy("source_id").agg(F.min(F.struct("ts", "event_id")).cast(moment).alias("first"), F.max(F.struct("ts", "event_id")).cast(moment).alias("end"))
             old = state.touched(batch, number)
@@ -117,10 +118,12 @@ def source_health_stream(log: DataFrame, folder: str) -> DataFrame:
                 earlier = spark.read.schema(f"{outcomes}, batch int").parquet(f"{folder}/log").where(F.col("batch") <= number).drop("batch")
                 now = now.unionByName(source_health(earlier.join(late, "source_id", "left_semi")))
             ends = old.select("source_id", "last").unionByName(span.select("source_id", F.col("end").alias("last"))).groupBy("source_id").agg(F.max("last").alias("last"))
-            now = now.join(ends, "source_id").withColumn("consecutive_failures", F.col("consecutive_failures").cast("bigint"))
+            # Used for the touched buckets and twice in the merge, computed once.
+            now = now.join(ends, "source_id").withColumn("consecutive_failures", F.col("consecutive_failures").cast("bigint")).persist()
             state.rewrite(number, now, lambda before, new: before.join(new.select("source_id"), "source_id", "left_anti").unionByName(new))
         finally:
-            batch.unpersist()
+            for frame in (now, late, batch):
+                frame.unpersist()
 
     run(log, folder, "append", each)
     return state.read().drop("last")
