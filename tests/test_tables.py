@@ -137,3 +137,16 @@ def test_batch_number_makes_writes_repeatable(spark, tmp_path):
     rows = spark.range(5)
     write(rows, 0), write(rows, 0), write(rows, 1)
     assert spark.read.parquet(f"{tmp_path}/out/batch=*").count() == 10
+
+
+def test_contained_texts_of_the_same_user(spark):
+    """Against a plain search, for texts and users that repeat."""
+    from vacantia.operators.answers import GRAM, _containing
+
+    long = "what is your expected salary and when can you start"
+    texts = [(1, long), (2, long), (1, "your expected salary"), (1, "x" * 40), (3, "short"), (None, long)]
+    parts = [(1, "expected salary"), (1, "expected salary and nothing else"), (2, "when can you start"), (2, long), (1, "x" * 13), (3, "short"), (4, "expected salary"), (None, long)]
+    got = _containing(spark.createDataFrame(texts, "user_id int, text string"), spark.createDataFrame(parts, "user_id int, part string"))
+    want = {(u, t, p) for u, t in texts for v, p in parts if u is not None and u == v and len(p) >= GRAM and p in t}
+    rows = [(r["user_id"], r["text"], r["part"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) == 5

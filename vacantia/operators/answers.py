@@ -56,6 +56,21 @@ def grams(text: Column, size: int = GRAM) -> Column:
     return F.when(F.length(text) >= size, let(F.split(text, ""), cut)).otherwise(F.array().cast("array<string>"))
 
 
+def _containing(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of ``texts`` (user_id, text, ...) joined with those of ``parts`` (user_id, part, ...) of the same user that the text contains.
+
+    A text has about as many pieces as characters, so what is shuffled per piece is two numbers: a hash of user and piece, and one of
+    user and text.  Texts meet the candidates afterwards, once per pair, and are tested exactly; equal hashes of others drop out there.
+    """
+    user, piece, place = F.col("user_id"), "piece", "place"
+    pieces = texts.select(F.xxhash64(user, "text").alias(place), F.explode(F.transform(grams(F.col("text")), lambda g: F.xxhash64(user, g))).alias(piece))
+    heads = parts.select(F.xxhash64(user, F.substring("part", 1, GRAM)).alias(piece), F.xxhash64(user, "part").alias("inner_place"))
+    pairs = pieces.join(heads, piece).select(place, "inner_place").distinct()
+    rows = texts.withColumn(place, F.xxhash64(user, "text")).join(pairs, place)
+    found = rows.join(parts.withColumn("inner_place", F.xxhash64(user, "part")), ["user_id", "inner_place"])
+    return found.filter(F.col("text").contains(F.col("part"))).drop(place, "inner_place")
+
+
 def answer_resolve(questions: DataFrame, answers: DataFrame, profiles: DataFrame) -> DataFrame:
     """Answer of each question: the first fitting memory (company scope, then oldest), else a profile field.
 
@@ -79,9 +94,9 @@ def answer_resolve(questions: DataFrame, answers: DataFrame, profiles: DataFrame
     exact = distinct.join(patterns.select("user_id", F.col("norm").alias("key"), "m"), ["user_id", "key"])
     keys = distinct.select("user_id", "key").distinct()
     long_keys, long_patterns = keys.filter(F.length("key") >= GRAM), patterns.filter(F.length("norm") >= GRAM)
-    head = lambda c: F.substring(c, 1, GRAM)
-    inside = long_keys.select("user_id", "key", F.explode(grams(F.col("key"))).alias("g")).join(long_patterns.select("user_id", "norm", "m", head("norm").alias("g")), ["user_id", "g"]).filter(F.col("key").contains(F.col("norm")))
-    around = long_patterns.select("user_id", "norm", "m", F.explode(grams(F.col("norm"))).alias("g")).join(long_keys.select("user_id", "key", head("key").alias("g")), ["user_id", "g"]).filter(F.col("norm").contains(F.col("key")))
+    inside = _containing(long_keys.withColumnRenamed("key", "text"), long_patterns.select("user_id", "norm", "m").withColumnRenamed("norm", "part"))
+    around = _containing(long_patterns.select("user_id", F.col("norm").alias("text"), "m"), long_keys.withColumnRenamed("key", "part"))
+    inside, around = inside.withColumnRenamed("text", "key"), around.withColumnRenamed("part", "key")
     contained = distinct.join(inside.select("user_id", "key", "m").union(around.select("user_id", "key", "m")).groupBy("user_id", "key").agg(F.min("m").alias("m")), ["user_id", "key"])
     found = None
     for rows in (exact_company, by_category, exact, contained):
