@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia.functions.locations import canonical_city
-from vacantia.functions.text import clean_text, contains_any, html_to_text, squeeze, text_quality, truthy, unescape
+from vacantia.functions.text import clean_text, contains_any, html_to_text, let, squeeze, text_quality, truthy, unescape
 from vacantia.functions.titles import human, title_human, title_repair, title_resolve
 from vacantia.functions.urls import host, resolve_url
 from vacantia.operators.ordering import top
@@ -159,7 +159,7 @@ def structured_feed(feeds: DataFrame, id_keys: tuple[str, ...], title_keys: tupl
     # Only objects carry the keys; scalars and lists give null.
     rows = nodes.select(
         "feed_id", _scalar(id_keys).alias("external_id"), _scalar(title_keys).alias("title"), F.coalesce(_scalar(location_keys), F.lit("")).alias("location"),
-        F.array_compact(F.array(*[truthy(clean_text(_rich(k))) for k in description_keys])).alias("pieces"))
+        F.array_compact(F.array(*[let(clean_text(_rich(k)), truthy) for k in description_keys])).alias("pieces"))
     rows = rows.filter(F.col("external_id").rlike(f"^(?:{id_pattern})$") & human(F.col("title")))
     text = F.array_join(F.concat(F.array("title"), F.filter(F.array("location"), lambda v: v != ""), "pieces"), "\n")
     rows = rows.select("feed_id", "external_id", "title", "location", clean_text(text).alias("text"), _link(F.col("external_id"), template).alias("href"))
