@@ -152,6 +152,47 @@ def test_members_of_one_component_are_not_entered_again(monkeypatch, docs_of):
     assert sum(entered) < 80 * len(rows)
 
 
+def test_places_to_meet_hold_several_components(monkeypatch, docs_of):
+    """Members that are linked by now are left out of the table of places before it is stored, and no link is lost."""
+    draw = random.Random(9)
+    base, rows, seen = [f"b{i}" for i in range(75)], [], []
+    for n in range(160):
+        text = list(base)
+        for _ in range(draw.randint(0, 14)):
+            text[draw.randrange(len(text))] = f"e{draw.randrange(300)}"
+        rows.append((n, " ".join(text)))
+
+    def stored(df, name):
+        out = shared.stored(df, name)
+        if name in ("meetings", "both"):
+            seen.extend(out.groupBy("a", "token", "j", "k").agg({"part": "min", "role": "min"}).toDF(*"atjkpr").join(out.groupBy("a", "token", "j", "k").agg({"part": "max", "role": "max"}).toDF(*"atjkqs"), list("atjk")).collect())
+        return out
+
+    monkeypatch.setattr(near_dups, "stored", stored)
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.components(docs_of(rows), 2).collect()}
+    assert got == brute_components(rows, 2)
+    assert seen and all(r["p"] != r["q"] and r["r"] != r["s"] for r in seen)
+
+
+def test_labels_of_stars_take_one_look(monkeypatch, spark):
+    """Nodes that hang on their smallest one are found so at once; any number of nodes and tasks gives the same labels."""
+    names = []
+    whole = shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df, name: names.append(name) or whole(df, name))
+    stars = spark.createDataFrame([(10 * s, 10 * s + i) for s in range(5) for i in range(1, 9)], "a long, b long")
+    assert all(r["label"] == r["node"] // 10 * 10 for r in smallest_labels(stars).collect()) and names == ["links", "least"]
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "TASK_ROWS", 1)
+    draw = random.Random(6)
+    pairs = [(draw.randrange(60), draw.randrange(60)) for _ in range(40)]
+    label = list(range(60))
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    ends = {x for a, b in pairs if a != b for x in (a, b)}
+    assert {(r["node"], r["label"]) for r in smallest_labels(spark.createDataFrame(pairs, "a long, b long")).collect()} == {(n, label[n]) for n in ends}
+
+
 def test_similarities_below_those_of_the_chunks_are_refused(docs_of):
     with pytest.raises(ValueError):
         near_dups.components(docs_of([(1, "a b c d e"), (2, "a b c d f")]), 2, 75)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vacantia.llm.shared import discard, smallest_labels, stored, unused
+from vacantia.llm.shared import bounded, discard, in_few_tasks, smallest_labels, stored, unused
 from vacantia.llm.words import mix, shingles
 
 CHUNKS, WIDTH, ERRORS, BITS = 14, 6, 1, 16
@@ -46,6 +46,8 @@ PLACES = CHUNKS * WIDTH
 FAR = 42
 #: Rows of the involved documents up to which their ids are broadcast to fetch the texts.
 BROADCAST_ROWS = 200_000
+#: Pairs that one task compares at least.
+TASK_PAIRS = 1_000
 
 _SEEDS = mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _WEIGHTS = mix(_SEEDS) | np.uint64(1)
@@ -140,8 +142,7 @@ def _edits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if its rows are few, else left to an ordinary join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return bounded(df, BROADCAST_ROWS)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -180,22 +181,27 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
     def side_of(name: str, *columns: str) -> DataFrame:
         return involved.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    def with_sets(pairs: DataFrame, count: int) -> DataFrame:
+        """``count`` rows with a and b, and the full sets of both."""
+        left = in_few_tasks(pairs.join(sets.toDF("a", "left"), "a"), count, TASK_PAIRS)
+        return in_few_tasks(left.join(sets.toDF("b", "right"), "b"), count, TASK_PAIRS)
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Sizes and intersections of the pairs (a, b)."""
-        full = with_sets(pairs).select("a", "b", "left", "right")
+    def compared(pairs: DataFrame, count: int) -> DataFrame:
+        """Sizes and intersections of the pairs (a, b), of which there are ``count`` or fewer."""
+        full = with_sets(pairs, count).select("a", "b", "left", "right")
         return kept(full.mapInArrow(_shared, "a long, b long, n_a long, n_b long, both long"), "compared")
 
     similar = 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The similar ones of the pairs (a, b): those of fitting sizes and near signatures are compared."""
-        pairs = pairs.distinct().join(side_of("a", "n", "signature"), "a").join(side_of("b", "n", "signature"), "b")
+        pairs = kept(pairs.distinct(), "pairs")
+        count = pairs.count()
+        pairs = in_few_tasks(pairs.join(side_of("a", "n", "signature"), "a"), count)
+        pairs = in_few_tasks(pairs.join(side_of("b", "n", "signature"), "b"), count)
         pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         near = pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(lambda x: _near(x, FAR), "a long, b long")
-        return compared(near).where(similar).select("a", "b")
+        return compared(near, count).where(similar).select("a", "b")
 
     def ordered(x: str, y: str) -> list:
         return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
@@ -207,49 +213,54 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
     # What is left are entries whose members are in several components.
     part = kept(entries.select("entry", "doc").join(labels.toDF("doc", "label"), "doc", "left").select("entry", "doc", F.coalesce("label", "doc").alias("part")), "parts")
     across = part.groupBy("entry").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p < q").select("entry", "size")
-    apart = kept(part.join(_bounded(kept(across, "across")), "entry"), "apart")
+    apart = kept(part.join(_bounded(kept(in_few_tasks(across, part.count()), "across")), "entry"), "apart")
     if apart.isEmpty():
         return found
 
+    rows = apart.count()
     # The reference of a component is the member that shares its entries with most others: what all copies come from, if it is there.
     central = apart.groupBy("part", "doc").agg(F.sum("size").alias("others")).groupBy("part").agg(F.max(F.struct("others", "doc"))["doc"].alias("a"))
     sizes = apart.groupBy("entry", "part").agg(F.count("*").alias("members"))
     main = sizes.groupBy("entry").agg(F.max(F.struct("members", "part"))["part"].alias("part"))
-    main = main.join(_bounded(kept(central, "central")), "part").select("entry", "a")
-    referred = apart.select("entry", "doc", "size").join(_bounded(kept(main, "main")), "entry").where("doc <> a")
+    main = main.join(_bounded(kept(in_few_tasks(central, rows), "central")), "part").select("entry", "a")
+    referred = apart.select("entry", "doc", "size").join(_bounded(kept(in_few_tasks(main, rows), "main")), "entry").where("doc <> a")
     # Of an entry of two only these two are to be compared; in a larger one every member is measured.
-    referred = kept(referred.groupBy("a", F.col("doc").alias("b")).agg(F.max("size").alias("size")), "referred")
+    referred = kept(in_few_tasks(referred.groupBy("a", F.col("doc").alias("b")).agg(F.max("size").alias("size")), rows), "referred")
+    count = referred.count()
     links_of_two = confirmed(referred.where("size <= 2").select(*ordered("a", "b")))
-    measured = compared(referred.where("size > 2").select("a", "b"))
+    measured = compared(referred.where("size > 2").select("a", "b"), count)
     weight = 100 * (F.col("n_a") - F.col("both")) + percent * (F.col("n_b") - F.col("both"))
     measured = kept(measured.select(
         "a", "b", similar.alias("close"), weight.alias("w"), (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("e"), ((100 - percent) * F.col("n_a")).alias("room")), "measured")
     labels = smallest_labels(found.union(links_of_two).union(measured.where("close").select("a", "b")))
     # Members of one component by now need not meet: only references with members of several ones are searched.
     label_of = measured.select(F.col("b").alias("doc")).distinct().join(labels.toDF("doc", "label"), "doc", "left").select(F.col("doc").alias("b"), F.coalesce("label", "doc").alias("part"))
-    parted = kept(measured.join(_bounded(kept(label_of, "labels")), "b"), "parted")
+    parted = kept(in_few_tasks(measured.join(_bounded(kept(in_few_tasks(label_of, count), "labels")), "b"), count), "parted")
     several = parted.groupBy("a").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max(~F.col("close")).alias("far")).where("p < q AND far").select("a")
-    entered = kept(_meetings(parted.join(_bounded(kept(several, "several")), "a"), with_sets, percent), "entered")
-    # A place that only one of the two roles is entered at gives no pair.
+    parted = parted.join(_bounded(kept(in_few_tasks(several, count), "several")), "a")
+    entered = kept(_meetings(parted, lambda pairs: with_sets(pairs, count), percent), "entered")
     keys = ["a", "token", "j", "k"]
-    places = entered.groupBy(*keys).agg(F.min("role").alias("x"), F.max("role").alias("y")).where("x < y").select(*keys)
-    meetings = stored(entered.join(_bounded(kept(places, "places")), keys), "meetings")
+
+    def mixed(rows: DataFrame, name: str) -> DataFrame:
+        """The rows at places that hold both roles, and several components: no other gives a link, as components only grow."""
+        places = rows.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("role").alias("x"), F.max("role").alias("y"))
+        count = rows.count()
+        places = kept(in_few_tasks(places.where("p < q AND x < y").select(*keys), count), "places")
+        return stored(in_few_tasks(rows.join(_bounded(places), keys), count), name)
+
+    rows = mixed(entered, "meetings")
     found = labels.where("node <> label").toDF("a", "b")
-    if meetings.isEmpty():
+    if rows.isEmpty():
         return found
-    parted = meetings.select(F.col("b").alias("doc")).distinct()
+    swept()
     q = 100 + percent
     for every in (False, True):
         if every:
             labels = smallest_labels(found)
             found = labels.where("node <> label").toDF("a", "b")
-        swept()
-        part = kept(parted.join(labels.toDF("doc", "label"), "doc", "left").select(F.col("doc").alias("b"), F.coalesce("label", "doc").alias("part")), "parts")
-        rows = kept(meetings.join(_bounded(part), "b"), "rows")
-        # Only keys that hold both roles, and several components, can give a link.
-        mixed = rows.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("role").alias("x"), F.max("role").alias("y"))
-        mixed = kept(mixed.where("p < q AND x < y").select(*keys), "mixed")
-        rows = kept(rows.join(_bounded(mixed), keys), "both")
+            swept()
+            part = rows.select(F.col("b").alias("doc")).distinct().join(labels.toDF("doc", "label"), "doc", "left").select(F.col("doc").alias("b"), F.coalesce("label", "doc").alias("part"))
+            rows = mixed(kept(rows.drop("part").join(_bounded(kept(in_few_tasks(part, count), "parts")), "b"), "parted"), "both")
         x, y = rows.where("role = 0"), rows.where("role = 1")
         if not every:
             x = x.groupBy(*keys, "part").agg(F.min(F.struct("w", "b", "e")).alias("x")).select(*keys, "part", "x.*")
@@ -262,7 +273,7 @@ def links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> Dat
 
 
 def _meetings(measured: DataFrame, with_sets, percent: int) -> DataFrame:
-    """Where documents measured against one reference can meet: rows (a, token, j, k, role, b, w, e, room).
+    """Where documents measured against one reference can meet: rows (a, token, j, k, role, b, part, w, e, room).
 
     Let x and y differ from the reference in R removed and A added shingles, with weight w = 100 R + percent A, and share s of these
     e = R + A edits. Then x and y are similar exactly if (100 + percent) s >= w(x) + w(y) - room, where room = (100 - percent)
@@ -296,15 +307,17 @@ def _meetings(measured: DataFrame, with_sets, percent: int) -> DataFrame:
     kept = ["a", "b", "part", "close", "w", "e", "room", "j", "k", "longest"]
     schema = "a long, b long, part long, close boolean, w long, e long, room long, j int, k int, longest long, token long"
     tokens = stored(with_sets(useful.select(*kept)).select(*kept, "left", "right").mapInArrow(_edits, schema), "edits")
+    count = tokens.count()
     often = tokens.groupBy("a", "token").agg(F.when(F.min("part") < F.max("part"), F.count("*")).otherwise(1).alias("often"))
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "token"))
-    ranked = tokens.join(often, ["a", "token"]).withColumn("rank", rank).where("rank <= longest AND often > 1").drop("often", "longest")
+    ranked = in_few_tasks(tokens.join(often, ["a", "token"]), count)
+    ranked = in_few_tasks(ranked.withColumn("rank", rank), count).where("rank <= longest AND often > 1").drop("often", "longest")
     ranked = ranked.join(_bounded(by_excess), "a").join(_bounded(by_weight), "a")
     xs = F.transform(F.filter("excesses", lambda c: F.col("rank") <= prefix(F.col("w"), c["least"])), lambda c: F.struct(F.lit(0).alias("role"), c["step"].alias("j"), F.col("k").alias("k")))
     ys = F.transform(F.filter("weights", lambda c: ~F.col("close") & (F.col("rank") <= prefix(excess, c["least"])) & (c["least"] <= F.col("w"))),
                      lambda c: F.struct(F.lit(1).alias("role"), F.col("j").alias("j"), c["step"].alias("k")))
     rows = ranked.withColumn("at", F.explode(F.concat(xs, ys)))
-    return rows.select("a", "token", "at.j", "at.k", "at.role", "b", "w", "e", "room")
+    return rows.select("a", "token", "at.j", "at.k", "at.role", "b", "part", "w", "e", "room")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
