@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import contacts as C, features as X, text as T
 from vacantia.functions.dates import timestamp
-from vacantia.operators import registry as R
+from vacantia.operators import registry as R, source_state as Z
 from vacantia.operators.profiles import ordered_union
 from vacantia.plans import QUERIES
 from vacantia.plans.fixtures import NOW
@@ -20,6 +20,30 @@ def test_product_of_users_and_entries_is_spread(spark, small, key):
     assert len(tasks) >= 8 and max(tasks) <= sum(tasks) / 4
 
 
+@pytest.mark.parametrize("key", ["catalogue_install"])
+def test_product_of_users_and_entries_has_even_tasks(spark, small, key):
+    tasks = [r["count"] for r in QUERIES[key](spark, small).groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(tasks) >= 16 and max(tasks) <= 2.5 * sum(tasks) / len(tasks)
+
+
+def test_blocks_of_users_and_entries_keep_every_row_and_board(spark, monkeypatch):
+    monkeypatch.setattr(Z, "USERS_OF_BLOCK", 4)
+    monkeypatch.setattr(Z, "ENTRIES_OF_BLOCK", 3)
+    # User 1 owns every board, 2 the first and last, others none or boards outside the list; a board listed twice, unknown users and tracks.
+    users = spark.createDataFrame([(u, t) for u in (*range(1, 14), None) for t in ("cs", "ee")] + [(50, "none"), (51, None)], "user_id long, career_track string")
+    entries = spark.createDataFrame(
+        [(i, t, "lever", None if i == 5 else f"b{i // 2 if i < 4 else i}") for i in range(11) for t in ("cs", "ee")] + [(90, "alone", "lever", "b1"), (91, None, "lever", "b1")],
+        "entry long, career_track string, kind string, identifier string")
+    boards = [(1, t, i) for t in ("cs", "ee") for i in range(12)] + [(2, "cs", 0), (2, "cs", 10), (3, "ee", 77), (99, "cs", 1), (None, "cs", 1), (12, "ee", 6), (13, "alone", 1)]
+    known = spark.createDataFrame([(u, t, "lever", f"b{i}", n, n % 3 == 0) for n, (u, t, i) in enumerate(boards)] + [(4, "cs", "lever", None, 200, True), (5, "cs", "lever", "b6", None, None)],
+                                  "user_id long, career_track string, kind string, identifier string, source_id long, enabled boolean")
+    columns = ["entry", "user_id", "career_track", "kind", "identifier", "source_id", "enabled"]
+    rows = Z._each_user_and_entry(entries, users, known).select(*columns[:5], "found.source_id", "found.enabled")
+    plain = entries.join(users, "career_track").join(known, ["user_id", "career_track", "kind", "identifier"], "left").select(*columns)
+    found, wanted = (sorted(map(tuple, f.collect()), key=repr) for f in (rows, plain))
+    assert found == wanted and len(found) == 14 * 22 and sum(r[5] is not None for r in found) > 20
+
+
 def test_heads_of_texts_are_spread_and_places_guarded(spark, small):
     rows = QUERIES["contact_names"](spark, small)
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
